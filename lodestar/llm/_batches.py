@@ -29,7 +29,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES
             lo = hi
 
 
-def annotated(df: DataFrame, text: str, keep: list[str], make: Callable[[], Callable[[pa.Array], dict]], fields: str) -> DataFrame:
+def annotated(df: DataFrame, text: str, keep: list[str], make: Callable[[], Callable[[pa.Array], dict]], fields: str, most: int = PIECE_BYTES) -> DataFrame:
     """Columns ``keep`` of ``df`` and, for each row, the columns ``fields`` computed from column ``text``.
 
     ``make`` runs once a task and returns the function from a piece of texts (nulls included) to columns.
@@ -45,7 +45,7 @@ def annotated(df: DataFrame, text: str, keep: list[str], make: Callable[[], Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for piece in pieces(batches, "__text"):
+        for piece in pieces(batches, "__text", most):
             got = fn(piece.column("__text"))
             columns = [piece.column(c) for c in keep]
             columns += [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], arrow.field(f.name).type) for f in new]

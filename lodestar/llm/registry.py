@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _store, chat_fsm, suffix_quality, tree_bpe, wav_print
+from . import _store, chat_fsm, ffd_packing, hilbert, minhash, suffix_quality, tree_bpe, wav_print
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,16 +23,29 @@ def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.encoding_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.sharded(_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_fsm.chat_digests(chat_fsm.with_probe(_table(spark, sf_dir, "conversations")))
 
 
+def op7_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = ffd_packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return ffd_packing.packed(_store.written(cut, "pieces"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_wav_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wav_print.media_digests(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_quality, op3_tree_bpe, op6_chat_fsm, op10_wav_prints)}
+    return {f.__name__: f for f in (op2_suffix_quality, op3_tree_bpe, op5_hilbert_shards, op6_chat_fsm, op7_ffd_packing, op8_minhash, op10_wav_prints)}
 
 
 _CONTROLS = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
@@ -68,5 +81,24 @@ FROM p GROUP BY conv_id
 """
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, CAST(len(w) - 3 AS BIGINT)), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs
+), reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id,
+       s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
+FROM s LEFT JOIN least ON s.doc_id = least.x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_fsm": OP6_SQL}
+    return {"op6_chat_fsm": OP6_SQL, "op8_minhash": OP8_SQL}

@@ -86,6 +86,12 @@ class Encoder:
         ids = iter(self._trees([part for parts in split for part in parts[::2]]))
         return [next(ids) if len(parts) == 1 else np.concatenate([np.array([self.special[p]], np.uint32) if k % 2 else next(ids) for k, p in enumerate(parts)]) for parts in split]
 
+    def encode_words(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text for a vocabulary that drops white space: pieces between white space stand alone."""
+        split = [self.special_at.split(t) for t in texts]
+        ids = iter(self.leaves([part for parts in split for part in parts[::2]]))
+        return [next(ids) if len(parts) == 1 else np.concatenate([np.array([self.special[p]], np.uint32) if k % 2 else next(ids) for k, p in enumerate(parts)]) for parts in split]
+
     def _trees(self, texts: list[str]) -> list[np.ndarray]:
         """Long texts are encoded as trees whose leaves, of all texts, go together."""
         bounds = [self._bounds(t) for t in texts]

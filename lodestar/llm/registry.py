@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _store, chat_fsm, ffd_packing, hilbert, minhash, suffix_quality, tree_bpe, wav_print
+from . import _store, chat_fsm, ffd_packing, hilbert, lattice_lm, minhash, suffix_quality, tree_bpe, wav_print
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.scored(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_quality.quality_signals(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_wav_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_quality, op3_tree_bpe, op5_hilbert_shards, op6_chat_fsm, op7_ffd_packing, op8_minhash, op10_wav_prints)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_suffix_quality, op3_tree_bpe, op5_hilbert_shards, op6_chat_fsm, op7_ffd_packing, op8_minhash, op10_wav_prints)}
 
 
 _CONTROLS = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"

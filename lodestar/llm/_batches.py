@@ -39,14 +39,16 @@ def annotated(df: DataFrame, text: str, keep: list[str], make: Callable[[], Call
     names = [f.name for f in new]
     low = {n.lower() for n in names}
     keep = [c for c in keep if c.lower() not in low]
-    source = df.select(*[df[c] for c in keep], df[text].cast("string").alias("__text"))
+    same = text in keep and df.schema[text].dataType == T.StringType()
+    source = df.select(*[df[c] for c in keep], *[] if same else [df[text].cast("string").alias("__text")])
+    body = text if same else "__text"
     schema = T.StructType([source.schema[c] for c in keep] + list(new))
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for piece in pieces(batches, "__text", most):
-            got = fn(piece.column("__text"))
+        for piece in pieces(batches, body, most):
+            got = fn(piece.column(body))
             columns = [piece.column(c) for c in keep]
             columns += [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], arrow.field(f.name).type) for f in new]
             yield pa.RecordBatch.from_arrays(columns, names=keep + names)

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import _store, chat_fsm, ffd_packing, hilbert, lattice_lm, minhash, suffix_quality, tree_bpe, wav_print
+from . import _store, byte_cnn, chat_fsm, ffd_packing, hilbert, lattice_lm, minhash, page_diff, suffix_quality, tree_bpe, wav_print
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,13 @@ def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.encoding_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    docs = _table(spark, sf_dir, "documents")
+    net = byte_cnn.fitted(docs, ~held)
+    return byte_cnn.predicted(docs, net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.sharded(_table(spark, sf_dir, "documents"))
 
@@ -44,12 +52,16 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_wav_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wav_print.media_digests(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_lm, op2_suffix_quality, op3_tree_bpe, op5_hilbert_shards, op6_chat_fsm, op7_ffd_packing, op8_minhash, op10_wav_prints)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_suffix_quality, op3_tree_bpe, op4_byte_cnn, op5_hilbert_shards, op6_chat_fsm, op7_ffd_packing, op8_minhash, op9_page_diff, op10_wav_prints)}
 
 
 _CONTROLS = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"

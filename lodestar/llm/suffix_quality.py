@@ -135,7 +135,7 @@ def measures(texts: pa.Array, least: int = 8) -> dict:
     }
 
 
-def quality_signals(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_words: int = 8, max_share: float = 0.3, long_words: int = 50, long_share: float = 0.2) -> DataFrame:
+def quality_signals(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_words: int = 8, max_share: float = 0.3, long_words: int = 50, long_share: float = 0.2, prefix: str = "") -> DataFrame:
     """Columns ``keep`` of each row with its measures, ``base_failed`` and ``kept``."""
 
     def make() -> Callable[[pa.Array], dict]:
@@ -144,9 +144,10 @@ def quality_signals(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
             n = out["n_words"]
             failed = (n < 20) | (100 * out["n_repeat_words"] > 30 * n)
             good = (out["covered_words"] <= max_share * n) & (out["longest_repeat"] <= np.maximum(long_words, long_share * n))
-            return out | {"base_failed": failed, "kept": ~failed & good}
+            out |= {"base_failed": failed, "kept": ~failed & good}
+            return {prefix + k: v for k, v in out.items()}
 
         return run
 
-    fields = ", ".join(f"{c} bigint" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")) + ", base_failed boolean, kept boolean"
+    fields = ", ".join(f"{prefix}{c} bigint" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")) + f", {prefix}base_failed boolean, {prefix}kept boolean"
     return annotated(df, text, list(keep), make, fields)

@@ -7,8 +7,8 @@
 3. In each bucket, all are paired with one centre, the class that meets most others over all bands. A pair goes on if
    its signatures agree in 0.70 of the places (4.7 standard deviations below 0.85) and is confirmed on the full sets.
 4. Components of the confirmed links. Where a bucket still holds several components, members of different ones are
-   compared by signature in blocks of bounded size, and what passes is confirmed on full sets too. A bucket whose
-   members are all joined costs nothing here, so no link is lost and a large group of copies never becomes all its pairs.
+   compared in blocks of bounded size, by signature and then on full sets. A block gives links, never candidate pairs,
+   and a bucket whose members are all joined costs nothing, so no link is lost and no group becomes all its pairs.
 5. Components of all confirmed links.
 
 Only ids, signatures of colliding classes and the texts of pairs are shuffled. Nothing is collected to the driver but
@@ -19,6 +19,7 @@ are judged by their own texts.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ _rng = np.random.Generator(np.random.PCG64(85))
 _A = _rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**64, HASHES, dtype=np.uint64)
 #: Members of a bucket compared at once, and of a centre's group confirmed in one run.
-BLOCK, GROUP = 1500, 400
+BLOCK, GROUP = 1000, 400
 
 
 def _sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,52 +157,101 @@ def components(links: DataFrame, u: str = "x", v: str = "c") -> DataFrame:
         edges = written(small, "edges")
 
 
-def _across(members: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs of members of one bucket and different components that agree by signature; pairs with the centre were tried."""
+def _block_pairs(block: list[dict], least: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Rows of a block whose classes are in different components, agree by signature and meet in no earlier band."""
+    comp, n, own = (np.array([r[k] for r in block]) for k in ("component", "n", "own"))
+    if (comp == comp[0]).all():
+        return
+    sig = np.frombuffer(b"".join(r["signature"] for r in block), np.uint32).reshape(-1, HASHES)
+    short = sig.astype(np.uint8)
+    names, counts = np.unique(comp, return_counts=True)
+    largest, band, apart = names[counts.argmax()], block[0]["band"], block[0]["i"] != block[0]["j"]
+    for a in np.flatnonzero(comp != largest):
+        other = (comp != comp[a]) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
+        other[: a + 1] &= comp[: a + 1] == largest
+        if apart:
+            other &= own != own[a]
+        b = np.flatnonzero(other)
+        b = b[(short[b] == short[a]).sum(1) >= least]
+        same = sig[b] == sig[a]
+        b = b[(same.sum(1) >= least) & ~same[:, : ROWS * band].reshape(len(b), band, ROWS).all(2).any(1)]
+        for k in b[np.argsort(-(sig[b] == sig[a]).sum(1), kind="stable")].tolist():
+            yield int(a), k
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], shingle: int = 0) -> Iterator[list[dict]]:
+    """Runs of rows of one block; with ``shingle``, each with the set of its text."""
+    block: list[dict] = []
+    for piece in pieces(batches, "text", 1 << 19) if shingle else batches:
+        if shingle:
+            h, first = _sets(piece.column("text"), shingle)
+            prints = iter(_prints(h, first))
+        for k, row in enumerate(piece.drop_columns(["text"]).to_pylist() if shingle else piece.to_pylist()):
+            if shingle:
+                row["set"] = h[first[k] : first[k + 1]].copy()
+                if not len(row["set"]) or next(prints).tobytes() != row["fingerprint"]:
+                    continue  # another text of the same id
+            if block and any(block[-1][c] != row[c] for c in ("h", "i", "j")):
+                yield block
+                block = []
+            block.append(row)
+    if block:
+        yield block
+
+
+def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, least: int, percent: int, shingle: int) -> DataFrame:
+    """Links between members of one bucket and different components; pairs with the centre were tried before.
+
+    Signatures say which members have a partner at all; those are compared on full sets, block by block. A block gives
+    at most one link for each of its members, as pairs that its links join already are passed over.
+    """
     left = members.where("rep != centre")
-    mixed_up = left.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
-    rows = left.join(mixed_up.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("k")), "h")
+    several = left.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
+    rows = left.join(several.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("k")), "h")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), "k").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
-    rows = rows.join(classes.select("rep", "n", "signature"), "rep").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    rows = rows.select("h", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+    rows = rows.join(classes, "rep").select("h", "band", "i", "j", "own", "rep", "component", "n", "fingerprint", "signature")
+    rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "rep")
+    fields = rows.schema
 
-    def compare(block: list[tuple]) -> Iterator[tuple]:
-        own, comp, rep, n = (np.array([r[k] for r in block]) for k in (3, 5, 4, 6))
-        if (comp == comp[0]).all():
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+        for batch in batches:
+            kind = batch.schema
+            break
+        else:
             return
-        sig = np.frombuffer(b"".join(r[7] for r in block), np.uint32).reshape(-1, HASHES)
-        short = sig.astype(np.uint8)
-        names, counts = np.unique(comp, return_counts=True)
-        i, j = block[0][1], block[0][2]
-        for a in np.flatnonzero(comp != names[counts.argmax()]):
-            other = (comp != comp[a]) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
-            if i != j:
-                other &= own != own[a]
-            b = np.flatnonzero(other)
-            b = b[(short[b] == short[a]).sum(1) >= least]
-            b = b[(sig[b] == sig[a]).sum(1) >= least]
-            for k in b.tolist():
-                yield min(rep[a], rep[k]), max(rep[a], rep[k])
+        for block in _blocks(itertools.chain([batch], batches)):
+            good = sorted({k for pair in _block_pairs(block, least, percent) for k in pair})
+            if good:
+                yield pa.RecordBatch.from_pylist([block[k] for k in good], schema=kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
-        for batch in batches:
-            found: set = set()
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "i", "j", "own", "rep", "component", "n", "signature")), strict=True):
-                if block and block[-1][:3] != row[:3]:
-                    found.update(compare(block))
-                    block = []
-                block.append(row)
-            yield _pairs(found)
-        if block:
-            yield _pairs(set(compare(block)))
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, shingle):
+            root = {r["component"]: r["component"] for r in block}
 
-    return rows.mapInArrow(run, "x bigint, c bigint").distinct()
+            def find(x: int) -> int:
+                while root[x] != x:  # noqa: B023
+                    root[x] = x = root[root[x]]  # noqa: B023
+                return x
 
+            found = []
+            for a, b in _block_pairs(block, least, percent):
+                x, y = find(block[a]["component"]), find(block[b]["component"])
+                if x == y:
+                    continue
+                one, two = block[a]["set"], block[b]["set"]
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                if 100 * shared >= percent * (len(one) + len(two) - shared):
+                    root[x] = y
+                    found.append((block[a]["rep"], block[b]["rep"]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["x", "c"])
 
-def _pairs(found: set) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([int(f[k]) for f in found], pa.int64()) for k in (0, 1)], names=["x", "c"])
+    rows = written(rows.mapInArrow(partnered, fields), "partnered")
+    rows = texts.join(rows.hint("shuffle_hash"), texts["doc_id"] == rows["rep"]).drop("doc_id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "rep")
+    return rows.mapInArrow(linked, "x bigint, c bigint").distinct()
 
 
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = 5) -> DataFrame:
@@ -212,20 +262,19 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
     usable = signed.where("doc_id IS NOT NULL AND signature IS NOT NULL")
     classes = written(usable.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
     bands = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(signature, {4 * ROWS * b + 1}, {4 * ROWS})")) for b in range(BANDS)])
-    banded = classes.select("rep", F.explode(bands).alias("h"))
+    banded = classes.select("rep", F.posexplode(bands).alias("band", "h"))
     sizes = banded.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     met = written(banded.join(sizes, "h"), "met")
     degree = met.groupBy("rep").agg(F.sum("m").alias("degree"))
     centres = met.join(degree, "rep").groupBy("h").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("centre"))
-    members = written(met.join(centres, "h").select("h", "rep", "centre"), "members")
+    members = written(met.join(centres, "h").select("h", "band", "rep", "centre"), "members")
     pairs = members.where("rep != centre").select(F.col("rep").alias("x"), F.col("centre").alias("c")).distinct()
     texts = docs.where("doc_id IS NOT NULL")
     links = written(_confirmed(_agreeing(pairs, classes, least, percent), texts, classes, percent, shingle), "links")
     joined = components(links)
-    placed = members.join(joined, members["rep"] == joined["node"], "left").select("h", "rep", "centre", F.coalesce("component", "rep").alias("component"))
-    more = written(_across(placed, classes, least, percent), "across")
+    placed = members.join(joined, members["rep"] == joined["node"], "left").select("h", "band", "rep", "centre", F.coalesce("component", "rep").alias("component"))
+    more = written(_across(placed, classes, texts, least, percent, shingle), "across")
     if not more.isEmpty():
-        more = _confirmed(more, texts, classes, percent, shingle)
         joined = components(joined.select(F.col("node").alias("x"), F.col("component").alias("c")).unionByName(more))
     named = classes.select("fingerprint", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(named, "fingerprint", "left")

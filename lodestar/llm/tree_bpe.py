@@ -33,8 +33,10 @@ _CHUNK = {
     # White space is dropped.
     "no_space": re.compile(r"[^ \t-\r]+"),
 }
-#: Entries of the table of pieces, and the longest piece in it.
-TABLE, LONGEST = 450_000, 48
+#: What parts chunks that are encoded as one text: it is one token there, and no other chunk is.
+_MARK = {"space_first": ("\n", "\n"), "no_space": (" \x01 ", "\x01")}
+#: Entries of the table of pieces that came again, of the table of pieces seen lately, and the longest piece in them.
+TABLE, YOUNG, LONGEST = 350_000, 200_000, 48
 
 
 def _byte_chars() -> dict[str, int]:
@@ -53,7 +55,8 @@ class Encoder:
         self.own = Tokenizer.from_file(path)
         self.own.no_padding()
         self.own.no_truncation()
-        self.leaf, self.chunk, self.table = leaf, _CHUNK[kind], {}
+        self.leaf, self.chunk, self.table, self.young, self.mark = leaf, _CHUNK[kind], {}, {}, _MARK[kind]
+        (self.mark_id,) = self.own.encode(self.mark[1], add_special_tokens=False).ids
         names, special = self.own.get_vocab(with_added_tokens=True), self.own.get_added_tokens_decoder()
         chars = _byte_chars()
         self.bytes = [b""] * (max(names.values()) + 1)
@@ -68,17 +71,39 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def leaves(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of short texts, in one call for what the table lacks."""
-        cut: list = [None if _ODD.search(t) else self.chunk.findall(t) for t in texts]
-        missing = list({c for parts in cut if parts for c in parts if c not in self.table})
-        got = self.plain(missing + [t for t, parts in zip(texts, cut, strict=True) if parts is None])
-        fresh = dict(zip(missing, (g.tobytes() for g in got), strict=False))
-        whole = iter(got[len(missing) :])
-        room = TABLE - len(self.table)
-        table = self.table
-        table.update([(k, v) for k, v in fresh.items() if len(k) <= LONGEST][: max(room, 0)])
-        find = lambda c: table.get(c) or fresh.get(c, b"")
-        return [next(whole) if parts is None else np.frombuffer(b"".join(map(find, parts)), np.uint32) for parts in cut]
+        """Ids of short texts; what the table lacks goes to the library as one text."""
+        get = self.table.get
+        cut = [None if _ODD.search(t) else self.chunk.findall(t) for t in texts]
+        known = [None if parts is None else list(map(get, parts)) for parts in cut]
+        lacking = [k for k, ids in enumerate(known) if ids is not None and None in ids]
+        needed = {c for k in lacking for c, ids in zip(cut[k], known[k], strict=True) if ids is None}
+        again = {c: self.young[c] for c in needed if c in self.young}
+        if len(self.table) < TABLE:
+            self.table.update(again)
+        fresh = self._fresh_chunks(needed - again.keys())
+        if len(self.young) > YOUNG:
+            self.young = {}
+        self.young.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST)
+        fresh |= again
+        for k in lacking:
+            known[k] = [fresh[c] if ids is None else ids for c, ids in zip(cut[k], known[k], strict=True)]
+        whole = iter(self.plain([t for t, parts in zip(texts, cut, strict=True) if parts is None]))
+        return [next(whole) if ids is None else np.frombuffer(b"".join(ids), np.uint32) for ids in known]
+
+    def _fresh_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of each chunk, as bytes: chunks stand in one text between marks that are a token each."""
+        mark, name = self.mark
+        plain = [c for c in chunks if not c.isspace() and name not in c]
+        rest = [c for c in chunks if c.isspace() or name in c]
+        out = dict(zip(rest, (x.tobytes() for x in self.plain(rest)), strict=True))
+        for lo in range(0, len(plain), 5000):
+            some = plain[lo : lo + 5000]
+            ids = self.plain([mark + mark.join(some) + mark])[0]
+            at = np.flatnonzero(ids == self.mark_id)
+            assert len(at) == len(some) + 1
+            data = ids.tobytes()
+            out.update((c, data[4 * a + 4 : 4 * b]) for c, a, b in zip(some, at[:-1].tolist(), at[1:].tolist(), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text: strings of special tokens, and trees of what stands between them."""

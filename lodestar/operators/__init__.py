@@ -1 +1 @@
-
+"""Operators from tables to tables."""

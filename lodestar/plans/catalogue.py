@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from lodestar.plans import q_rows
+
+MODULES = (q_rows,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MISSING = "MISSING"
 
@@ -40,5 +41,6 @@ def numbered(df: DataFrame, by: str, name: str, ties: tuple[str, ...] = (), rows
 
 
 def reserved_rows(like: DataFrame, rows: list[dict]) -> DataFrame:
-    """Rows of reserved members in the schema of ``like``; columns not named are null."""
-    return like.sparkSession.createDataFrame([tuple(r.get(c) for c in like.columns) for r in rows], like.schema)
+    """Rows of reserved members in the columns of ``like``; those not named are null."""
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in like.schema])
+    return like.sparkSession.createDataFrame([tuple(r.get(c) for c in like.columns) for r in rows], schema)

@@ -25,7 +25,7 @@ def trust(results: DataFrame, depends: DataFrame) -> DataFrame:
     )
     error = F.coalesce("error", F.lit(0.0))
     pendency = F.coalesce("loss", F.lit(0.0)) - error
-    score = F.greatest(F.lit(0.0), 1 - F.col("loss"))
+    score = F.when(F.col("loss").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("loss")))
     more = F.when(error > pendency, "ERROR").otherwise("PENDENCY")
     status = F.when(F.col("loss").isNull(), "UNDETERMINED").when(score >= CERTIFIED, "CERTIFIED").when((score >= LIMITED) | ((error < 1e-6) & (score >= PENDING_FLOOR)), "LIMITED").otherwise("BLOCKED")
     reason = (
@@ -34,5 +34,5 @@ def trust(results: DataFrame, depends: DataFrame) -> DataFrame:
     )
     return sums.select(
         "metric", "cut", "checks", F.round(score, 6).alias("trust_score"), F.round(F.when(F.col("loss").isNotNull(), error), 6).alias("loss_by_error"), F.round(F.when(F.col("loss").isNotNull(), F.greatest(pendency, F.lit(0.0))), 6).alias("loss_by_pendency"),
-        *[F.round(F.greatest(F.lit(0.0), 1 - F.col(f"loss_{n}")), 6).alias(n) for n in parts], status.alias("status"), reason.alias("reason"),
+        *[F.round(F.when(F.col(f"loss_{n}").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col(f"loss_{n}"))), 6).alias(n) for n in parts], status.alias("status"), reason.alias("reason"),
     )

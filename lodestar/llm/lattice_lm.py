@@ -4,8 +4,11 @@ The pieces of an existing vocabulary weight all segmentations of a text; a forwa
 the text's marginal probability. Pieces that start a word carry the word mark, so a piece sequence has one text: words,
 each a lattice of its own, and one end. Every byte is a piece, so every text has a probability.
 
-The vocabulary's own scores (ranks) give the first weights; expectation-maximisation over the words of the training
-documents sets them anew, each round a job over the table of distinct words whose result is one number for each piece.
+The vocabulary's own scores (ranks) give the first weights; expectation-maximisation over the distinct words of the
+training documents sets them anew, each round a job over the table of words whose result is one number for each piece.
+A training word is also a piece of its own, one arc over the whole lattice, with its count less a discount as its
+weight; the discounts of all words are the weight of the way through the vocabulary's pieces. The discount is that of
+the counts of words seen once and twice. So a word has c - d of N for itself and a share of d * V of N by its pieces.
 
 Word counts grow with the corpus and stay a table. The most frequent words, at most ``head_words`` of at most 64 bytes,
 are broadcast; every other word of a document is joined with the table, so scores are exact for all words.
@@ -192,18 +195,17 @@ def word_counts(docs: DataFrame, hold: int = 250_000) -> DataFrame:
     return docs.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def trained(counts: DataFrame, names: list[bytes], weights: np.ndarray, ends: int, rounds: int = 2, floor: float = 0.01) -> tuple[np.ndarray, float]:
-    """(log weights of the pieces, of the end) after ``rounds`` of expectation-maximisation over the counts of training words."""
+def trained(counts: DataFrame, names: list[bytes], weights: np.ndarray, rounds: int = 2, floor: float = 0.01) -> np.ndarray:
+    """Log weights of the pieces after ``rounds`` of expectation-maximisation over the distinct training words."""
     spark = counts.sparkSession
-    train = counts.where("c > 0 AND length(word) > 0")
-    log_end = float(np.log((ends + floor) / (ends + floor + 1)))
+    train = counts.where("c > 0 AND length(word) > 0").select("word")
     for _ in range(rounds):
         given = spark.sparkContext.broadcast((names, weights))
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(*given.value), np.zeros(len(given.value[0]))
             for piece in pieces(batches, "word", 1 << 19):
-                total += lattice.expected(piece.column("word").to_pylist(), piece.column("c").to_numpy().astype(np.float64))
+                total += lattice.expected(piece.column("word").to_pylist(), np.ones(piece.num_rows))
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["piece", "uses"])
 
@@ -213,9 +215,8 @@ def trained(counts: DataFrame, names: list[bytes], weights: np.ndarray, ends: in
             uses[row["piece"]] += row["uses"]
         if not got:
             break
-        whole = uses.sum() + ends
-        weights, log_end = np.log(uses / whole), float(np.log(max(ends, floor) / whole))
-    return weights, log_end
+        weights = np.log(uses / uses.sum())
+    return weights
 
 
 def scored(df: DataFrame, path: str, doc: str = "doc_id", text: str = "text", held_mod: int = 10, head_words: int = 250_000, rounds: int = 2) -> DataFrame:
@@ -224,16 +225,22 @@ def scored(df: DataFrame, path: str, doc: str = "doc_id", text: str = "text", he
     held = F.crc32(F.coalesce(df[doc].cast("string"), F.lit(""))) % held_mod == 0
     docs = df.select(df[doc].alias("doc_id"), df[text].cast("string").alias("text"), (~held).alias("train"))
     counts = written(word_counts(docs), "words")
-    about = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).first()
-    n, v, ends = (int(about[k] or 0) for k in ("n", "v", "ends"))
+    about = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends"), *[F.sum(((F.col("c") == k) & (F.length("word") > 0)).cast("long")).alias(f"n{k}") for k in (1, 2)]).first()
+    n, v, ends, once, twice = (int(about[k] or 0) for k in ("n", "v", "ends", "n1", "n2"))
+    less = (once + 0.5) / (once + 2 * twice + 1)
     names, weights = vocabulary(path)
-    weights, log_end = trained(counts, names, weights, ends, rounds)
+    weights = trained(counts, names, weights, rounds)
     model = spark.sparkContext.broadcast((names, weights))
+    by_pieces = (less * (v - (ends > 0)) + 1) / (n + 2)  # the least mass of unseen words and of the end is that of one token
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
         for piece in pieces(batches, "word", 1 << 19):
-            yield pa.RecordBatch.from_arrays([piece.column("word"), piece.column("c"), pa.array(lattice.log_probabilities(piece.column("word").to_pylist()) / np.log(10))], names=["word", "c", "log_p"])
+            c = piece.column("c").to_numpy()
+            own = np.log10(np.maximum(c - less, 1e-300) / (n + 2), where=c > 0, out=np.full(len(c), -np.inf))
+            parts = lattice.log_probabilities(piece.column("word").to_pylist()) / np.log(10) + np.log10(by_pieces)
+            top = np.maximum(own, parts)
+            yield pa.RecordBatch.from_arrays([piece.column("word"), piece.column("c"), pa.array(top + np.log10(1 + 10 ** (np.minimum(own, parts) - top)))], names=["word", "c", "log_p"])
 
     rated = written(counts.where("length(word) > 0").mapInArrow(rate, "word binary, c bigint, log_p double"), "rated-words")
     short = rated.where("length(word) <= 64 AND c > 1")
@@ -248,7 +255,7 @@ def scored(df: DataFrame, path: str, doc: str = "doc_id", text: str = "text", he
     head = spark.sparkContext.broadcast(([bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.int64), np.array([r["log_p"] for r in top], np.float64)))
 
     kind = pa.schema([("row", pa.int64()), ("doc_id", _kind(docs)), ("held_out", pa.bool_()), ("word", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-    base_end, score_end = float(np.log10(ends + 0.1)), log_end / float(np.log(10))
+    base_end, score_end = float(np.log10(ends + 0.1)), float(np.log10((ends + 1) / (n + 2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, c, log_p = head.value

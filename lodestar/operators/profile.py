@@ -20,7 +20,7 @@ def profiled(df: DataFrame, columns: list[str]) -> DataFrame:
         shares = [F.round(F.avg(s.rlike(p).cast("double")), 6).alias(k) for k, p in PATTERNS.items()]
         aggregates.append(
             F.struct(
-                F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count(s)).alias("nulls"), F.round(1 - F.count(s) / F.count(F.lit(1)), 6).alias("null_rate"),
+                F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count(s)).alias("nulls"), F.round(1 - F.try_divide(F.count(s), F.count(F.lit(1))), 6).alias("null_rate"),
                 F.count_distinct(s).alias("distinct_values"), F.min(F.char_length(s)).cast("bigint").alias("min_length"), F.max(F.char_length(s)).cast("bigint").alias("max_length"), *shares,
             )
         )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions.keys import numbered
+from lodestar.sources.xlsx import read_xlsx
 from lodestar.specs import SourceSpec
 
 
@@ -35,10 +36,7 @@ def read(spark: SparkSession, spec: SourceSpec, path: str, partition: str = "lat
         df = spark.read.options(multiLine=True, **spec.options).json(path)
         return df
     elif spec.format == "xlsx":
-        from lodestar.sources.xlsx import XlsxSource
-
-        spark.dataSource.register(XlsxSource)
-        df = spark.read.format("xlsx").options(**spec.options).load(path)
+        df = read_xlsx(spark, path)
     else:
         raise ValueError(f"{spec.system}.{spec.dataset}: no format {spec.format}")
     if "ingestion_date" in df.columns and partition != "all":

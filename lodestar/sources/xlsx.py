@@ -1,4 +1,4 @@
-"""Spreadsheets' active sheet as a Spark data source, by the standard library alone."""
+"""Spreadsheets' first sheet as text, by the standard library alone."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
@@ -56,35 +56,22 @@ def write_sheet(rows: list[list[str | None]]) -> bytes:
     return out.getvalue()
 
 
-class XlsxSource(DataSource):
-    """``load(path)`` of a workbook or a folder of them; each file is a partition, read through Spark's own file access."""
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """A workbook, or a folder of workbooks with one header, as text; each file is parsed where Spark reads it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
+    def header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                yield pa.RecordBatch.from_pydict({"names": pa.array([next(sheet_rows(data), [])], pa.list_(pa.string()))})
 
-    def _files(self) -> list[tuple[str, bytes]]:
-        spark = SparkSession.active()
-        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(self.options["path"]).select("path", "content").orderBy("path").collect()
-        return [(r["path"], bytes(r["content"])) for r in found]
+    first = files.orderBy("path").limit(1).mapInArrow(header, "names array<string>").first()
+    names = [n or f"column{k + 1}" for k, n in enumerate(first["names"] if first else [])]
 
-    def schema(self) -> StructType:
-        header = next(sheet_rows(self._files()[0][1]), [])
-        return StructType([StructField(h or f"column{k + 1}", StringType()) for k, h in enumerate(header)])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                body = list(sheet_rows(data))[1:]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in body], pa.string()) for k in range(len(names))], names=names)
 
-    def reader(self, schema: StructType) -> XlsxReader:
-        return XlsxReader(self.options["path"], len(schema))
-
-
-class XlsxReader(DataSourceReader):
-    def __init__(self, path: str, width: int) -> None:
-        self.path, self.width = path, width
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition((name, data)) for name, data in XlsxSource({"path": self.path})._files()]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        rows = sheet_rows(partition.value[1])
-        next(rows, None)
-        for row in rows:
-            yield tuple((row + [None] * self.width)[: self.width])
+    return files.mapInArrow(rows, StructType([StructField(n, StringType()) for n in names]))

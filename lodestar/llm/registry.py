@@ -116,5 +116,62 @@ FROM s LEFT JOIN least ON s.doc_id = least.x
 """
 
 
+_TURN = "(CASE ({by}) WHEN 0 THEN ({v}) WHEN 1 THEN (({v}) >> 1) | ((({v}) & 1) << 2) ELSE (({v}) >> 2) | ((({v}) & 3) << 1) END)"
+
+OP5_SQL = f"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab
+), bytes AS (
+  SELECT doc_id, lang, source, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents
+), keyed AS (
+  SELECT doc_id, size, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32,
+         CAST('0x' || substr(md5(coalesce(lang, '')), 1, 2) AS INTEGER) AS a, CAST('0x' || substr(md5(coalesce(source, '')), 1, 2) AS INTEGER) AS b,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) AS INTEGER) AS h, bin(size) AS bits FROM bytes, crc
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY a) - 1 AS ra, dense_rank() OVER (ORDER BY b) - 1 AS rb, (SELECT count(DISTINCT a) FROM keyed) AS na, (SELECT count(DISTINCT b) FROM keyed) AS nb FROM keyed
+), cells AS (
+  SELECT doc_id, size, text_crc32, h, CAST(CASE WHEN na <= 32 THEN ra ELSE ra * 32 // na END AS INTEGER) AS x, CAST(CASE WHEN nb <= 32 THEN rb ELSE rb * 32 // nb END AS INTEGER) AS y,
+         CAST(least(greatest(length(bits) * 2 + CAST(substr(bits, 2, 1) AS INTEGER) - 10, 0), 31) AS INTEGER) AS z FROM placed
+), curve AS (
+  SELECT DISTINCT x, y, z, 4 AS bit, 0 AS e, 0 AS d, 0 AS curve_index FROM cells
+  UNION ALL
+  SELECT x, y, z, bit - 1, xor(e, {_TURN.format(by="(2 - d) % 3", v="[0, 0, 0, 3, 3, 6, 6, 5][digit + 1]")}), (d + [0, 1, 1, 2, 2, 1, 1, 0][digit + 1] + 1) % 3, curve_index * 8 + digit
+  FROM (SELECT *, [0, 1, 3, 2, 7, 6, 4, 5][{_TURN.format(by="(d + 1) % 3", v="xor(((x >> bit) & 1) + ((y >> bit) & 1) * 2 + ((z >> bit) & 1) * 4, e)")} + 1] AS digit FROM curve WHERE bit >= 0)
+), ranked AS (
+  SELECT doc_id, size, text_crc32, curve_index, row_number() OVER (ORDER BY curve_index, h, doc_id NULLS FIRST, text_crc32, size) - 1 AS place, count(*) OVER () AS n
+  FROM cells JOIN (SELECT * FROM curve WHERE bit = -1) USING (x, y, z)
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 40 // n AS INTEGER) AS shard, CAST(place - (place * 40 // n * n + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(curve_index AS INTEGER) AS curve_index FROM ranked
+"""
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, CAST(len(w) - 6 AS BIGINT))) AS i, unnest(list_transform(range(1, CAST(len(w) - 6 AS BIGINT)), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM w WHERE len(w) >= 8),
+r AS (SELECT doc_id, i, g FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+-- Equal windows side by side on a diagonal are one longer repeat.
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS d FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i),
+runs AS (SELECT doc_id, d, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS k FROM pairs),
+long AS (SELECT doc_id, max(n) + 7 AS longest FROM (SELECT doc_id, d, k, count(*) AS n FROM runs GROUP BY ALL) GROUP BY 1),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM r) GROUP BY 1),
+lines AS (SELECT doc_id, sum(n - 1) AS dup FROM (SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1),
+m AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(longest, 0) AS BIGINT) AS longest_repeat
+  FROM w LEFT JOIN lines ON w.doc_id = lines.doc_id LEFT JOIN cover ON w.doc_id = cover.doc_id LEFT JOIN long ON w.doc_id = long.doc_id
+)
+SELECT *, n_repeat_words AS covered_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_repeat_words <= CAST(0.3 AS DOUBLE) * n_words AND longest_repeat <= greatest(50, CAST(0.2 AS DOUBLE) * n_words) AS kept FROM m
+"""
+
+#: For the pages of the synthetic tables, which all mark their article.
+OP9_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(body, '<br>', ' '), '</?(?:p|h1)>'), lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*(>|$)', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS l FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(l, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_fsm": OP6_SQL, "op8_minhash": OP8_SQL}
+    return {"op2_suffix_quality": OP2_SQL, "op9_page_diff": OP9_SQL, "op5_hilbert_shards": OP5_SQL, "op6_chat_fsm": OP6_SQL, "op8_minhash": OP8_SQL}

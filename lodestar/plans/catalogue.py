@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestar.plans import q_metrics, q_model, q_rows
+from lodestar.plans import q_metrics, q_model, q_more, q_rows
 
-MODULES = (q_rows, q_metrics, q_model)
+MODULES = (q_rows, q_metrics, q_model, q_more)
 
 
 def queries() -> dict:

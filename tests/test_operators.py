@@ -98,3 +98,32 @@ def test_cycles(spark, edges, want):
 def test_profile_of_empty(spark):
     got = profile.profiled(spark.createDataFrame([], "a string"), ["a"]).collect()
     assert got[0].rows == 0 and got[0].min_length is None
+
+
+def test_layers(spark):
+    from lodestar.operators import layers
+
+    df = spark.createDataFrame([(1,)], "a int")
+    assert layers.asserted(layers.stamped(df, "L3"), "L3").count() == 1
+    with pytest.raises(layers.LayerError):
+        layers.asserted(df, "L3")
+    with pytest.raises(layers.LayerError):
+        layers.asserted(layers.stamped(df, "truth"), "L3")
+    run = layers.Run("r", "2024-01-01")
+    run.made("dim", ["a", "b"], 3)
+    with run.stage("x", 10):
+        df.count()
+    assert run.lineage(spark).first().inputs == "a,b" and run.timing(spark).first().micros_per_row > 0 and run.projected_minutes(10) > 0
+
+
+def test_outranked_against_brute_force(spark):
+    import datetime as dt
+    import random
+
+    from lodestar.operators.calibration import outranked
+
+    rnd, day = random.Random(3), dt.date(2024, 1, 20)
+    rows = [(k, rnd.randint(1, 5), day + dt.timedelta(rnd.randint(0, 60)), rnd.choice([None, 0, 3, 40])) for k in range(80)]
+    rows = [(k, r, s, None if n is None else s + dt.timedelta(n)) for k, r, s, n in rows]
+    got = {x.k for x in outranked(spark.createDataFrame(rows, "k int, r int, s date, e date"), "k", "r", "s", "e").collect()}
+    assert got == {k for k, r, s, _ in rows if any(q > r and a <= s and (z is None or s <= z) for _, q, a, z in rows)}

@@ -96,3 +96,36 @@ def test_versions_of_metrics():
     assert changed_version(m, replace(m, measure="sum")) == "2.0.0"
     assert changed_version(m, replace(m, minimum_n=9)) == "1.1.0"
     assert changed_version(m, m) == "1.0.0"
+
+
+def test_contracts():
+    from lodestar.plans.contracts import derived, inconsistencies
+    from lodestar.specs import Check
+
+    checks = [Check("a", "t", "not_null", metrics=("customers",)), Check("b", "t", "not_null", metrics=("customers", "gone")), Check("c", "t", "not_null")]
+    assert derived(checks) == {"customers": ["a", "b"], "gone": ["b"]}
+    assert inconsistencies(checks, CATALOG, {"customers": ["a", "x"]}) == ["check c feeds no metric", "checks feed gone, which has no contract", "customers depends on x, which does not exist", "customers: missing ['b'], extra ['x']"]
+
+
+def test_tools(spark):
+    from lodestar.plans.contracts import Tools
+
+    tools = Tools(CATALOG, order_base(spark, DATA), TERMS, {("order_value", "ALL"): "LIMITED"})
+    actor = Actor(frozenset({"get", "breakdown", "trust", "trace"}))
+    year = {"metric": "order_value", "grain": "year", "start": "1997", "end": "1997"}
+    got = tools.call("get", year, actor)
+    assert got["outcome"] == "ANSWER" and tools.call("trace", {"trace": got["trace"]}, actor)["log"]["outcome"] == "ANSWER"
+    rows = tools.call("breakdown", year | {"dimensions": ("region",)}, actor)["rows"]
+    shown = [r["value"] for r in rows if r["value"] is not None]
+    assert shown == sorted(shown, reverse=True)
+    assert tools.call("compare", year, actor)["error"] == "the actor may not use it"
+    assert tools.call("sql", {}, actor)["outcome"] == tools.call("get", {"sql": "x"}, actor)["outcome"] == "ERROR"
+    assert tools.call("trust", {"metric": "order_value"}, actor)["improve"] == ["resolve the failing checks of ALL"]
+    assert tools.log.counts() == {"ANSWER": 2}
+
+
+def test_mapping_file(tmp_path):
+    from lodestar.plans.contracts import write_mapping
+
+    assert write_mapping(f"{tmp_path}/m.csv", "level", [("b", "B"), ("a", "A")], [("", "2020-12-31"), ("2021-01-01", "")]) == 4
+    assert (tmp_path / "m.csv").read_text().splitlines()[1].startswith("LEVEL_0001,*,level,a,A,APPROVED")

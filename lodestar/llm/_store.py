@@ -1,17 +1,25 @@
-"""Shared storage for intermediate tables, and shipping of this package to executors."""
+"""Shared storage for intermediate tables."""
 
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
-import zipfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.session import ship
+
+__all__ = ["BROADCAST_KEYS", "FILE_ROWS", "on_disk", "only", "shared_dir", "ship", "written"]
+
+#: Distinct keys up to which a table is filtered by a broadcast of them; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+#: Rows of narrow tables to a file.
+FILE_ROWS = 50_000
 
 _written: list[str] = []
-_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,20 +31,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy", rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
     This cuts the lineage: a lost executor costs no more than the reading stage. The table goes when the driver ends.
+    ``rows`` is how many rows it has at most, where that is known: it is then written by a task for each FILE_ROWS.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     if not _written:
         atexit.register(_remove, spark)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def on_disk(df: DataFrame) -> DataFrame:
+    """``df`` kept on the executors' disks for several uses; parts of a lost executor are computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def only(df: DataFrame, on: str, keys: DataFrame, key: str, kind: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``on`` is among the keys (left_anti: is not). The keys are counted before they are broadcast."""
+    keys = keys.select(F.col(key).alias("__only")).distinct()
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return df.join(keys, df[on] == keys["__only"], kind)
+
+
 def _remove(spark: SparkSession) -> None:
     if spark.sparkContext._jsc is None:
         return
@@ -44,21 +68,3 @@ def _remove(spark: SparkSession) -> None:
     for path in _written:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once for an application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    top = os.path.basename(root)
-    out = os.path.join(tempfile.mkdtemp(), f"{top}.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join(top, os.path.relpath(full, root)))
-    spark.sparkContext.addPyFile(out)
-    _shipped.add(app)

@@ -11,7 +11,8 @@
    and a bucket whose members are all joined costs nothing, so no link is lost and no group becomes all its pairs.
 5. Components of all confirmed links.
 
-Only ids, signatures of colliding classes and the texts of pairs are shuffled. Nothing is collected to the driver but
+Only ids, signatures of colliding classes and the texts of pairs are shuffled (texts of others too where pairs name more
+ids than may be broadcast). Nothing is collected to the driver but
 two numbers in each round. Null and empty texts have an empty set and are linked with nothing, also not with each other.
 Rows without a doc_id are linked with nothing: their component_id is null and they are kept. Rows that share a doc_id
 are judged by their own texts.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import annotated, bytes_of, pieces
-from ._store import written
+from ._store import on_disk, only, written
 from ._words import mixed, shingle_hashes, words_of
 
 BANDS, ROWS = 25, 5
@@ -112,7 +113,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent:
     dealt = pairs.join(runs, "c").select("c", F.pmod(F.xxhash64("x"), "runs").cast("int").alias("run"), F.col("x").alias("id"), F.lit(1).alias("turn"))
     centres = runs.select("c", F.explode(F.sequence(F.lit(0), F.col("runs").cast("int") - 1)).alias("run"), F.col("c").alias("id"), F.lit(0).alias("turn"))
     named = classes.select(F.col("rep").alias("id"), "fingerprint")
-    wanted = written(dealt.unionByName(centres).join(named, "id"), "wanted")
+    wanted = on_disk(dealt.unionByName(centres).join(named, "id"))
+    texts = only(texts, "doc_id", wanted, "id")
     rows = texts.join(wanted.hint("shuffle_hash"), texts["doc_id"] == wanted["id"]).select("c", "run", "id", "turn", "text", "fingerprint")
     rows = rows.repartition("c", "run").sortWithinPartitions("c", "run", "turn")
 
@@ -138,10 +140,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent:
     return rows.mapInArrow(run, "x bigint, c bigint")
 
 
-def components(links: DataFrame, u: str = "x", v: str = "c") -> DataFrame:
-    """(node, component) of each node of the links: alternating large-star and small-star until nothing changes."""
+def components(links: DataFrame, most: int | None = None, u: str = "x", v: str = "c") -> DataFrame:
+    """(node, component) of each node of the links, of which there are at most ``most``: alternating large-star and
+    small-star until nothing changes. Neither step makes more edges than it is given."""
     edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u != v").distinct()
-    edges = written(edges, "edges")
+    edges = written(edges, "edges", rows=most)
     before = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -154,7 +157,7 @@ def components(links: DataFrame, u: str = "x", v: str = "c") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u")
         small = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = written(small, "edges")
+        edges = written(small, "edges", rows=state[0])
 
 
 def _block_pairs(block: list[dict], least: int, percent: int) -> Iterator[tuple[int, int]]:
@@ -249,7 +252,8 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, least: int
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["x", "c"])
 
-    rows = written(rows.mapInArrow(partnered, fields), "partnered")
+    rows = on_disk(rows.mapInArrow(partnered, fields))
+    texts = only(texts, "doc_id", rows, "rep")
     rows = texts.join(rows.hint("shuffle_hash"), texts["doc_id"] == rows["rep"]).drop("doc_id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "rep")
     return rows.mapInArrow(linked, "x bigint, c bigint").distinct()
 
@@ -260,22 +264,27 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
     docs = df.select(df[doc].cast("bigint").alias("doc_id"), df[text].cast("string").alias("text"))
     signed = written(signatures(docs, shingle=shingle), "signatures")
     usable = signed.where("doc_id IS NOT NULL AND signature IS NOT NULL")
-    classes = written(usable.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
+    classes = usable.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = written(classes, "classes", rows=signed.count())
     bands = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(signature, {4 * ROWS * b + 1}, {4 * ROWS})")) for b in range(BANDS)])
     banded = classes.select("rep", F.posexplode(bands).alias("band", "h"))
     sizes = banded.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = written(banded.join(sizes, "h"), "met")
+    met = on_disk(banded.join(sizes, "h"))
     degree = met.groupBy("rep").agg(F.sum("m").alias("degree"))
     centres = met.join(degree, "rep").groupBy("h").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("centre"))
-    members = written(met.join(centres, "h").select("h", "band", "rep", "centre"), "members")
+    members = on_disk(met.join(centres, "h").select("h", "band", "rep", "centre"))
+    many = members.count()
     pairs = members.where("rep != centre").select(F.col("rep").alias("x"), F.col("centre").alias("c")).distinct()
     texts = docs.where("doc_id IS NOT NULL")
-    links = written(_confirmed(_agreeing(pairs, classes, least, percent), texts, classes, percent, shingle), "links")
-    joined = components(links)
+    agreed = written(_agreeing(pairs, classes, least, percent), "agreed", rows=many)
+    links = _confirmed(agreed, texts, classes, percent, shingle)
+    joined = components(links, many)
     placed = members.join(joined, members["rep"] == joined["node"], "left").select("h", "band", "rep", "centre", F.coalesce("component", "rep").alias("component"))
-    more = written(_across(placed, classes, texts, least, percent, shingle), "across")
+    more = written(_across(placed, classes, texts, least, percent, shingle), "across", rows=many)
     if not more.isEmpty():
-        joined = components(joined.select(F.col("node").alias("x"), F.col("component").alias("c")).unionByName(more))
+        joined = components(joined.select(F.col("node").alias("x"), F.col("component").alias("c")).unionByName(more), 2 * many)
+    for part in (met, members):
+        part.unpersist()
     named = classes.select("fingerprint", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(named, "fingerprint", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.operators.lookups import small
+
 
 def calibrated(attempts: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, eligible, hits, expected_rate, realized_rate, status) of each kind of defect.
@@ -54,7 +56,7 @@ def outranked(df: DataFrame, ident: str, rank: str, start: str, end: str, period
     opens = df.select(F.col(start).alias("at"), F.col(rank).alias("r"), F.lit(1).alias("change"))
     closes = df.where(F.col(end).isNotNull()).select(F.date_add(end, 1).alias("at"), F.col(rank).alias("r"), F.lit(-1).alias("change"))
     points = opens.unionByName(closes).groupBy("at", "r").agg(F.sum("change").alias("change"))
-    asked = df.select(F.col(start).alias("at")).distinct().join(F.broadcast(df.select(F.col(rank).alias("r")).distinct()), F.lit(True))
+    asked = df.select(F.col(start).alias("at")).distinct().join(small(df.select(F.col(rank).alias("r")).distinct(), 10_000), F.lit(True))
     all_points = points.unionByName(asked.withColumn("change", F.lit(0).cast("bigint"))).groupBy("at", "r").agg(F.sum("change").alias("change")).withColumn("p", F.date_trunc(period, "at"))
     carried = all_points.groupBy("r", "p").agg(F.sum("change").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(W.partitionBy("r").orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     within = F.sum("change").over(W.partitionBy("r", "p").orderBy("at").rowsBetween(W.unboundedPreceding, 0))

@@ -32,7 +32,7 @@ def measured(metric: Metric) -> list[Column]:
 def last_period_rows(base: DataFrame, fine: str, coarse: str) -> DataFrame:
     """Rows of the last fine period within each coarse one, whatever is filtered later."""
     last = base.groupBy(F.col(coarse).alias("__c")).agg(F.max(fine).alias("__last"))
-    return base.join(F.broadcast(last), (base[coarse] == F.col("__c")) & (base[fine] == F.col("__last")), "left_semi")
+    return base.join(last, (base[coarse] == F.col("__c")) & (base[fine] == F.col("__last")), "left_semi")
 
 
 def evaluated(metric: Metric, base: DataFrame, grain: str, periods: tuple[str, str] | None = None, dimensions: tuple[str, ...] = (), filters: dict[str, list] | None = None) -> DataFrame:

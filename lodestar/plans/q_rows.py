@@ -57,7 +57,7 @@ def sentinel_project(spark, d):
     digit = F.col("c_custkey") % 10
     k = F.when(digit == 0, -1).when(digit == 1, None).when(digit == 2, -4).when(digit == 3, 999).otherwise(F.col("c_nationkey"))
     rows = table(spark, d, "customer").select("c_custkey", k.alias("k"))
-    rows = rows.join(F.broadcast(table(spark, d, "nation").limit(1000)), F.col("k") == F.col("n_nationkey"), "left")
+    rows = rows.join(lookups.small(table(spark, d, "nation")), F.col("k") == F.col("n_nationkey"), "left")
     return rows.select("c_custkey", keys.member_or_code(F.col("k"), F.col("n_name"), {-1: "UNKNOWN", -4: "NOT_APPLICABLE"}).alias("member"))
 
 

@@ -262,7 +262,7 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
     """doc_id, n_shingles, component_id, kept of each row; a link needs 100 * intersection >= percent * union."""
     least = int((percent / 100 - 4.7 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5) * HASHES)
     docs = df.select(df[doc].cast("bigint").alias("doc_id"), df[text].cast("string").alias("text"))
-    signed = written(signatures(docs, shingle=shingle), "signatures")
+    signed = on_disk(signatures(docs, shingle=shingle))
     usable = signed.where("doc_id IS NOT NULL AND signature IS NOT NULL")
     classes = usable.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = written(classes, "classes", rows=signed.count())

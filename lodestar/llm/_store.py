@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark import StorageLevel
@@ -19,8 +18,6 @@ BROADCAST_KEYS = 1_000_000
 #: Rows of narrow tables to a file.
 FILE_ROWS = 50_000
 
-_written: list[str] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one under /tmp/checkpoints where it is unset (tests)."""
@@ -42,9 +39,8 @@ def written(df: DataFrame, name: str, codec: str = "snappy", rows: int | None =
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    if not _written:
-        atexit.register(_remove, spark)
-    _written.append(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,12 +55,3 @@ def only(df: DataFrame, on: str, keys: DataFrame, key: str, kind: str = "left_se
     if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     return df.join(keys, df[on] == keys["__only"], kind)
-
-
-def _remove(spark: SparkSession) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    for path in _written:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

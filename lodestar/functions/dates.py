@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values.
 #: Reserved date keys: no date, and a date before the series begins.
 NO_DATE, BEFORE_SERIES = -5, -7
 #: Tried after the declared format, in this order.

@@ -22,6 +22,7 @@ REFUSALS = (
     "UNKNOWN_METRIC", "METRIC_BLOCKED", "METRIC_IN_DRAFT", "UNKNOWN_VERSION", "DIMENSION_NOT_ALLOWED", "UNKNOWN_TERM", "PERIOD_OUT_OF_COVERAGE", "GRAIN_INCOMPATIBLE", "MAPPING_PENDING", "LEVEL_WITHOUT_EVIDENCE",
     "COMPARISON_NOT_POSSIBLE", "NO_DATA_IN_PERIOD", "TOO_MANY_PERIODS", "TOO_MANY_DIMENSIONS", "TOO_MANY_ROWS", "PRIVACY_NARROWING",
 )
+# Limits beyond which a question is refused, never cut.
 MOST_PERIODS, MOST_DIMENSIONS, MOST_ROWS, MOST_EVALUATED = 24, 2, 50, 200
 
 

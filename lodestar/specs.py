@@ -39,6 +39,7 @@ class Check:
     metrics: tuple[str, ...] = ()
 
 
+# Classes of findings with the component that each counts for, severities that count, and bands of trust.
 #: Classes of findings; the component that each counts for.
 COMPONENTS = {
     "validity": ("INVALID", "DIVERGENT"),

@@ -34,9 +34,9 @@ _CHUNK = {
     "no_space": re.compile(r"[^ \t-\r]+"),
 }
 #: What parts chunks that are encoded as one text: it is one token there, and no other chunk is.
-_MARK = {"space_first": ("\n", "\n"), "no_space": (" \x01 ", "\x01")}
+_MARK = {"space_first": ("\n", "\n"), "no_space": ("7", "7")}
 #: Entries of the table of pieces that came again, of the table of pieces seen lately, and the longest piece in them.
-TABLE, YOUNG, LONGEST = 350_000, 200_000, 48
+TABLE, YOUNG, LONGEST = 300_000, 200_000, 48
 
 
 def _byte_chars() -> dict[str, int]:
@@ -71,22 +71,24 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def leaves(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of short texts; what the table lacks goes to the library as one text."""
-        get = self.table.get
-        cut = [None if _ODD.search(t) else self.chunk.findall(t) for t in texts]
+        """Ids of short texts; what the tables lack goes to the library as one text."""
+        get, young = self.table.get, self.young
+        cut = [None if not t.isascii() and _ODD.search(t) else self.chunk.findall(t) for t in texts]
         known = [None if parts is None else list(map(get, parts)) for parts in cut]
-        lacking = [k for k, ids in enumerate(known) if ids is not None and None in ids]
-        needed = {c for k in lacking for c, ids in zip(cut[k], known[k], strict=True) if ids is None}
-        again = {c: self.young[c] for c in needed if c in self.young}
+        holes = [[] if ids is None or None not in ids else [k for k, x in enumerate(ids) if x is None] for ids in known]
+        needed = {cut[n][k] for n, at in enumerate(holes) for k in at}
+        again = {c: young[c] for c in needed if c in young}
         if len(self.table) < TABLE:
             self.table.update(again)
         fresh = self._fresh_chunks(needed - again.keys())
-        if len(self.young) > YOUNG:
-            self.young = {}
-        self.young.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST)
+        if len(young) > YOUNG:
+            young.clear()
+        young.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST)
         fresh |= again
-        for k in lacking:
-            known[k] = [fresh[c] if ids is None else ids for c, ids in zip(cut[k], known[k], strict=True)]
+        for n, at in enumerate(holes):
+            parts, ids = cut[n], known[n]
+            for k in at:
+                ids[k] = fresh[parts[k]]
         whole = iter(self.plain([t for t, parts in zip(texts, cut, strict=True) if parts is None]))
         return [next(whole) if ids is None else np.frombuffer(b"".join(ids), np.uint32) for ids in known]
 
@@ -107,13 +109,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text: strings of special tokens, and trees of what stands between them."""
-        split = [self.special_at.split(t) for t in texts]
+        split = [self._split(t) for t in texts]
         ids = iter(self._trees([part for parts in split for part in parts[::2]]))
         return [next(ids) if len(parts) == 1 else np.concatenate([np.array([self.special[p]], np.uint32) if k % 2 else next(ids) for k, p in enumerate(parts)]) for parts in split]
 
+    def _split(self, text: str) -> list[str]:
+        """What stands between strings of special tokens, and those strings, in turn."""
+        return self.special_at.split(text) if any(s in text for s in self.special) else [text]
+
     def encode_words(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text for a vocabulary that drops white space: pieces between white space stand alone."""
-        split = [self.special_at.split(t) for t in texts]
+        split = [self._split(t) for t in texts]
         ids = iter(self.leaves([part for parts in split for part in parts[::2]]))
         return [next(ids) if len(parts) == 1 else np.concatenate([np.array([self.special[p]], np.uint32) if k % 2 else next(ids) for k, p in enumerate(parts)]) for parts in split]
 

@@ -107,13 +107,15 @@ def _prints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([*sums, np.diff(first)[own].astype(np.uint64)], 1)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The pairs (x, c) whose full sets have the similarity. A centre's partners are dealt to runs of about GROUP."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int, shingle: int, held: list[DataFrame]) -> DataFrame:
+    """The pairs (x, c) whose full sets have the similarity. A centre's partners are dealt to runs of about GROUP.
+    What is kept on disk meanwhile goes to ``held``."""
     runs = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("runs"))
     dealt = pairs.join(runs, "c").select("c", F.pmod(F.xxhash64("x"), "runs").cast("int").alias("run"), F.col("x").alias("id"), F.lit(1).alias("turn"))
     centres = runs.select("c", F.explode(F.sequence(F.lit(0), F.col("runs").cast("int") - 1)).alias("run"), F.col("c").alias("id"), F.lit(0).alias("turn"))
     named = classes.select(F.col("rep").alias("id"), "fingerprint")
     wanted = on_disk(dealt.unionByName(centres).join(named, "id"))
+    held.append(wanted)
     texts = only(texts, "doc_id", wanted, "id")
     rows = texts.join(wanted.hint("shuffle_hash"), texts["doc_id"] == wanted["id"]).select("c", "run", "id", "turn", "text", "fingerprint")
     rows = rows.repartition("c", "run").sortWithinPartitions("c", "run", "turn")
@@ -202,7 +204,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], shingle: int = 0) -> Iterator[lis
         yield block
 
 
-def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, least: int, percent: int, shingle: int) -> DataFrame:
+def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, least: int, percent: int, shingle: int, held: list[DataFrame]) -> DataFrame:
     """Links between members of one bucket and different components; pairs with the centre were tried before.
 
     Signatures say which members have a partner at all; those are compared on full sets, block by block. A block gives
@@ -253,6 +255,7 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, least: int
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["x", "c"])
 
     rows = on_disk(rows.mapInArrow(partnered, fields))
+    held.append(rows)
     texts = only(texts, "doc_id", rows, "rep")
     rows = texts.join(rows.hint("shuffle_hash"), texts["doc_id"] == rows["rep"]).drop("doc_id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "rep")
     return rows.mapInArrow(linked, "x bigint, c bigint").distinct()
@@ -277,13 +280,14 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
     pairs = members.where("rep != centre").select(F.col("rep").alias("x"), F.col("centre").alias("c")).distinct()
     texts = docs.where("doc_id IS NOT NULL")
     agreed = written(_agreeing(pairs, classes, least, percent), "agreed", rows=many)
-    links = _confirmed(agreed, texts, classes, percent, shingle)
+    held = [met, members]
+    links = _confirmed(agreed, texts, classes, percent, shingle, held)
     joined = components(links, many)
     placed = members.join(joined, members["rep"] == joined["node"], "left").select("h", "band", "rep", "centre", F.coalesce("component", "rep").alias("component"))
-    more = written(_across(placed, classes, texts, least, percent, shingle), "across", rows=many)
+    more = written(_across(placed, classes, texts, least, percent, shingle, held), "across", rows=many)
     if not more.isEmpty():
         joined = components(joined.select(F.col("node").alias("x"), F.col("component").alias("c")).unionByName(more), 2 * many)
-    for part in (met, members):
+    for part in held:
         part.unpersist()
     named = classes.select("fingerprint", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(named, "fingerprint", "left")

@@ -7,7 +7,8 @@ tokenizer's own splitting surely starts afresh, or where the window's first (las
 there: a sequence of BPE tokens is the encoding of its text if each two neighbours are that of theirs, which the shared
 tokens carry over. A window that reaches both ends is the plain encoding of the two.
 
-A leaf's pieces between white space repeat, so their ids are kept in a bounded table of each worker.
+A leaf's pieces between white space repeat, so their ids are kept in a bounded table of each worker. With a vocabulary
+that parts letters from signs and lower-cases, a piece such as ``(Word,`` has the ids of its three parts.
 Null texts count as empty and have no tokens. Strings of special tokens become special tokens, as the library does.
 """
 
@@ -39,6 +40,20 @@ _MARK = {"space_first": ("\n", "\n"), "no_space": ("7", "7")}
 TABLE, YOUNG, LONGEST = 300_000, 200_000, 48
 
 
+#: ASCII signs that are tokens apart from letters; an apostrophe may begin an ending.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _parted(chunk: str) -> tuple[str, ...] | None:
+    """Signs, letters (lower-case where ASCII) and signs that a piece is made of; None if it has other characters or is one part."""
+    word = chunk.strip(_SIGNS)
+    if not word.isalpha() or word[0] > "\xff" or word[-1] > "\xff":
+        return None
+    at = chunk.index(word)
+    low = word.lower() if word.isascii() else word
+    return None if low == chunk else tuple(filter(None, (chunk[:at], low, chunk[at + len(word) :])))
+
+
 def _byte_chars() -> dict[str, int]:
     """Byte-level vocabularies write bytes that are no printable Latin-1 characters as characters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -56,6 +71,8 @@ class Encoder:
         self.own.no_padding()
         self.own.no_truncation()
         self.leaf, self.chunk, self.table, self.young, self.mark = leaf, _CHUNK[kind], {}, {}, _MARK[kind]
+        apart, small, signs = (self.own.encode(t, add_special_tokens=False).ids for t in ("(Ab,", "ab", ","))
+        self.words = kind == "no_space" and apart[1:] == small + signs
         (self.mark_id,) = self.own.encode(self.mark[1], add_special_tokens=False).ids
         names, special = self.own.get_vocab(with_added_tokens=True), self.own.get_added_tokens_decoder()
         chars = _byte_chars()
@@ -73,14 +90,24 @@ class Encoder:
     def leaves(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of short texts; what the tables lack goes to the library as one text."""
         get, young = self.table.get, self.young
-        cut = [None if not t.isascii() and _ODD.search(t) else self.chunk.findall(t) for t in texts]
+        cut = [self._cut(t) for t in texts]
         known = [None if parts is None else list(map(get, parts)) for parts in cut]
         holes = [[] if ids is None or None not in ids else [k for k, x in enumerate(ids) if x is None] for ids in known]
         needed = {cut[n][k] for n, at in enumerate(holes) for k in at}
         again = {c: young[c] for c in needed if c in young}
+        needed -= again.keys()
+        parted = {c: parts for c in needed if (parts := _parted(c))} if self.words else {}
+        for part in {part for parts in parted.values() for part in parts}:
+            ids = get(part) or young.get(part)
+            if ids is None:
+                needed.add(part)
+            else:
+                again[part] = ids
+        fresh = self._fresh_chunks(needed - parted.keys())
+        have = fresh | again
+        fresh |= {c: b"".join(map(have.__getitem__, parts)) for c, parts in parted.items()}
         if len(self.table) < TABLE:
             self.table.update(again)
-        fresh = self._fresh_chunks(needed - again.keys())
         if len(young) > YOUNG:
             young.clear()
         young.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST)
@@ -92,6 +119,13 @@ class Encoder:
         whole = iter(self.plain([t for t, parts in zip(texts, cut, strict=True) if parts is None]))
         return [next(whole) if ids is None else np.frombuffer(b"".join(ids), np.uint32) for ids in known]
 
+    def _cut(self, text: str) -> list[str] | None:
+        """The text's pieces; None if it has white space of which only the library knows what it does."""
+        odd = _ODD.search(text)
+        if odd and not text.isascii():
+            return None
+        return text.split() if self.words and not odd else self.chunk.findall(text)
+
     def _fresh_chunks(self, chunks: set[str]) -> dict[str, bytes]:
         """The ids of each chunk, as bytes: chunks stand in one text between marks that are a token each."""
         mark, name = self.mark

@@ -53,7 +53,7 @@ def test_long_unsplit(library, text):
 
 def test_words_against_the_library():
     library, own, rnd = Tokenizer.from_file(WORD), Encoder(WORD, "no_space"), random.Random(5)
-    parts = [*PARTS, "7", "a7", "́", "Σ", "İ", "'S", "</w>", "<|startoftext|>"]
+    parts = [*PARTS, "(", ".", "_", "Word", "ÿ", "²", "7", "a7", "́", "Σ", "İ", "'S", "</w>", "<|startoftext|>"]
     texts = ["".join(rnd.choice(v) for _ in range(rnd.randint(0, 60))) for v in (rnd.sample(parts, rnd.choice([1, 2, 3, 6, len(parts)])) for _ in range(3000))]
     for text, ids in zip(texts, own.encode_words(texts), strict=True):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text

@@ -11,6 +11,9 @@ from lodestar.llm import _store, byte_cnn, ffd_packing, minhash, suffix_quality
 #: A document goes if its text has no letter or its likeliest language is less sure than this.
 LEAST_SURE = 0.3
 
+#: Texts are near-duplicates if their sets of five-word shingles have this similarity, in percent.
+NEAR = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the suffix-array rules keep."""
@@ -30,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest doc_id."""
     _store.ship(spark)
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
+    gone = minhash.near_duplicates(docs, percent=NEAR).where("NOT kept").select("doc_id")
     gone = _store.on_disk(gone)
     return _store.only(docs, "doc_id", gone, "doc_id", "left_anti").select(*docs.columns)
 

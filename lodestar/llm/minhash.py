@@ -2,10 +2,10 @@
 
 1. A text's set is its distinct shingles of five lower-cased words (a shorter text: its words as one). Texts of equal
    sets make one class from here on, known by a 128-bit fingerprint and its smallest doc_id, so exact copies cost no pairs.
-2. 125 minima of (a * x + b) mod 2**64 are a class's signature; 25 bands of five are its buckets. At a similarity of 0.85
-   two classes share no bucket with a chance of 4e-7.
+2. Minima of (a * x + b) mod 2**64 are a class's signature; bands of five are its buckets, as many as leave two classes
+   of the least similarity without a common bucket with a chance of at most 5e-7: 25 bands at 0.85, 37 at 0.80.
 3. In each bucket, all are paired with one centre, the class that meets most others over all bands. A pair goes on if
-   its signatures agree in 0.70 of the places (4.7 standard deviations below 0.85) and is confirmed on the full sets.
+   its signatures agree in enough places (4.7 standard deviations below the least similarity, 0.70 at 0.85) and is confirmed on the full sets.
 4. Components of the confirmed links. Where a bucket still holds several components, members of different ones are
    compared in blocks of bounded size, by signature and then on full sets. A block gives links, never candidate pairs,
    and a bucket whose members are all joined costs nothing, so no link is lost and no group becomes all its pairs.
@@ -21,7 +21,9 @@ are judged by their own texts.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,8 @@ from ._batches import annotated, bytes_of, pieces
 from ._store import on_disk, only, written
 from ._words import mixed, shingle_hashes, words_of
 
-BANDS, ROWS = 25, 5
-HASHES = BANDS * ROWS
-_rng = np.random.Generator(np.random.PCG64(85))
-_A = _rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 2**64, HASHES, dtype=np.uint64)
+#: Places of a band, and the chance that two classes of the least similarity share no bucket.
+ROWS, MISSED = 5, 5e-7
 #: Members of a bucket compared at once, and of a centre's group confirmed in one run.
 BLOCK, GROUP = 1000, 400
 
@@ -52,18 +51,31 @@ def _sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def minima(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """Bands that leave two classes of this similarity without a common bucket with a chance of at most MISSED."""
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)))) if percent < 100 else 1
+
+
+@lru_cache
+def _coefficients(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.Generator(np.random.PCG64(85))
+    a = rng.integers(0, 2**64, hashes, dtype=np.uint64) | np.uint64(1)
+    return a, rng.integers(0, 2**64, hashes, dtype=np.uint64)
+
+
+def minima(h: np.ndarray, first: np.ndarray, hashes: int) -> np.ndarray:
     """Signatures, a row for each text that has shingles."""
     starts = first[:-1][first[1:] > first[:-1]]
-    out = np.empty((len(starts), HASHES), np.uint32)
+    out = np.empty((len(starts), hashes), np.uint32)
     if len(starts):
-        for k in range(HASHES):
-            out[:, k] = np.minimum.reduceat(h * _A[k] + _B[k], starts) >> np.uint64(32)
+        for k, (a, b) in enumerate(zip(*_coefficients(hashes), strict=True)):
+            out[:, k] = np.minimum.reduceat(h * a + b, starts) >> np.uint64(32)
     return out
 
 
-def signatures(df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+def signatures(df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, the set's fingerprint and its signature (null for an empty set)."""
+    hashes = ROWS * bands_for(percent)
 
     def make() -> Callable[[pa.Array], dict]:
         def run(texts: pa.Array) -> dict:
@@ -71,7 +83,7 @@ def signatures(df: DataFrame, doc: str = "doc_id", text: str = "text", shingle:
             n = np.diff(first)
             own = np.flatnonzero(n)
             prints = _prints(h, first)
-            signed = minima(h, first)
+            signed = minima(h, first, hashes)
             columns: dict = {"n_shingles": n, "fingerprint": [None] * len(n), "signature": [None] * len(n)}
             for k, i in enumerate(own.tolist()):
                 columns["fingerprint"][i] = prints[k].tobytes()
@@ -85,6 +97,7 @@ def signatures(df: DataFrame, doc: str = "doc_id", text: str = "text", shingle:
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
     """The pairs (x, c) whose signatures agree in ``least`` places and whose sizes allow the similarity."""
+    hashes = ROWS * bands_for(percent)
     side = lambda k: classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("signature").alias(f"s_{k}"))
     both = pairs.join(side("x"), "x").join(side("c"), "c")
     both = both.where(F.least("n_x", "n_c") * 100 >= F.greatest("n_x", "n_c") * percent).select("x", "c", "s_x", "s_c")
@@ -93,7 +106,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, least: int, percent: int) ->
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                a, b = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint32).reshape(-1, HASHES) for k in (2, 3))
+                a, b = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint32).reshape(-1, hashes) for k in (2, 3))
                 good = pa.array((a == b).sum(1) >= least)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["x", "c"])
 
@@ -167,7 +180,7 @@ def _block_pairs(block: list[dict], least: int, percent: int) -> Iterator[tuple[
     comp, n, own = (np.array([r[k] for r in block]) for k in ("component", "n", "own"))
     if (comp == comp[0]).all():
         return
-    sig = np.frombuffer(b"".join(r["signature"] for r in block), np.uint32).reshape(-1, HASHES)
+    sig = np.frombuffer(b"".join(r["signature"] for r in block), np.uint32).reshape(len(block), -1)
     short = sig.astype(np.uint8)
     names, counts = np.unique(comp, return_counts=True)
     largest, band, apart = names[counts.argmax()], block[0]["band"], block[0]["i"] != block[0]["j"]
@@ -263,13 +276,15 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, least: int
 
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row; a link needs 100 * intersection >= percent * union."""
-    least = int((percent / 100 - 4.7 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5) * HASHES)
+    n_bands = bands_for(percent)
+    hashes = ROWS * n_bands
+    least = int((percent / 100 - 4.7 * (percent / 100 * (1 - percent / 100) / hashes) ** 0.5) * hashes)
     docs = df.select(df[doc].cast("bigint").alias("doc_id"), df[text].cast("string").alias("text"))
-    signed = on_disk(signatures(docs, shingle=shingle))
+    signed = on_disk(signatures(docs, shingle=shingle, percent=percent))
     usable = signed.where("doc_id IS NOT NULL AND signature IS NOT NULL")
     classes = usable.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = written(classes, "classes", rows=signed.count())
-    bands = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(signature, {4 * ROWS * b + 1}, {4 * ROWS})")) for b in range(BANDS)])
+    bands = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(signature, {4 * ROWS * b + 1}, {4 * ROWS})")) for b in range(n_bands)])
     banded = classes.select("rep", F.posexplode(bands).alias("band", "h"))
     sizes = banded.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     met = on_disk(banded.join(sizes, "h"))

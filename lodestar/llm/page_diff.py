@@ -2,7 +2,7 @@
 
 A page becomes its lines, the blocks of visible text in order, each outside menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments as far as elements, roles and class names say so. Lines inside an
-article (or main) element are the page's own. Where a page has no such element, its lines are unclear: it is paired with
+article (or main) element are the page's own, all others are unclear. A page with unclear lines is paired with
 the page next to it by URL path within its host, both pages' lines are aligned by longest common subsequence, and unclear
 lines that both share are deleted, unless the pages share most of their lines and so are copies of each other.
 
@@ -208,7 +208,6 @@ def main_text(df: DataFrame, page: str = "page_id", url: str = "url", html: str
         key = TaskContext.get().partitionId() << 34
         for piece in pieces(batches, "html"):
             got = [lines_of(h or "") for h in piece.column("html").to_pylist()]
-            got = [[(line, sure) for line, sure in g if sure] if any(s for _, s in g) else g for g in got]
             keys = list(range(key, key + len(got)))
             key += len(got)
             yield pa.RecordBatch.from_arrays([

@@ -4,7 +4,9 @@ A page becomes its lines, the blocks of visible text in order, each outside menu
 adverts, forms, scripts, styles and reader comments as far as elements, roles and class names say so. Lines inside an
 article (or main) element are the page's own, all others are unclear. A page with unclear lines is paired with
 the page next to it by URL path within its host, both pages' lines are aligned by longest common subsequence, and unclear
-lines that both share are deleted, unless the pages share most of their lines and so are copies of each other.
+lines that both share are deleted. Pages of a host with the same lines are copies: one of them, the first by URL, stands
+for all in the order, so that a copy meets a page of other lines; pages without lines are no neighbours. A host whose
+pages are all copies has nothing to compare and keeps its lines. Pages that differ in a few lines are no copies.
 
 Differencing alone is not right for pages that mark their article: menus and footers there may be new on every page,
 and passages that two articles share belong to both. Only keys go through the sort by URL, in ranges
@@ -13,6 +15,7 @@ that a host's pages share out; lines of pages are moved only for pages with uncl
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -171,12 +174,9 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def own_text(lines: list[tuple[str, bool]], other: list[str], copies: float = 0.7) -> list[str]:
+def own_text(lines: list[tuple[str, bool]], other: list[str]) -> list[str]:
     """The page's lines without the unclear ones that the other page shares."""
-    mine = [line for line, _ in lines]
-    shared = shared_lines(mine, other)
-    if len(shared) >= copies * max(len(mine), len(other)):
-        shared = set()
+    shared = shared_lines([line for line, _ in lines], other)
     return [line for k, (line, sure) in enumerate(lines) if sure or k not in shared]
 
 
@@ -197,12 +197,22 @@ def neighbours(pages: DataFrame) -> DataFrame:
     return near.select("key", "unclear", F.coalesce("lag", "before", "lead", "behind").alias("other"))
 
 
+def pairings(parsed: DataFrame) -> DataFrame:
+    """key and other of the unclear pages: the page next to the first page of the same lines, which has other lines."""
+    first = F.min(F.struct("path", "url", "page_id", "key")).alias("first")
+    firsts = parsed.where(F.size("lines") > 0).groupBy("host", "digest").agg(first, F.max("unclear").alias("unclear"))
+    firsts = written(firsts.select("host", "digest", "first.*", "unclear"), "page-firsts", "zstd")
+    near = neighbours(firsts).where("unclear AND other IS NOT NULL").select("key", "other")
+    near = firsts.select("host", "digest", "key").join(near, "key").drop("key")
+    return parsed.where("unclear").select("host", "digest", "key").join(near, ["host", "digest"]).select("key", "other")
+
+
 def main_text(df: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     bare = F.regexp_replace(F.coalesce(df[url].cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
     rows = df.select(df[page].alias("page_id"), df[url].cast("string").alias("url"), F.lower(F.regexp_extract(bare, "^[^/]*", 0)).alias("host"), F.regexp_extract(bare, "/.*$", 0).alias("path"), df[html].cast("string").alias("html"))
     kinds = [to_arrow_type(rows.schema[c].dataType) for c in ("page_id", "url", "host", "path")]
-    fields = f"key bigint, page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, path string, lines array<string>, sure array<boolean>, unclear boolean"
+    fields = f"key bigint, page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, path string, lines array<string>, sure array<boolean>, unclear boolean, digest binary"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 34
@@ -214,10 +224,11 @@ def main_text(df: DataFrame, page: str = "page_id", url: str = "url", html: str
                 pa.array(keys, pa.int64()), *(piece.column(c).cast(k) for c, k in zip(("page_id", "url", "host", "path"), kinds, strict=True)),
                 pa.array([[line for line, _ in g] for g in got], pa.list_(pa.string())), pa.array([[s for _, s in g] for g in got], pa.list_(pa.bool_())),
                 pa.array([any(not s for _, s in g) for g in got], pa.bool_()),
-            ], names=["key", "page_id", "url", "host", "path", "lines", "sure", "unclear"])
+                pa.array([hashlib.blake2b("\n".join(line for line, _ in g).encode("utf-8", "surrogatepass"), digest_size=16).digest() for g in got], pa.binary()),
+            ], names=["key", "page_id", "url", "host", "path", "lines", "sure", "unclear", "digest"])
 
     parsed = written(rows.mapInArrow(parse, fields), "page-lines", "zstd")
-    beside = written(neighbours(parsed).where("unclear AND other IS NOT NULL").select("key", "other"), "page-neighbours")
+    beside = written(pairings(parsed), "page-neighbours")
     others = only(parsed, "key", beside, "other").select(F.col("key").alias("other"), F.col("lines").alias("other_lines"))
     pairs = parsed.where("unclear").join(beside, "key", "left").join(others, "other", "left")
 

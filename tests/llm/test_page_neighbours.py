@@ -13,3 +13,13 @@ def test_lines_outside_articles(spark):
     page = lambda own, after: f"<div>Start</div><article><p>Licence</p><p>{own}</p></article><p>{after}</p><div>All rights</div>"
     got = texts(spark, [(1, "http://m.org/1", page("mine", "Postscript")), (2, "http://m.org/2", page("yours", "Errata"))])
     assert got == {1: "Licence\nmine\nPostscript", 2: "Licence\nyours\nErrata"}
+
+
+def test_short_articles_and_copies(spark):
+    page = lambda *own: "".join(f"<p>{x}</p>" for x in (*(f"Menu {k}" for k in range(12)), *own, *(f"Foot {k}" for k in range(8))))
+    rows = [
+        (1, "http://t.org/1", page("a", "b", "c")), (2, "http://t.org/2", page("d", "e", "f")),
+        (3, "http://k.org/1", page("g", "h")), (4, "https://k.org/1", page("g", "h")), (5, "http://k.org/1?x=1", page("g", "h")), (6, "http://k.org/2", page("i")), (7, "http://k.org/0", ""),
+        (8, "http://c.org/1", "<p>x</p>"), (9, "http://c.org/2", "<p>x</p>"),
+    ]
+    assert texts(spark, rows) == {1: "a\nb\nc", 2: "d\ne\nf", 3: "g\nh", 4: "g\nh", 5: "g\nh", 6: "i", 7: "", 8: "x", 9: "x"}

@@ -1,7 +1,8 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
 A document's tokens are cut at multiples of the capacity into pieces; what is left over is a shorter piece. Pieces are
-dealt to groups of about ``group_rows`` by a hash, and each group is packed alone: from the longest piece on, each goes
+dealt to groups of about ``group_rows`` by a hash of their place in the table, whatever they hold, so equal rows part,
+and each group is packed alone: from the longest piece on, each goes
 to the first sequence with room, which the tree (each node: the most room below it) finds in a logarithm of steps.
 Groups are independent and of bounded size, so the work grows with the input and any group can be done again alone.
 
@@ -76,9 +77,9 @@ def first_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def packed(df: DataFrame, size: str = "length", capacity: int = 4096, group_rows: int = 4000, ties: tuple[str, ...] = ("doc_id", "start", "ids_crc32")) -> DataFrame:
-    """``df`` with sequence_id and offset; rows need a size from 1 to ``capacity``. ``ties`` orders equal sizes."""
+    """``df`` read from storage, with sequence_id and offset; rows need a size from 1 to ``capacity``. ``ties`` orders equal sizes."""
     groups = max(1, -(-df.count() // group_rows))
-    dealt = df.withColumn("sequence_id", F.pmod(F.xxhash64(*ties), F.lit(groups)).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint"))
+    dealt = df.withColumn("sequence_id", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint"))
 
     def run(table: pa.Table) -> pa.Table:
         order = pc.sort_indices(table, sort_keys=[(size, "descending"), *((c, "ascending") for c in ties)])

@@ -2,13 +2,14 @@
 
 A text of more than ``leaf`` characters that is encoded without being split first is halved, down to leaves; the leaves
 of a whole batch are encoded together. Neighbours are joined up the tree: a window around the join is encoded anew and
-grows until both sides agree with it exactly. They agree where the window begins (ends) at a place at which the
-tokenizer's own splitting surely starts afresh, or where the window's first (last) tokens are those that the side has
-there: a sequence of BPE tokens is the encoding of its text if each two neighbours are that of theirs, which the shared
-tokens carry over. A window that reaches both ends is the plain encoding of the two.
-
-A leaf's pieces between white space repeat, so their ids are kept in a bounded table of each worker. With a vocabulary
-that parts letters from signs and lower-cases, a piece such as ``(Word,`` has the ids of its three parts.
+grows until both sides agree with it exactly. A side agrees where the window ends at a place at which the tokenizer's
+own splitting surely starts afresh (white space behind anything else), or inside a run of letters, digits, signs or
+white space that the splitting can't part there, if the window's outermost tokens are those that the side has: a run's
+tokens are its encoding if each two neighbours are that of theirs, which the shared tokens carry over. A window that
+reaches both ends is the plain encoding of the two.
+
+A leaf's units (runs of letters, digits or signs, each with the space before it; words with any other character whole)
+repeat, so their ids are kept in a bounded table of each worker, found by a 64-bit hash of units up to 48 bytes.
 Null texts count as empty and have no tokens. Strings of special tokens become special tokens, as the library does.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -25,33 +27,125 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._batches import annotated
-
-#: White space beyond ASCII; texts with it are not cut into pieces.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-_CHUNK = {
-    # GPT-2 style splitting: one space goes with the word after it.
-    "space_first": re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"),
-    # White space is dropped.
-    "no_space": re.compile(r"[^ \t-\r]+"),
-}
-#: What parts chunks that are encoded as one text: it is one token there, and no other chunk is.
-_MARK = {"space_first": ("\n", "\n"), "no_space": ("7", "7")}
-#: Entries of the table of pieces that came again, of the table of pieces seen lately, and the longest piece in them.
-TABLE, YOUNG, LONGEST = 300_000, 200_000, 48
-
-
-#: ASCII signs that are tokens apart from letters; an apostrophe may begin an ending.
-_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-def _parted(chunk: str) -> tuple[str, ...] | None:
-    """Signs, letters (lower-case where ASCII) and signs that a piece is made of; None if it has other characters or is one part."""
-    word = chunk.strip(_SIGNS)
-    if not word.isalpha() or word[0] > "\xff" or word[-1] > "\xff":
-        return None
-    at = chunk.index(word)
-    low = word.lower() if word.isascii() else word
-    return None if low == chunk else tuple(filter(None, (chunk[:at], low, chunk[at + len(word) :])))
+from ._words import _ramp, span_hashes
+
+#: White space beyond ASCII, and characters that were white space in some version of Unicode; texts with them are not cut into units.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: What parts units that are encoded as one text: it is one token there, and no other unit is.
+_MARK = {"space_first": "\n", "no_space": "7"}
+#: Units and ids in a worker's table, and the bytes of its longest unit; bytes of text whose units are found at once.
+TABLE, TABLE_IDS, LONGEST, AT_ONCE = 400_000, 4_000_000, 48, 1 << 21
+
+#: Kinds of bytes: white space, letters, signs, digits, and what only the library knows about (an apostrophe may begin an ending).
+_SPACE, _LETTER, _SIGN, _DIGIT, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, *range(9, 14)]] = _SPACE
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = _SIGN
+_KIND[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
+_KIND[[b for b in range(128) if chr(b).isdigit()]] = _DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """The kind of each byte; the letters of Latin-1 beyond ASCII begin with byte C3."""
+    kind = _KIND[raw]
+    at = np.flatnonzero(raw[:-1] == 0xC3)
+    at = at[(raw[at + 1] != 0x97) & (raw[at + 1] != 0xB7)]
+    kind[at] = kind[at + 1] = _LETTER
+    return kind
+
+
+def _folded(raw: np.ndarray) -> np.ndarray:
+    """Letters of Latin-1 in lower case."""
+    out = _LOWER[raw]
+    at = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    at = at[(raw[at] < 0x9F) & (raw[at] != 0x97)]
+    out[at] += 0x20
+    return out
+
+
+def units(raw: np.ndarray, at: np.ndarray, spaces: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, whether a byte is in a word that only the library knows to split) of the units of texts end to end.
+
+    White space is dropped, or with ``spaces`` goes as GPT-2's splitting has it: one space with the unit after it, the
+    rest of a run, and a last one that is no space, apart."""
+    kind = _kinds(raw)
+    space = kind == _SPACE
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[at] = True
+    edge[0] = edge[-1] = True
+    turn = np.ones(len(raw) + 1, bool)
+    turn[1:-1] = space[1:] != space[:-1]
+    turn |= edge
+    run = np.flatnonzero(turn)  # words and runs of white space, and the end
+    first, last = run[:-1], run[1:]
+    blank = space[first]
+    word_first, word_last = first[~blank], last[~blank]
+    which = np.cumsum(turn[:-1] & ~space) - 1  # the word of each byte that is no white space
+    whole = np.zeros(len(word_first), bool)
+    whole[which[kind == _OTHER]] = True
+    parts = np.zeros(len(raw), bool)
+    parts[1:] = kind[1:] != kind[:-1]
+    if not spaces:
+        parts |= kind == _DIGIT
+    parts &= ~space
+    inside = np.flatnonzero(parts)
+    parts[inside[whole[which[inside]]]] = False
+    alone = whole[which] & ~space if len(whole) else space & False
+    parts[word_first] = True
+    start = np.flatnonzero(parts)
+    end = np.minimum(np.append(start[1:], len(raw)), word_last[which[start]])
+    if not spaces:
+        return start, end, alone
+    ahead = word_first > 0
+    ahead[ahead] = (raw[word_first[ahead] - 1] == 0x20) & ~edge[word_first[ahead]]
+    start[np.searchsorted(start, word_first[ahead])] -= 1
+    lo, hi = first[blank], last[blank]
+    follows = ~edge[hi]  # a word stands behind the run
+    rest = np.where(follows, hi - 1, hi)
+    apart = follows & (raw[hi - 1] != 0x20)
+    full = rest > lo
+    start, end = np.concatenate([start, lo[full], hi[apart] - 1]), np.concatenate([end, rest[full], hi[apart]])
+    order = np.argsort(start, kind="stable")
+    return start[order], end[order], alone
+
+
+class _Table:
+    """Ids of units by hash; beyond its bounds it keeps the units that were met most."""
+
+    def __init__(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.hash = self.first = self.size = self.met = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, hashes: list[int]) -> np.ndarray:
+        return np.array([-1 if x is None else x for x in map(self.slot.get, hashes)], np.int64)
+
+    def add(self, hashes: list[int], ids: list[np.ndarray]) -> np.ndarray:
+        at = len(self.hash) + np.arange(len(hashes))
+        size = np.array([len(x) for x in ids], np.int64)
+        self.slot.update(zip(hashes, at.tolist(), strict=True))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.met = np.concatenate([self.size, size]), np.concatenate([self.met, np.zeros(len(at), np.int64)])
+        self.hash = np.concatenate([self.hash, np.array(hashes, np.uint64).astype(np.int64)])
+        self.ids = np.concatenate([self.ids, *ids])
+        return at
+
+    def ids_of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the units end to end, how many each has)."""
+        size = self.size[slots]
+        return self.ids[np.repeat(self.first[slots], size) + _ramp(size)], size
+
+    def bound(self) -> None:
+        if len(self.hash) <= TABLE and len(self.ids) <= TABLE_IDS:
+            return
+        order = np.argsort(-self.met, kind="stable")
+        kept = order[: TABLE // 2][np.cumsum(self.size[order[: TABLE // 2]]) <= TABLE_IDS // 2]
+        ids, size = self.ids_of(kept)
+        self.ids, self.size, self.first = ids, size, np.cumsum(size) - size
+        self.hash, self.met = self.hash[kept], self.met[kept] // 2
+        self.slot = dict(zip(self.hash.astype(np.uint64).tolist(), range(len(kept)), strict=True))
 
 
 def _byte_chars() -> dict[str, int]:
@@ -70,10 +164,8 @@ class Encoder:
         self.own = Tokenizer.from_file(path)
         self.own.no_padding()
         self.own.no_truncation()
-        self.leaf, self.chunk, self.table, self.young, self.mark = leaf, _CHUNK[kind], {}, {}, _MARK[kind]
-        apart, small, signs = (self.own.encode(t, add_special_tokens=False).ids for t in ("(Ab,", "ab", ","))
-        self.words = kind == "no_space" and apart[1:] == small + signs
-        (self.mark_id,) = self.own.encode(self.mark[1], add_special_tokens=False).ids
+        self.leaf, self.spaces, self.mark, self.table = leaf, kind == "space_first", _MARK[kind], _Table()
+        (self.mark_id,) = self.own.encode(self.mark, add_special_tokens=False).ids
         names, special = self.own.get_vocab(with_added_tokens=True), self.own.get_added_tokens_decoder()
         chars = _byte_chars()
         self.bytes = [b""] * (max(names.values()) + 1)
@@ -88,57 +180,65 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def leaves(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of short texts; what the tables lack goes to the library as one text."""
-        get, young = self.table.get, self.young
-        cut = [self._cut(t) for t in texts]
-        known = [None if parts is None else list(map(get, parts)) for parts in cut]
-        holes = [[] if ids is None or None not in ids else [k for k, x in enumerate(ids) if x is None] for ids in known]
-        needed = {cut[n][k] for n, at in enumerate(holes) for k in at}
-        again = {c: young[c] for c in needed if c in young}
-        needed -= again.keys()
-        parted = {c: parts for c in needed if (parts := _parted(c))} if self.words else {}
-        for part in {part for parts in parted.values() for part in parts}:
-            ids = get(part) or young.get(part)
-            if ids is None:
-                needed.add(part)
-            else:
-                again[part] = ids
-        fresh = self._fresh_chunks(needed - parted.keys())
-        have = fresh | again
-        fresh |= {c: b"".join(map(have.__getitem__, parts)) for c, parts in parted.items()}
-        if len(self.table) < TABLE:
-            self.table.update(again)
-        if len(young) > YOUNG:
-            young.clear()
-        young.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST)
-        fresh |= again
-        for n, at in enumerate(holes):
-            parts, ids = cut[n], known[n]
-            for k in at:
-                ids[k] = fresh[parts[k]]
-        whole = iter(self.plain([t for t, parts in zip(texts, cut, strict=True) if parts is None]))
-        return [next(whole) if ids is None else np.frombuffer(b"".join(ids), np.uint32) for ids in known]
-
-    def _cut(self, text: str) -> list[str] | None:
-        """The text's pieces; None if it has white space of which only the library knows what it does."""
-        odd = _ODD.search(text)
-        if odd and not text.isascii():
-            return None
-        return text.split() if self.words and not odd else self.chunk.findall(text)
-
-    def _fresh_chunks(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of each chunk, as bytes: chunks stand in one text between marks that are a token each."""
-        mark, name = self.mark
-        plain = [c for c in chunks if not c.isspace() and name not in c]
-        rest = [c for c in chunks if c.isspace() or name in c]
-        out = dict(zip(rest, (x.tobytes() for x in self.plain(rest)), strict=True))
-        for lo in range(0, len(plain), 5000):
-            some = plain[lo : lo + 5000]
-            ids = self.plain([mark + mark.join(some) + mark])[0]
+        """Ids of texts that are not halved; units that the table lacks go to the library as one text."""
+        odd = [bool(_ODD.search(t)) for t in texts]
+        whole, cut = iter(self.plain([t for t, x in zip(texts, odd, strict=True) if x])), [t.encode() for t, x in zip(texts, odd, strict=True) if not x]
+        got: list[np.ndarray] = []
+        lo = 0
+        while lo < len(cut):
+            hi, size = lo + 1, len(cut[lo])
+            while hi < len(cut) and size + len(cut[hi]) <= AT_ONCE:
+                size += len(cut[hi])
+                hi += 1
+            got += self._by_units(cut[lo:hi])
+            lo = hi
+        rest = iter(got)
+        return [next(whole) if x else next(rest) for x in odd]
+
+    def _by_units(self, texts: list[bytes]) -> list[np.ndarray]:
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        if not len(raw):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        start, end, alone = units(raw, at, self.spaces)
+        body = raw if self.spaces else np.where(alone, raw, _folded(raw))
+        hashes = span_hashes(body, start, end)
+        long = np.flatnonzero(end - start > LONGEST)
+        hashes[long] = np.arange(len(long), dtype=np.uint64)  # told apart by place; never kept
+        keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        names = keys.tolist()
+        slots = self.table.find(names)
+        slots[: np.searchsorted(keys, np.uint64(len(long)))] = -1
+        missing = np.flatnonzero(slots < 0)
+        data = body.tobytes()
+        fresh = self._fresh([data[a:b].decode() for a, b in zip(start[where[missing]].tolist(), end[where[missing]].tolist(), strict=True)])
+        kept = len(long)
+        slots[missing] = self.table.add([names[k] for k in missing.tolist()], fresh)
+        self.table.met[slots] += 1
+        ids, size = self.table.ids_of(slots[inverse])
+        if kept:
+            self.table.met[slots[missing[:kept]]] = -1
+            for k in range(kept):
+                self.table.slot.pop(k, None)
+        self.table.bound()
+        ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, at)]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _fresh(self, chunks: list[str]) -> list[np.ndarray]:
+        """The ids of each unit: units stand in one text between marks that are a token each."""
+        mark, out = self.mark, [np.zeros(0, np.uint32)] * len(chunks)
+        alone = [k for k, c in enumerate(chunks) if c.isspace() or mark in c]
+        for k, ids in zip(alone, self.plain([chunks[k] for k in alone]), strict=True):
+            out[k] = ids
+        alone = set(alone)
+        rest = [k for k in range(len(chunks)) if k not in alone]
+        for lo in range(0, len(rest), 5000):
+            some = rest[lo : lo + 5000]
+            ids = self.plain([mark + mark.join([chunks[k] for k in some]) + mark])[0]
             at = np.flatnonzero(ids == self.mark_id)
             assert len(at) == len(some) + 1
-            data = ids.tobytes()
-            out.update((c, data[4 * a + 4 : 4 * b]) for c, a, b in zip(some, at[:-1].tolist(), at[1:].tolist(), strict=True))
+            for k, a, b in zip(some, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                out[k] = ids[a + 1 : b]
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -152,9 +252,11 @@ class Encoder:
         return self.special_at.split(text) if any(s in text for s in self.special) else [text]
 
     def encode_words(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text for a vocabulary that drops white space: pieces between white space stand alone."""
+        """Ids of each text for a vocabulary that drops white space: units stand alone."""
         split = [self._split(t) for t in texts]
-        ids = iter(self.leaves([part for parts in split for part in parts[::2]]))
+        parts = [list(_lengths(part)) for some in split for part in some[::2]]
+        got = iter(self.leaves([x for some in parts for x in some]))
+        ids = iter([next(got) if len(some) == 1 else np.concatenate([next(got) for _ in some]) for some in parts])
         return [next(ids) if len(parts) == 1 else np.concatenate([np.array([self.special[p]], np.uint32) if k % 2 else next(ids) for k, p in enumerate(parts)]) for parts in split]
 
     def _trees(self, texts: list[str]) -> list[np.ndarray]:
@@ -170,55 +272,107 @@ class Encoder:
         return out
 
     def _bounds(self, text: str) -> list[int]:
+        """Where leaves meet: even parts, and multiples of 64 where leaves are long, so that runs of one pattern agree."""
         if len(text) <= self.leaf:
             return [0, len(text)]
-        n = 1 << (-(-len(text) // self.leaf) - 1).bit_length()
-        return [len(text) * k // n for k in range(n + 1)]
+        n, even = 1 << (-(-len(text) // self.leaf) - 1).bit_length(), 64 if self.leaf >= 512 else 1
+        return [len(text) * k // n // even * even for k in range(n)] + [len(text)]
 
     def join(self, left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray) -> tuple[str, np.ndarray]:
         """The encoding of both texts together."""
         size = 32
         while True:
             a, b = max(0, len(left) - size), min(len(right), size)
+            if a == 0 and b == len(right):
+                return left + right, self.plain([left + right])[0]
             tail, head = left[a:], right[:b]
-            before = self._places(tail, left_ids, from_end=True)
-            after = self._places(head, right_ids, from_end=False)
-            begin = 0 if a == 0 else self._fresh(tail, min(before, default=len(tail)), first=True)
-            stop = len(head) if b == len(right) else self._fresh(head, 0, first=False)
-            lo = begin if begin in before else min(before, default=None)
-            hi = stop if stop in after else max(after, default=None)
-            if lo is not None and hi is not None:
+            begin, stop = self._before(tail, left_ids, a == 0), self._behind(head, right_ids, b == len(right))
+            if begin and stop:
+                (lo, i, begins), (hi, j, stops) = begin, stop
                 window = self.plain([tail[lo:] + head[:hi]])[0]
-                i, j = before[lo], after[hi]
-                agree = (lo == begin or _same(window[:2], left_ids[i : i + 2])) and (hi == stop or _same(window[-2:], right_ids[max(j - 2, 0) : j]))
-                if agree or (a == 0 and b == len(right)):
+                if (begins or _same(window[:2], left_ids[i : i + 2])) and (stops or _same(window[-2:], right_ids[max(j - 2, 0) : j])):
                     return left + right, np.concatenate([left_ids[:i], window, right_ids[j:]])
-            elif a == 0 and b == len(right):
-                return left + right, self.plain([left + right])[0]
             size *= 2
 
-    def _places(self, text: str, ids: np.ndarray, from_end: bool) -> dict[int, int]:
-        """Character positions in ``text``, an end of the encoded text, at which tokens meet, with the tokens before."""
-        data = text.encode()
-        at_char = {0: 0}
-        for k, c in enumerate(text, 1):
-            at_char[len(c.encode()) + max(at_char)] = k
-        if from_end:
-            back = np.concatenate([[0], np.cumsum(self.sizes[ids[::-1][: len(data) + 1]])])
-            return {at_char[len(data) - int(x)]: len(ids) - k for k, x in enumerate(back) if len(data) - int(x) in at_char}
-        ahead = np.concatenate([[0], np.cumsum(self.sizes[ids[: len(data) + 1]])])
-        return {at_char[int(x)]: k for k, x in enumerate(ahead) if int(x) in at_char}
-
-    @staticmethod
-    def _fresh(text: str, least: int, first: bool) -> int | None:
-        """A place, not an end, at which splitting starts afresh whatever stands around: white space behind anything else."""
-        at = [k for k in range(max(1, least), len(text)) if text[k].isspace() and not text[k - 1].isspace() and text[k] in " \t\n\r\x0b\x0c" and not _ODD.search(text[k - 1])]
-        return (at[0] if first else at[-1]) if at else None
+    def _before(self, tail: str, ids: np.ndarray, whole: bool) -> tuple[int, int, bool] | None:
+        """(place in the tail of the left text where a window may begin, tokens of the left text before it, whether splitting surely starts afresh there)."""
+        starts = _char_starts(tail)
+        back = np.concatenate([[0], np.cumsum(self.sizes[ids[::-1][: starts[-1] + 1]])])
+        data = starts[-1] - back
+        tokens = len(ids) - np.arange(len(back))
+        places, tokens = data[data >= 0][::-1], tokens[data >= 0][::-1]
+        chars = np.searchsorted(starts, places)
+        met = starts[chars] == places
+        found = dict(zip(chars[met].tolist(), tokens[met].tolist(), strict=True))
+        afresh = next((k for k in range(len(tail) - 1, 0, -1) if _afresh(tail, k) and k in found), None)
+        if afresh is not None:
+            return afresh, found[afresh], True
+        if whole:
+            return 0, 0, True
+        place = next((k for k in sorted(found) if k < len(tail) and _one_run(tail, k)), None)
+        return None if place is None else (place, found[place], False)
+
+    def _behind(self, head: str, ids: np.ndarray, whole: bool) -> tuple[int, int, bool] | None:
+        """(place in the head of the right text where a window may end, tokens of the right text before it, whether splitting surely starts afresh there)."""
+        starts = _char_starts(head)
+        places = np.concatenate([[0], np.cumsum(self.sizes[ids[: starts[-1] + 1]])])
+        places = places[places <= starts[-1]]
+        chars = np.searchsorted(starts, places)
+        met = starts[chars] == places
+        found = dict(zip(chars[met].tolist(), np.flatnonzero(met).tolist(), strict=True))
+        afresh = next((k for k in range(1, len(head)) if _afresh(head, k) and k in found), None)
+        if afresh is not None:
+            return afresh, found[afresh], True
+        if whole:
+            return len(head), len(ids), True
+        place = next((k for k in sorted(found, reverse=True) if _one_run(head, k)), None)
+        return None if place is None else (place, found[place], False)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+def _char_starts(text: str) -> np.ndarray:
+    """The byte at which each character starts, and the bytes of the text."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+
+
+def _lengths(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """Parts of a text, cut in front of white space about each ``most`` characters."""
+    lo = 0
+    while len(text) - lo > most:
+        found = re.compile(r"[ \t-\r]").search(text, lo + most)
+        if not found:
+            break
+        yield text[lo : found.start()]
+        lo = found.start()
+    yield text[lo:]
+
+
+def _afresh(text: str, k: int) -> bool:
+    """Whether splitting starts afresh at character ``k`` whatever stands around: white space behind anything else."""
+    return text[k] in " \t\n\r\x0b\x0c" and not text[k - 1].isspace() and not _ODD.search(text[k - 1])
+
+
+@cache
+def _run_kind(c: str) -> str | None:
+    """Letter, number, white space or sign; None for characters that are not the same in old and new versions of Unicode."""
+    if c in " \t\n\r\x0b\x0c":
+        return "Z"
+    now = unicodedata.category(c)
+    if _ODD.match(c) or now[0] in "ZC" or unicodedata.ucd_3_2_0.category(c) != now:
+        return None
+    return now[0] if now[0] in "LN" else "S"
+
+
+def _one_run(text: str, k: int) -> bool:
+    """Whether the characters around ``k`` are one run that splitting can't part there: three before (an ending such as
+    's is shorter) and three behind."""
+    kinds = {_run_kind(c) for c in text[k - 3 : k + 3]} if 3 <= k <= len(text) - 3 else {None}
+    return len(kinds) == 1 and None not in kinds
+
+
 def _same(a: np.ndarray, b: np.ndarray) -> bool:
     return len(a) == len(b) and bool((a == b).all())
 

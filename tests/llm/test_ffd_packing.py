@@ -50,3 +50,12 @@ def test_every_token_once(spark):
             at += r.length
         assert at <= 4096
     assert sum(r.length for r in got) / (4096 * len(by)) > 0.9
+
+
+def test_equal_rows_part(spark):
+    _store.ship(spark)
+    rows = _store.written(spark.range(5000).selectExpr("cast(null as bigint) AS doc_id", "0L AS start", "7L AS length", "5L AS ids_crc32", "7L AS doc_tokens"), "equal")
+    got = packed(rows, group_rows=500).collect()
+    groups = [r.sequence_id >> 32 for r in got]
+    assert len(got) == 5000 and max(map(groups.count, set(groups))) < 800
+    assert len({(r.sequence_id, r.offset) for r in got}) == 5000

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lodestar.llm import _store
+from lodestar.llm import _store, tree_bpe
 from lodestar.llm.tree_bpe import Encoder, encoding_digests
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -51,9 +51,39 @@ def test_long_unsplit(library, text):
     assert Encoder(BYTE, leaf=1000).encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+#: White space of every kind, and characters that only some versions of Unicode count as such.
+SPACES = [*" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎   ​    　﻿", "\r\n", "  "]
+MORE = [*PARTS, "'r", "e", "re", "ING'''", "Thing", "ı", "ﬁ", "Σ", "ǆ", "‍", "’s", "\U0001e900", "H̱", "x", "----", "____", "77"]
+
+
+@pytest.mark.parametrize("leaf", [4, 5, 7, 13, 16, 31, 64])
+def test_every_white_space(library, leaf):
+    rnd, own = random.Random(leaf), Encoder(BYTE, leaf=leaf)
+    texts = ["".join(rnd.choice(v) for _ in range(rnd.randint(0, 80))) for v in (rnd.sample(SPACES, rnd.choice([1, 2, 5])) + rnd.sample(MORE, rnd.choice([1, 2, 5])) for _ in range(2000))]
+    for text, ids, want in zip(texts, own.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == want.ids, ascii(text)
+
+
+@pytest.mark.parametrize("left, right", [("word ", "tail "), ("word", "tail")])
+def test_mixed_run_at_every_cut(library, left, right):
+    core = "ıThingﬁ\U0001f468‍\U0001f469‍\U0001f467oftext|>Σǆ77\x0b\xb2\x85ING'''reINGThingΣ's's<|end \x0b\x1f’s᠎   therend"
+    texts = [(left * 2000)[:pad] + core + (right * 2000)[: 8192 - pad - len(core)] for pad in range(3990, 4100)]
+    for text, ids, want in zip(texts, Encoder(BYTE, leaf=4096).encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == want.ids
+
+
+def test_a_full_table(monkeypatch, library):
+    monkeypatch.setattr(tree_bpe, "TABLE", 50)
+    own, rnd = Encoder(BYTE), random.Random(2)
+    for _ in range(30):
+        texts = ["".join(rnd.choice("abcdef \n!") for _ in range(300)) + "y" * rnd.choice([3, 60]) for _ in range(3)]
+        assert [x.tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.table.hash) <= 50
+
+
 def test_words_against_the_library():
     library, own, rnd = Tokenizer.from_file(WORD), Encoder(WORD, "no_space"), random.Random(5)
-    parts = [*PARTS, "(", ".", "_", "Word", "ÿ", "²", "7", "a7", "́", "Σ", "İ", "'S", "</w>", "<|startoftext|>"]
+    parts = [*PARTS, "H̱", "É", "×", "(", ".", "_", "Word", "ÿ", "²", "7", "a7", "́", "Σ", "İ", "'S", "</w>", "<|startoftext|>"]
     texts = ["".join(rnd.choice(v) for _ in range(rnd.randint(0, 60))) for v in (rnd.sample(parts, rnd.choice([1, 2, 3, 6, len(parts)])) for _ in range(3000))]
     for text, ids in zip(texts, own.encode_words(texts), strict=True):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text

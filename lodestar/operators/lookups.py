@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows up to which a dictionary or dimension is sent to every executor; a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a dictionary or dimension is sent to every executor; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows, which is counted first."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows and ``most_bytes`` of text, both counted first."""
+    row = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    about = df.limit(most + 1).select(row.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(df) if about["n"] <= most and (about["b"] or 0) <= most_bytes else df
 
 
 def interval_lookup(df: DataFrame, table: DataFrame, key: str, date: str, value: str = "standard_value", ident: str = "mapping_id") -> DataFrame:
@@ -70,12 +74,24 @@ def level_key(df: DataFrame, dimension: DataFrame, mapped: str, raw: str, undeci
     return joined.withColumn(name, F.when((F.col(name) == unknown) & F.coalesce(F.col(raw).isin(undecided), F.lit(False)), pending).otherwise(F.col(name)))
 
 
-def candidates(values: DataFrame, targets: DataFrame, value: str, target: str, top: int, score: Column) -> DataFrame:
-    """The ``top`` targets of each distinct value by ``score``, of columns ``value`` and ``target``; ties by target.
+def candidates(values: DataFrame, targets: DataFrame, value: str, target: str, top: int, score: Column, standard: str | None = None, blocks: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The ``top`` standard values of each distinct value by ``score``, of columns ``value`` and ``target``; ties by target.
 
-    Both sides are vocabularies, not facts: the targets are checked to be few and sent to every executor.
+    A standard value may have several texts: the best one of each counts and stays beside it as ``via``. ``blocks`` names what
+    a value and a text must share to be compared; without it every value meets every text, for vocabularies of which one
+    is checked to be small.
     """
-    known = small(targets.select(target).distinct(), 20_000)
-    pairs = values.select(value).where(F.col(value).isNotNull()).distinct().join(known, F.lit(True), "inner").withColumn("score", score)
-    best = W.partitionBy(value).orderBy(F.desc("score"), target)
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    wanted = values.select(value).where(F.col(value).isNotNull()).distinct()
+    named = F.col(standard) if standard else F.col(target)
+    known = targets.select(F.col(target), named.alias("__standard")).where(F.col(target).isNotNull()).distinct()
+    if blocks is None:
+        pairs = wanted.join(small(known, 20_000), F.lit(True), "inner")
+    else:
+        met = wanted.select(value, F.explode(blocks(F.col(value))).alias("__b")).join(known.select(target, F.explode(blocks(F.col(target))).alias("__b")).distinct(), "__b")
+        pairs = met.select(value, target).distinct().join(known, target)
+    scored = pairs.withColumn("score", score)
+    first = W.partitionBy(value, "__standard").orderBy(F.desc("score"), target)
+    via = scored.withColumn("__k", F.row_number().over(first)).where("__k = 1").withColumnRenamed(target, "via")
+    order = W.partitionBy(value).orderBy(F.desc("score"), "__standard")
+    ranked = via.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.select(value, F.col("__standard").alias(target), "score", "via", "rank")

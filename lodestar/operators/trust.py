@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.lookups import small
 from lodestar.specs import CERTIFIED, COMPONENTS, LEGITIMATE, LIMITED, PENDING_FLOOR, WEIGHING
 
 
@@ -16,7 +17,7 @@ def trust(results: DataFrame, depends: DataFrame) -> DataFrame:
     """
     used = F.col("severity").isin(*WEIGHING) & ~F.col("finding").isin(*LEGITIMATE) & (F.col("evaluated") > 0)
     lost = F.least(F.lit(1.0), F.col("failed") / F.col("evaluated")) * F.col("evaluated")
-    rows = results.join(F.broadcast(depends), "check_id").withColumn("weight", F.when(used, F.col("evaluated").cast("double"))).withColumn("lost", F.when(used, lost))
+    rows = results.join(small(depends), "check_id").withColumn("weight", F.when(used, F.col("evaluated").cast("double"))).withColumn("lost", F.when(used, lost))
     weight = F.sum("weight")
     parts = {name: F.col("finding").isin(*classes) for name, classes in COMPONENTS.items()}
     sums = rows.groupBy("metric", "cut").agg(

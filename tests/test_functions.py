@@ -1,3 +1,7 @@
+import re
+import unicodedata
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,12 +43,46 @@ def test_redaction(spark):
     assert column(spark, ["mail a.b@c.org or @someone", "call +55 11 98765-4321", "id 123.456.789-09", "order 12345678", "plain", None], text.redacted) == ["mail [email] or [handle]", "call [phone]", "id [id]", "order [number]", "plain", None]
 
 
-def test_similarity():
-    assert similarity.by_initials("CS", "Customer Service") == 0.97
-    assert similarity.by_prefix("Eng", "Engineering") == 0.82
-    assert similarity.by_prefix("Regi. Oper.", "Regional Operations") == 0.93
-    assert similarity.by_words("People & Culture", "People") == 0.80
-    assert similarity.by_sequence("", "") == 1.0
+def brute_scores(a, b):
+    """The four rules by plain loops over the words."""
+    stop = ("and", "da", "de", "do", "e", "of", "the")
+    plain = lambda v: " ".join(re.sub(r"[\s.&]+", " ", unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode().lower()).split())
+    x, y = ([w for w in plain(v).split() if w not in stop] for v in (a, b))
+    out = {"sequence": SequenceMatcher(None, plain(a), plain(b)).ratio(), "initials": 0.0, "prefix": 0.0, "words": 0.0}
+    if len(x) == 1 and len(y) > 1:
+        initials = "".join(w[0] for w in y)
+        out["initials"] = 0.97 if x[0] == initials else 0.85 if len(x[0]) > 1 and initials.startswith(x[0]) else 0.0
+    if x and len(x) == len(y):
+        if len(x) == 1:
+            s, t = sorted((x[0], y[0]), key=len)
+            out["prefix"] = (0.90 if len(s) > 3 else 0.82) if len(s) > 2 and t.startswith(s) else 0.0
+        else:
+            hits = sum(len(s) > 2 and t.startswith(s) for s, t in zip(x, y))
+            out["prefix"] = 0.93 if hits == len(x) else 0.55 + 0.2 * hits / len(x) if hits else 0.0
+    if set(x) & set(y):
+        out["words"] = max(len(set(x) & set(y)) / len(set(x) | set(y)), 0.8 if set(x) <= set(y) or set(y) <= set(x) else 0.0)
+    return out
+
+
+def test_similarity(spark):
+    names = ["CS", "Customer Service", "Customer Service Desk", "Eng", "Engineering", "Regi. Oper.", "Regional Operations", "People & Culture", "People", "", "of the", "São Paulo", "Sao", "Cust Serv North", "R&D", "C"]
+    rows = [(a, b) for a in names for b in names]
+    best = similarity.similarity(F.col("a"), F.col("b"))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", best.alias("s")).collect()
+    for r in got:
+        want = brute_scores(r.a, r.b)
+        top = max(want.values())
+        assert r.s.score == pytest.approx(top), (r.a, r.b)
+        assert r.s.method == (next(k for k, v in want.items() if v == top) if top else "none"), (r.a, r.b)
+    none = spark.createDataFrame([(None, "a"), ("a", None)], "a string, b string").select(best.alias("s")).collect()
+    assert {(r.s.score, r.s.method) for r in none} == {(0.0, "none")}
+
+
+def test_names_and_slugs(spark):
+    hide = lambda c: text.without_names(text.redacted(c), ("Customer Service Desk",), ("quem",))
+    values = ["ask Maria da Silva or John Smith", "the Customer Service", "Quem Sabe", "Plain text", "Ána Müller x@y.org", None, ""]
+    assert column(spark, values, hide) == ["ask [name] or [name]", "the Customer Service", "Quem Sabe", "Plain text", "[name] [email]", None, ""]
+    assert column(spark, ["Ação & Co.", "--", None], text.slug) == ["acao co", "", None]
 
 
 @pytest.mark.parametrize("rows", [1, 7, 1000])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestar.session import cut
 
 
 def monthly_deviation(ours: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -22,10 +25,25 @@ def recovery(told: DataFrame, truth: DataFrame, key: str, told_value: str, true_
     return sums.withColumn("recovered_rate", F.round(F.try_divide("recovered", "rows"), 6))
 
 
+def as_text(c: Column, kind: T.DataType) -> Column:
+    """A value as text, the same in any engine: six decimals of a fraction, seconds of a time, values of an array by commas."""
+    if isinstance(kind, T.ArrayType):
+        text = F.array_join(F.transform(c, lambda x: as_text(x, kind.elementType)), ",", "?")
+    elif isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        text = F.format_string("%.6f", c.cast("double"))
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        text = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    else:
+        text = c.cast("string")
+    return F.when(c.isNotNull(), text)
+
+
 def content_hash(df: DataFrame) -> DataFrame:
-    """(rows, columns, hash) of a table, whatever the order of its rows."""
-    row = F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns)], *[F.col(c).isNull() for c in sorted(df.columns)])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("hash"))
+    """(rows, columns, hash) of a table, whatever the order of its rows and columns: the sum of 60 bits of each row's MD5."""
+    names = sorted(df.columns)
+    row = F.concat_ws("\x1f", *[F.coalesce(as_text(df[c], df.schema[c].dataType), F.lit("?")) for c in names])
+    bits = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(names)).alias("columns"), F.coalesce(F.sum(bits), F.lit(0)).cast("decimal(38,0)").cast("string").alias("hash"))
 
 
 def provenance(manifests: dict[str, dict], keys: tuple[str, ...] = ("seed", "profile", "scale")) -> dict:
@@ -43,16 +61,34 @@ def first_rule(rules: list[tuple[str, str, object]], otherwise: str = "UNDETERMI
     return F.struct(code.alias("code"), rule.alias("rule"))
 
 
-def cycles(spark, edges: DataFrame, child: str, parent: str, steps: int = 50) -> DataFrame:
-    """(node) of each node on a cycle of the parent relation.
+def cycles(spark, edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node) of each node on a cycle of the parent relation, however long chains, tails and cycles are.
 
-    Pointers jump: each round doubles the steps that a pointer takes, so a chain of n needs log2(n) joins.
-    After the doubling, a node points into a cycle or to no one; the nodes pointed at are on cycles, and so are those
-    that the cycle's nodes point at in one step.
+    Pointers jump: each round doubles the steps that a pointer takes, so the longest chain of n costs log2(n) joins. The
+    nodes that are still pointed at only become fewer; when a round leaves as many, the pointers map them onto themselves,
+    and each is on a cycle.
     """
-    up = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("n"), F.col(parent).alias("p")).dropDuplicates(["n"])
-    jump = up
-    for _ in range(max(1, steps.bit_length())):
-        far = jump.select(F.col("n").alias("p"), F.col("p").alias("q"))
-        jump = jump.join(far, "p").select("n", F.col("q").alias("p"))
+    up = edges.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(F.col(child).alias("n"), F.col(parent).alias("p"))
+    jump = cut(up.groupBy("n").agg(F.min("p").alias("p")))
+    reached = jump.agg(F.count_distinct("p")).first()[0]
+    while reached:
+        jump = cut(jump.join(jump.select(F.col("n").alias("p"), F.col("p").alias("q")), "p").select("n", F.col("q").alias("p")))
+        before, reached = reached, jump.agg(F.count_distinct("p")).first()[0]
+        if reached == before:
+            break
     return jump.select(F.col("p").alias("node")).distinct()
+
+
+def worst(deviations: DataFrame) -> DataFrame:
+    """(months, mean_deviation, most_deviation, worst_month) of monthly_deviation(): by absolute values, the first of equals."""
+    size = F.abs("deviation")
+    return deviations.agg(
+        F.count("deviation").alias("months"), F.round(F.avg(size), 6).alias("mean_deviation"), F.max(size).alias("most_deviation"),
+        F.max(F.when(F.col("deviation").isNotNull(), F.struct(size.alias("s"), (-F.unix_date(F.to_date(F.concat("month", F.lit("-01"))))).alias("d"), F.col("month"))))["month"].alias("worst_month"),
+    )
+
+
+def orphans(df: DataFrame, key: str, parent: str) -> DataFrame:
+    """Rows whose parent is named but is no row's key. Keys are counted once, so nothing multiplies."""
+    keys = df.select(F.col(key).alias("__key")).where("__key IS NOT NULL").distinct()
+    return df.where(F.col(parent).isNotNull()).join(keys, F.col(parent) == F.col("__key"), "left_anti")

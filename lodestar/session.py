@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "lodestar", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,6 +19,20 @@ def session(name: str = "lodestar", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, without its lineage: a checkpoint in the folder that spark.checkpoint.dir names.
+
+    Where that is unset and all runs on one machine, as in tests, a folder under /tmp/checkpoints.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or f"file:///tmp/checkpoints/{context.applicationId}")
+    return df.checkpoint()
+
+
 _shipped: set[str] = set()
 
 

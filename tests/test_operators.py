@@ -89,7 +89,16 @@ def test_provenance():
     assert reconcile.provenance({"a": same, "b": same | {"seed": 2}})["differs"] == [("a", "b", "seed")]
 
 
-@pytest.mark.parametrize(("edges", "want"), [([(1, 2), (2, 3), (3, 1), (4, 1)], {1, 2, 3}), ([(1, 2), (2, None)], set()), ([(5, 5)], {5}), ([], set())])
+def chain(n, first=1000):
+    return [(first + k, first + k + 1) for k in range(n)]
+
+
+@pytest.mark.parametrize(
+    ("edges", "want"),
+    [([(1, 2), (2, 3), (3, 1), (4, 1)], {1, 2, 3}), ([(1, 2), (2, None)], set()), ([(5, 5)], {5}), ([], set()), ([(None, 1), (1, None)], set())]
+    + [(chain(n), set()) for n in (63, 64, 65, 200, 1000)]
+    + [([*chain(300), (1300, 7), (7, 8), (8, 9), (9, 7)], {7, 8, 9}), ([*chain(99), (1099, 1000)], set(range(1000, 1100))), ([*chain(130), (1130, 2), (2, 2), *chain(70, 5000)], {2})],
+)
 def test_cycles(spark, edges, want):
     df = spark.createDataFrame(edges, "n int, p int")
     assert {r.node for r in reconcile.cycles(spark, df, "n", "p").collect()} == want
@@ -127,3 +136,51 @@ def test_outranked_against_brute_force(spark):
     rows = [(k, r, s, None if n is None else s + dt.timedelta(n)) for k, r, s, n in rows]
     got = {x.k for x in outranked(spark.createDataFrame(rows, "k int, r int, s date, e date"), "k", "r", "s", "e").collect()}
     assert got == {k for k, r, s, _ in rows if any(q > r and a <= s and (z is None or s <= z) for _, q, a, z in rows)}
+
+
+def test_candidates_through_aliases(spark):
+    """By every pair and by plain loops: the best text of each standard value, and the same by blocks."""
+    from pyspark.sql import functions as F
+
+    from lodestar.functions import similarity
+    from lodestar.operators import lookups
+    from tests.test_functions import brute_scores
+
+    texts = [("Customer Service", "Customer Service"), ("Customer Service", "Client Care"), ("Engineering", "Engineering"), ("Engineering", "Software Eng"), ("Research", "R and D"), ("Research", "Research Development"), ("People", "Human Resources"), ("People", "People")]
+    values = ["CS", "Eng", "Client Car", "Human Res.", "Develop Research", "people", None, "people"]
+    known, asked = spark.createDataFrame(texts, "standard string, target string"), spark.createDataFrame([(v,) for v in values], "value string")
+    score = similarity.similarity(F.col("value"), F.col("target"))["score"]
+    want = {}
+    for v in {v for v in values if v}:
+        by = {}
+        for standard, target in texts:
+            s = round(max(brute_scores(v, target).values()), 9)
+            if standard not in by or (-s, target) < (-by[standard][0], by[standard][1]):
+                by[standard] = (s, target)
+        want[v] = [(n, s, via) for n, (s, via) in sorted(by.items(), key=lambda kv: (-kv[1][0], kv[0]))][:2]
+    for blocks in (None, similarity.blocks):
+        got = {}
+        for r in lookups.candidates(asked, known, "value", "target", 2, score, "standard", blocks).orderBy("value", "rank").collect():
+            got.setdefault(r.value, []).append((r.target, round(r.score, 9), r.via))
+        assert {v: rows[0] for v, rows in got.items()} == {v: rows[0] for v, rows in want.items()}
+        if blocks is None:
+            assert got == want
+
+
+def test_entities(spark):
+    from lodestar.operators import entities
+
+    people = spark.createDataFrame([(1, "A", "x"), (2, "A", "y"), (3, "B", "x"), (4, None, None)], "k int, system string, id string")
+    xref = spark.createDataFrame([("A", "x", 7, "MANUAL_REVIEW", 0.9), ("A", "x", 8, "RESOLVED", 1.0), ("A", "x", 8, "RESOLVED", 1.0), ("A", "y", 9, "MANUAL_REVIEW", 0.85), (None, None, 5, "RESOLVED", 1.0)], "source_system string, source_id string, entity_id int, match_status string, confidence double")
+    got = {r.k: (r.cross_id, r.match_status) for r in entities.attach_identity(people, xref, "system", "id").collect()}
+    assert got == {1: (8, "RESOLVED"), 2: (None, "MANUAL_REVIEW"), 3: (None, None), 4: (None, None)}
+    waits = {(r.source_id, r.entity_id): r.state for r in entities.queue(xref, spark.createDataFrame([("A", "x", 7), ("A", "y", 6)], "source_system string, source_id string, entity_id int")).collect()}
+    assert waits == {("y", 9): "STALE"}
+    assert {r.state for r in entities.queue(xref).collect()} == {"OPEN"}
+
+
+def test_worst_and_orphans(spark):
+    rows = spark.createDataFrame([("2024-01", 0.1), ("2024-02", -0.3), ("2024-03", 0.3), ("2024-04", None)], "month string, deviation double")
+    assert tuple(reconcile.worst(rows).first()) == (3, 0.233333, 0.3, "2024-02")
+    people = spark.createDataFrame([(1, None), (2, 1), (3, 9), (None, 9)], "k int, p int")
+    assert sorted((str(r.k), r.p) for r in reconcile.orphans(people, "k", "p").collect()) == [("3", 9), ("None", 9)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -120,15 +123,16 @@ def entity_keys(spark, d):
     return table(spark, d, "customer").select("c_custkey", made.alias("e")).select("c_custkey", "e.*")
 
 
-@query(f"""WITH {ISLANDS}, f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey, strftime(l_shipdate, '%Y-%m-%d') AS day, l_linestatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 40),
-b AS (SELECT f.*, (SELECT max(version) FROM s WHERE s.o_custkey = f.o_custkey AND s.effective_from <= f.day AND s.effective_from = (SELECT max(effective_from) FROM s t WHERE t.o_custkey = f.o_custkey AND t.effective_from <= f.day)) AS version FROM f)
+@query(f"""WITH {ISLANDS}, f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey, strftime(l_shipdate, '%Y-%m-%d') AS day, l_linestatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS (SELECT o_custkey, effective_from, max(version) AS version FROM s GROUP BY 1, 2),
+b AS (SELECT f.*, e.version FROM f ASOF LEFT JOIN e ON f.o_custkey = e.o_custkey AND f.day >= e.effective_from)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(version, -1) AS version, CAST(CASE WHEN day < '1996-01-01' THEN -7 ELSE CAST(replace(day, '-', '') AS BIGINT) END AS BIGINT) AS date_sk, CAST(coalesce(s_suppkey, -6) AS BIGINT) AS source_sk, 1 AS lines,
   (l_linestatus = 'F' AND day BETWEEN '1995-01-01' AND '1998-12-31') OR (l_linestatus = 'O' AND day BETWEEN '1999-01-01' AND '2003-12-31') AS of_record
 FROM b LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_suppkey % 7 <> 0
 """)
 def fact_snapshot(spark, d):
     """Shipped lines with the customer version of their day, date and source keys, and whether the source was of record."""
-    rows = table(spark, d, "lineitem").where("l_quantity > 40").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "o_custkey", dates.iso(F.col("l_shipdate")).alias("day"), F.col("l_shipdate").cast("timestamp").alias("at"))
     known = customer_versions(spark, d).select("o_custkey", F.col("effective_from").cast("timestamp").alias("since"), "version")
     rows = lookups.as_of(rows, known, "o_custkey", "at", "since", ["version"], "quarter")
@@ -446,15 +450,47 @@ w AS (SELECT n AS a, p AS b, 1 AS k FROM e WHERE p IS NOT NULL UNION SELECT a, p
 def hierarchy_cycle(spark, d):
     k = F.col("c_custkey")
     parent = F.when(k % 100 == 7, k - k % 100 + 3).when(k % 100 == 3, k - k % 100 + 7).when(k == 0, None).otherwise(F.floor(k / 2))
-    return reconcile.cycles(spark, table(spark, d, "customer").select(k.alias("n"), parent.alias("p")), "n", "p", 64)
+    return reconcile.cycles(spark, table(spark, d, "customer").select(k.alias("n"), parent.alias("p")), "n", "p")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 300 > 0 THEN c_custkey - 1 WHEN c_custkey % 600 = 0 THEN c_custkey + 3 END AS p FROM customer),
+w AS (SELECT n AS a, p AS b FROM e WHERE p IS NOT NULL UNION SELECT a, p FROM w JOIN e ON b = n WHERE p IS NOT NULL) SELECT DISTINCT a AS node FROM w WHERE a = b
+""")
+def hierarchy_cycle_deep(spark, d):
+    """Chains of 300, every other one with a cycle of four at its end."""
+    k = F.col("c_custkey")
+    parent = F.when(k % 300 > 0, k - 1).when(k % 600 == 0, k + 3)
+    return reconcile.cycles(spark, table(spark, d, "customer").select(k.alias("n"), parent.alias("p")), "n", "p")
+
+
+#: Columns of each table: i number, s text, d fraction, t time, a array of fractions.
+_COLUMNS = {
+    "region": "r_regionkey:i r_name:s", "nation": "n_nationkey:i n_name:s n_regionkey:i",
+    "customer": "c_custkey:i c_name:s c_nationkey:i c_acctbal:d c_mktsegment:s",
+    "supplier": "s_suppkey:i s_name:s s_nationkey:i s_acctbal:d",
+    "part": "p_partkey:i p_name:s p_brand:s p_type:s p_size:i p_retailprice:d",
+    "orders": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s",
+    "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:d l_extendedprice:d l_discount:d l_tax:d l_returnflag:s l_linestatus:s l_shipdate:t",
+    "events": "event_id:i ts:t user_id:i event_type:s value:d props:s",
+    "documents": "doc_id:i text:s lang:s source:s n_chars:i",
+    "embeddings": "vec_id:i embedding:a label:i",
+    "pages": "page_id:i url:s html:s",
+    "benchmark": "item_id:i text:s",
+    "labels": "doc_id:i quality:i toxic:i",
+    "conversations": "conv_id:i turn:i role:s text:s",
+}
+_AS_SQL = {"i": "CAST({c} AS VARCHAR)", "s": "{c}", "d": "printf('%.6f', CAST({c} AS DOUBLE))", "t": "strftime({c}, '%Y-%m-%d %H:%M:%S')", "a": "array_to_string(list_transform({c}, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',')"}
+
+
+def _hash_sql(name: str) -> str:
+    kinds = dict(c.split(":") for c in _COLUMNS[name].split())
+    row = ", ".join("coalesce(" + _AS_SQL[kinds[c]].format(c=c) + ", '?')" for c in sorted(kinds))
+    return f"SELECT '{name}' AS \"table\", count(*) AS \"rows\", {len(kinds)} AS columns, CAST(coalesce(sum(CAST('0x' || substr(md5(concat_ws(chr(31), {row})), 1, 15) AS BIGINT)), 0) AS VARCHAR) AS hash FROM {name}"
+
+
+@query(" UNION ALL ".join(map(_hash_sql, _COLUMNS)))
 def content_hash(spark, d):
     """Rows, columns and an order-free hash of each table."""
-    names = ("region", "nation", "customer", "supplier", "part", "orders")
-    out = None
-    for name in names:
-        one = reconcile.content_hash(table(spark, d, name)).select(F.lit(name).alias("table"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    hashes = [reconcile.content_hash(table(spark, d, name)).select(F.lit(name).alias("table"), "*") for name in _COLUMNS]
+    return reduce(DataFrame.unionByName, hashes)

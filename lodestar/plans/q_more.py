@@ -60,13 +60,19 @@ def last_observation(spark, d):
 
 
 @query("""
-WITH v AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 5 END AS z, CAST(5 - CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS INTEGER) * CASE WHEN o_orderkey % 97 = 0 THEN 2 ELSE 1 END AS r FROM orders WHERE o_custkey % 40 = 0)
-SELECT o_orderkey, a AS start FROM v WHERE EXISTS (SELECT 1 FROM v w WHERE w.a <= v.a AND (w.z IS NULL OR v.a <= w.z) AND w.r > v.r)
+WITH v AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 5 END AS z, CAST(5 - CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS INTEGER) * CASE WHEN o_orderkey % 97 = 0 THEN 2 ELSE 1 END AS r FROM orders),
+-- Days on which a version of each rank is open: what begins no later less what has ended, by rank and day.
+p AS (SELECT r, t, sum(x) AS x FROM (SELECT r, a AS t, 1 AS x FROM v UNION ALL SELECT r, z + 1, -1 FROM v WHERE z IS NOT NULL) GROUP BY r, t),
+n AS (SELECT r, t, sum(x) OVER (PARTITION BY r ORDER BY t) AS n FROM p),
+s AS (SELECT DISTINCT a FROM v), q AS (SELECT DISTINCT r FROM v),
+g AS (SELECT s.a, q.r FROM s CROSS JOIN q),
+o AS (SELECT g.a, max(g.r) AS top FROM g ASOF JOIN n ON g.r = n.r AND g.a >= n.t WHERE n.n > 0 GROUP BY g.a)
+SELECT o_orderkey, v.a AS start FROM v JOIN o ON v.a = o.a WHERE o.top > v.r
 """)
 def theta_outranked(spark, d):
     k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
     rank = (5 - F.substring("o_orderpriority", 1, 1).cast("int")) * F.when(k % 97 == 0, 2).otherwise(1)
-    v = table(spark, d, "orders").where("o_custkey % 40 = 0").select("o_orderkey", day.alias("start"), F.when(k % 50 != 0, F.date_add(day, 5)).alias("end"), rank.alias("rank"))
+    v = table(spark, d, "orders").select("o_orderkey", day.alias("start"), F.when(k % 50 != 0, F.date_add(day, 5)).alias("end"), rank.alias("rank"))
     return calibration.outranked(v, "o_orderkey", "rank", "start", "end")
 
 

@@ -208,12 +208,14 @@ def join_fuzzy_rank(spark, d):
 
 @query()
 def mapping_candidates(spark, d):
-    """The exact scorers: best two standard values of each cut or spaced product name."""
+    """The exact scorers: best two standard values of each cut or spaced product name, by the texts they share anything with."""
     ship(spark)
-    names = table(spark, d, "part").select(F.col("p_name").alias("target")).distinct()
-    values = table(spark, d, "part").select(F.regexp_replace(F.substring("p_name", 1, 7), " ", ". ").alias("value"))
-    scored = lookups.candidates(values, names, "value", "target", 2, similarity.similarity(F.col("value"), F.col("target")))
-    return scored.select("value", "target", F.col("score.score").alias("score"), F.col("score.method").alias("method"), "rank")
+    part = table(spark, d, "part")
+    texts = part.select("p_name", F.explode(F.array(F.col("p_name"), F.regexp_replace("p_name", r"^(\S+) .*$", "$1"))).alias("target"))
+    values = part.select(F.regexp_replace(F.substring("p_name", 1, 7), " ", ". ").alias("value"))
+    scored = lookups.candidates(values, texts, "value", "target", 2, similarity.similarity(F.col("value"), F.col("target"))["score"], "p_name", similarity.blocks)
+    best = scored.withColumn("method", similarity.similarity(F.col("value"), F.col("via"))["method"])
+    return best.select("value", "target", F.round("score", 9).alias("score"), "method", "via", "rank")
 
 
 @query("""
@@ -311,18 +313,18 @@ def norm_key(spark, d):
     return table(spark, d, "part").select("p_partkey", text.normal_key(F.concat(F.lit("São "), F.col("p_name"), F.lit(". & Ção"))).alias("key"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, datediff('month', o_orderdate, l_shipdate) AS months FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, datediff('month', o_orderdate, l_shipdate) AS months FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def month_diff(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 45").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", dates.month_boundaries(F.col("o_orderdate"), F.col("l_shipdate")).alias("months"))
 
 
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, datediff('day', o_orderdate, l_shipdate) AS days, CAST(round(datediff('day', o_orderdate, l_shipdate) / CAST(30.44 AS DOUBLE), 2) AS DOUBLE) AS tenure
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """)
 def tenure_days(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 45").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.datediff("l_shipdate", "o_orderdate").cast("bigint").alias("days"), dates.tenure_months(F.col("o_orderdate"), F.col("l_shipdate")).alias("tenure"))
 
 
@@ -344,6 +346,22 @@ def redact_pii(spark, d):
     return clean.select("doc_id", F.md5("clean").alias("redacted_md5"), (F.col("clean") != F.col("text")).alias("has_personal_data"))
 
 
+@query()
+def redact_names(spark, d):
+    """Structural patterns first, then names, but for those of the labelled benchmark terms."""
+    ship(spark)
+    clean = table(spark, d, "documents").select("doc_id", "text", text.without_names(text.redacted(F.col("text")), ("Apache License", "Customer Service"), ("the", "in", "of")).alias("clean"))
+    return clean.select("doc_id", F.md5("clean").alias("redacted_md5"), (F.col("clean") != F.col("text")).alias("has_personal_data"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(strip_accents('Ção-' || p_name || ' (' || p_brand || ')')), '[^a-z0-9]+', ' ', 'g')) AS slug, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END AS number FROM part")
+def slug_and_number(spark, d):
+    k = F.col("p_partkey")
+    coded = F.when(k % 3 == 0, F.concat(F.lit("WD00"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("XX"), k.cast("string"))).otherwise(F.concat(F.lit("WD"), k.cast("string"), F.lit("b")))
+    return table(spark, d, "part").select("p_partkey", text.slug(F.concat(F.lit("Ção-"), "p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"), text.extracted_number(coded, "WD").alias("number"))
+
+
+
 _PROFILE = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(*) AS "rows", count(*) - count(x) AS nulls, CAST(round(1 - count(x) / count(*), 6) AS DOUBLE) AS null_rate, count(DISTINCT x) AS distinct_values, min(length(x)) AS min_length, max(length(x)) AS max_length, """
     + ", ".join(f"CAST(round(avg(CASE WHEN regexp_matches(x, '{p}') THEN 1.0 WHEN x IS NULL THEN NULL ELSE 0.0 END), 6) AS DOUBLE) AS {k}" for k, p in profile.PATTERNS.items())

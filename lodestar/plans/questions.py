@@ -146,7 +146,7 @@ def ask(q: Question, catalog: dict[str, Metric], base: DataFrame, terms: dict[st
     shown = [r for r in rows if r["suppression"] == "no"]
     if not shown:
         return {"outcome": "SUPPRESSED", "rows": [], "minimum_n": m.minimum_n}
-    answer = {"outcome": "ANSWER", "rows": rows, "value": shown[0]["value"] if len(rows) == 1 else None, "trust": certified(m, q, trust or {}), "level": q.level}
+    answer = {"outcome": "ANSWER", "rows": rows, "value": shown[0]["value"] if len(rows) == 1 else None, "trust": certified(m, q, trust or {}, len({r["period"] for r in rows}) / periods_between(q.grain, q.start, q.end)), "level": q.level}
     if q.compare:
         answer["comparison"] = _comparison(q, catalog, base, terms, answer)
     return answer
@@ -168,12 +168,13 @@ def _comparison(q: Question, catalog: dict, base: DataFrame, terms: dict, answer
 ORDER = ("BLOCKED", "UNDETERMINED", "LIMITED", "CERTIFIED")
 
 
-def certified(m: Metric, q: Question, trust: dict) -> str:
-    """The least of the data's trust in the question's cut and what the metric's own status allows."""
+def certified(m: Metric, q: Question, trust: dict, share: float = 1.0) -> str:
+    """The least of the data's trust in the question's cut, what the metric's own status allows, and LIMITED if only a
+    share of the periods asked for has data."""
     cut = next((f"{d}={v[0]}" for d, v in q.filters.items() if len(v) == 1 and (m.id, f"{d}={v[0]}") in trust), "ALL")
     data = trust.get((m.id, cut), "UNDETERMINED")
     ceiling = {"CERTIFIED": "CERTIFIED", "DECLARED": "LIMITED"}.get(m.status, "BLOCKED")
-    return min(data, ceiling, key=ORDER.index)
+    return min(data, ceiling, "CERTIFIED" if share >= 1 else "LIMITED", key=ORDER.index)
 
 
 def changed_version(old: Metric, new: Metric) -> str:
@@ -193,7 +194,8 @@ class PrivacyGuard:
         self.suppressed: list[Question] = []
 
     def note(self, q: Question, answer: dict) -> None:
-        if answer["outcome"] == "SUPPRESSED":
+        """Whole suppressions, and breakdowns of which some rows are withheld."""
+        if answer["outcome"] == "SUPPRESSED" or any(r.get("suppression", "no") != "no" for r in answer.get("rows", [])):
             self.suppressed.append(q)
 
     def allows(self, q: Question) -> bool:

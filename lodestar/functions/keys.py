@@ -30,7 +30,7 @@ def numbered(df: DataFrame, by: str, name: str, ties: tuple[str, ...] = (), rows
     number, and rows are numbered within their bucket, so no task sorts the table.
     """
     about = df.agg(F.count(F.lit(1)).alias("n")).first()
-    buckets = min(1000, max(1, -(-about["n"] // rows)))
+    buckets = min(10_000, max(1, -(-about["n"] // rows)))
     cuts = sorted(set(df.agg(F.percentile_approx(by, [k / buckets for k in range(1, buckets)]).alias("c")).first()["c"] or [])) if buckets > 1 else []
     bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(by))) if cuts else F.lit(0)
     dealt = df.withColumn("__bucket", F.when(F.col(by).isNull(), -1).otherwise(bucket))

@@ -13,7 +13,11 @@ PATTERNS = {
 
 
 def profiled(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column: rows, nulls, null_rate, distinct_values, min_length, max_length and the share of each pattern."""
+    """A row for each column: rows, nulls, null_rate, distinct_values, min_length, max_length and the share of each pattern.
+
+    All but the distinct values are one aggregate of a row; those are counted from one table of (column, value), which
+    shrinks before it is shuffled, so no row is expanded once a column with all its values.
+    """
     aggregates = []
     for c in columns:
         s = F.col(c).cast("string")
@@ -21,17 +25,23 @@ def profiled(df: DataFrame, columns: list[str]) -> DataFrame:
         aggregates.append(
             F.struct(
                 F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) - F.count(s)).alias("nulls"), F.round(1 - F.try_divide(F.count(s), F.count(F.lit(1))), 6).alias("null_rate"),
-                F.count_distinct(s).alias("distinct_values"), F.min(F.char_length(s)).cast("bigint").alias("min_length"), F.max(F.char_length(s)).cast("bigint").alias("max_length"), *shares,
+                F.min(F.char_length(s)).cast("bigint").alias("min_length"), F.max(F.char_length(s)).cast("bigint").alias("max_length"), *shares,
             )
         )
-    return df.agg(F.array(*aggregates).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    told = df.agg(F.array(*aggregates).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    distinct = counted_values(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
+    return told.join(distinct, "column", "left").select("column", "rows", "nulls", "null_rate", F.coalesce("distinct_values", F.lit(0)).cast("bigint").alias("distinct_values"), "min_length", "max_length", *PATTERNS)
+
+
+def counted_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n) of the values that are not null; one pass for all columns."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")).select("p.*")
+    return pairs.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """(column, value, n, rank): the most frequent values of each column, ties by value; one pass for all columns."""
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")).select("p.*")
-    counted = pairs.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), "value")))
+    ranked = counted_values(df, columns).withColumn("rank", F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), "value")))
     return ranked.where(F.col("rank") <= k)
 
 

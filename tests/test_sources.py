@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -68,3 +69,21 @@ def test_stream_equals_batch(spark, tmp_path):
     incremental.checked(stream, "t", checks, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     good, _ = quality.quarantined(df, checks)
     assert sorted(r._row_id for r in spark.read.parquet(f"{tmp_path}/out/approved").collect()) == sorted(r._row_id for r in good.collect())
+
+
+def test_registry_and_layers(spark, tmp_path):
+    from lodestar.sources import registry
+    from lodestar.specs import SourceSpec
+
+    (tmp_path / "a.csv").write_text("k;v\n1;x\n2;\n")
+    spark.createDataFrame([(1, "p")], "k int, w string").write.parquet(f"{tmp_path}/layer/b")
+    spark.createDataFrame([(2,)], "k int").write.parquet(f"{tmp_path}/more")
+    csv = SourceSpec(system="A", dataset="a", format="csv", options={"sep": ";"})
+    got = registry.ingested(spark, [(csv, f"{tmp_path}/a.csv"), (SourceSpec(system="B", dataset="b", format="parquet"), f"{tmp_path}/layer/b")], split={"B.b": lambda df: {"B.keys": df.select("k"), "B.words": df.select("w")}})
+    assert {n: sorted(map(tuple, df.collect()), key=str) for n, df in got.items()} == {"A.a": [("1", "x"), ("2", None)], "B.keys": [("1",)], "B.words": [("p",)]}
+    with pytest.raises(ValueError):
+        registry.ingested(spark, [(csv, f"{tmp_path}/a.csv")] * 2)
+    assert registry.layer(spark, f"{tmp_path}/layer", ["b", "xref_c"], "conform", ("xref",)).keys() == {"b"}
+    with pytest.raises(registry.StepMissing, match="run conform first"):
+        registry.layer(spark, f"{tmp_path}/layer", ["c"], "conform")
+    assert sorted(map(tuple, registry.truth(spark, f"{tmp_path}/layer/b", f"{tmp_path}/more").collect()), key=str) == [("1", "p"), ("2", None)]

@@ -5,24 +5,29 @@ from __future__ import annotations
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.session import ship
 
-__all__ = ["BROADCAST_KEYS", "FILE_ROWS", "on_disk", "only", "shared_dir", "ship", "written"]
+__all__ = ["BROADCAST_BYTES", "BROADCAST_KEYS", "FILE_ROWS", "bounded", "on_disk", "only", "shared_dir", "ship", "written"]
 
 #: Distinct keys up to which a table is filtered by a broadcast of them; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
+#: Bytes up to which a table is broadcast to a join.
+BROADCAST_BYTES = 16 << 20
+
 #: Rows of narrow tables to a file.
 FILE_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one under /tmp/checkpoints where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names; one under /tmp/checkpoints where it is unset and all runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,6 +54,12 @@ def on_disk(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def bounded(df: DataFrame, size: Column) -> DataFrame:
+    """``df``, to be broadcast if its rows of ``size`` bytes each are summed and are at most BROADCAST_BYTES."""
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def only(df: DataFrame, on: str, keys: DataFrame, key: str, kind: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose ``on`` is among the keys (left_anti: is not). The keys are counted before they are broadcast."""
     keys = keys.select(F.col(key).alias("__only")).distinct()

@@ -53,7 +53,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_diff.main_text(_table(spark, sf_dir, "pages"))
+    return page_diff.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op10_wav_prints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
+import time
 
 from lodestar.llm import _store
-from lodestar.llm.page_diff import lines_of, main_text, neighbours, shared_lines
+from lodestar.llm import page_diff
+from lodestar.llm.page_diff import MARKED, SURE, UNCLEAR, lines_of, main_text, neighbours, shared_lines
 
 
 def longest(a, b):
@@ -21,12 +23,24 @@ def test_alignment_against_brute_force():
         assert len(shared) == longest(a, b) and all(any(x == y for y in rest) for x in [a[k] for k in sorted(shared)])
 
 
+def test_alignment_of_long_pages(monkeypatch):
+    monkeypatch.setattr(page_diff, "ROW_BITS", 4)
+    test_alignment_against_brute_force()
+
+
+def article(page):
+    return [(line, kind) for line, kind in lines_of(page) if kind != MARKED]
+
+
 def test_lines():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li>x</ul></nav><div class="cookie-notice"><p>we use</p></div>
     <article><h1>Head &amp; tail</h1><p>one   <b>bo</b>ld<br>two&nbsp;three<p>four<script>var t = "</p>";</script></p><!-- no --><aside>side</aside><form><input><p>mail</p></form>
     <ul><li>five<li>six</ul><section id="comments"><p>first!</p></section></article><div class="sidebar">s</div><footer>&copy; us</footer></body></html>"""
-    assert lines_of(page) == [(x, True) for x in ("Head & tail", "one bold two three", "four", "five", "six")]
-    assert lines_of("<article><p>cut &am") == [("cut &am", True)]
+    assert article(page) == [(x, SURE) for x in ("Head & tail", "one bold two three", "four", "five", "six")]
+    assert [x for x, kind in lines_of(page) if kind == MARKED] == ["Site", "x", "we use", "side", "mail", "first!", "s", "\xa9 us"]
+    assert lines_of("<article><p>cut &am") == [("cut &am", SURE)]
+    assert lines_of('<p>one <span class="ad">buy <b>now</b></span>two</p>') == [("buy now", MARKED), ("one two", UNCLEAR)]
+    assert lines_of('<p title="x>hello</p>') == [("hello", UNCLEAR)]
     assert lines_of("") == []
 
 
@@ -44,14 +58,22 @@ def test_differencing(spark):
 
 def test_wrappers_and_comments():
     page = '<div class="content has-sidebar"><main><header>Site</header><article class="post"><header><h1>T</h1></header><p>x</p></article><div class="comments"><article><p>c</p></article></div></main></div>'
-    assert lines_of(page) == [("T", True), ("x", True)]
-    assert lines_of('<div class="comments"><article><p>c</p></article></div><p class="ad">x</p><div class="page-header">h</div><p>body</p>') == [("body", False)]
+    assert article(page) == [("T", SURE), ("x", SURE)]
+    assert article('<div class="comments"><article><p>c</p></article></div><p class="ad">x</p><div class="page-header">h</div><p>body</p>') == [("body", UNCLEAR)]
+
+
+def test_deep_pages():
+    began = time.process_time()
+    for name in ("div", "b", "span><p", "li", "article"):
+        assert lines_of(f"<{name}>" * 40_000 + "x" + f"</{name}>" * 40_000)
+    assert lines_of("<b>" * 20_000 + "<p>x</p>" * 20_000) and lines_of("<div>" + "</p></b>" * 40_000 + "x")
+    assert time.process_time() - began < 20
 
 
 def test_neighbours_across_ranges(spark):
     rnd = random.Random(4)
     rows = [(k, "big" if k % 3 else f"h{rnd.randint(0, 9)}", f"/{rnd.randint(0, 40)}", None if k % 7 == 0 else "u", k % 5, True) for k in range(400)]
-    got = {r.key: r.other for r in neighbours(spark.createDataFrame(rows, "key long, host string, path string, url string, page_id long, unclear boolean")).collect()}
+    got = {r.key: r.other for r in neighbours(spark.createDataFrame(rows, "key long, host string, path string, url string, page_id long, outside boolean")).collect()}
     rows.sort(key=lambda r: (r[1], r[2], r[3] or "", r[4], r[0]))
     want = {}
     for k, r in enumerate(rows):

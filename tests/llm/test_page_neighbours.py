@@ -15,6 +15,17 @@ def test_lines_outside_articles(spark):
     assert got == {1: "Licence\nmine\nPostscript", 2: "Licence\nyours\nErrata"}
 
 
+def test_differencing_without_marks(spark):
+    """Menus and footers that pages of a host share go by differencing alone; what is new on each page goes by its marks."""
+    _store.ship(spark)
+    page = lambda own, ad: f"<nav><ul><li>Home</li><li>News</li></ul></nav><div class='ad'>{ad}</div><article><p>Licence</p><p>{own}</p></article><footer>All rights</footer>"
+    rows = spark.createDataFrame([(k, f"http://m.org/{k}", page(f"own {k}", f"buy {k}")) for k in range(6)], "page_id long, url string, html string")
+    bare = {r.page_id: (r.text, r.shared_lines, r.marked_lines) for r in main_text(rows, marks=False).collect()}
+    assert bare == {k: (f"buy {k}\nLicence\nown {k}", 3, 0) for k in range(6)}
+    full = {r.page_id: (r.text, r.shared_lines, r.marked_lines) for r in main_text(rows).collect()}
+    assert full == {k: (f"Licence\nown {k}", 3, 1) for k in range(6)}
+
+
 def test_short_articles_and_copies(spark):
     page = lambda *own: "".join(f"<p>{x}</p>" for x in (*(f"Menu {k}" for k in range(12)), *own, *(f"Foot {k}" for k in range(8))))
     rows = [

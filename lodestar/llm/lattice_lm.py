@@ -5,13 +5,16 @@ the text's marginal probability. Pieces that start a word carry the word mark, s
 each a lattice of its own, and one end. Every byte is a piece, so every text has a probability.
 
 The vocabulary's own scores (ranks) give the first weights; expectation-maximisation over the distinct words of the
-training documents sets them anew, each round a job over the table of words whose result is one number for each piece.
+training documents sets them anew, each round a job over the table of words whose result is one number for each piece,
+until the likelihood of the words gains less than ``tolerance`` of itself.
 A training word is also a piece of its own, one arc over the whole lattice, with its count less a discount as its
-weight; the discounts of all words are the weight of the way through the vocabulary's pieces. The discount is that of
-the counts of words seen once and twice. So a word has c - d of N for itself and a share of d * V of N by its pieces.
+weight; the discounts of all words are the weight of the way through the vocabulary's pieces. So a word has c - d of N for
+itself and a share of d * V of N by its pieces. The discount d is the likeliest for the training tokens when each is left
+out of the counts that score it, which counts of counts tell.
 
-Word counts grow with the corpus and stay a table. The most frequent words, at most ``head_words`` of at most 64 bytes,
-are broadcast; every other word of a document is joined with the table, so scores are exact for all words.
+Word counts grow with the corpus and stay a table. The most frequent words, at most ``head_words`` of ``head_bytes`` in
+all, are broadcast, however long one is; every other word of a document is joined with the table, so scores are exact for
+all words and no word of many documents is a key of the join.
 
 Null and empty texts have the end alone. Repeated rows are scored each on its own. A document without an id counts as
 held out. With no training text all pieces keep their first weights and every base probability is that of an unknown token.
@@ -44,19 +47,19 @@ class Lattice:
     def __init__(self, names: list[bytes], weights: np.ndarray) -> None:
         self.names, self.weights = names, weights
         self.longest = max(map(len, names))
-        keys = np.array([self._hash(n) for n in names], np.uint64)
+        keys = np.zeros(len(names), np.uint64)
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+        for length in range(1, self.longest + 1):
+            at = np.flatnonzero(sizes == length)
+            block = np.frombuffer(b"".join([names[k] for k in at.tolist()]), np.uint8).reshape(len(at), length)
+            for k in range(length):
+                keys[at] = keys[at] * _STEP + _BYTE[block[:, k]]
+        keys = mixed(keys)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.keys >> np.uint64(42)] = True
 
-    @staticmethod
-    def _hash(name: bytes) -> int:
-        h = 0
-        for b in name:
-            h = (h * int(_STEP) + int(_BYTE[b])) % 2**64
-        return int(mixed(np.array([h], np.uint64))[0])
-
     def _arcs(self, block: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """(word, start, piece, length) of each piece that fits somewhere, by length."""
         n, width = block.shape
@@ -96,9 +99,9 @@ class Lattice:
             alpha[:, j] = _logsum(terms)
         return alpha, alpha[np.arange(n), sizes]
 
-    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece over all segmentations of the words."""
-        total = np.zeros(len(self.names))
+    def expected(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, float]:
+        """(expected uses of each piece over all segmentations of the words, log likelihood of the words)."""
+        total, likelihood = np.zeros(len(self.names)), 0.0
         for at, block, sizes in _blocks(words):
             n, width = block.shape
             arcs = self._arcs(block, sizes)
@@ -112,7 +115,8 @@ class Lattice:
             for word, start, piece, length in arcs:
                 share = np.exp(alpha[word, start] + self.weights[piece] + beta[word, start + length] - whole[word])
                 total += np.bincount(piece, share * counts[at[word]], len(total))
-        return total
+            likelihood += float((whole * counts[at]).sum())
+        return total, likelihood
 
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         out = np.empty(len(words))
@@ -130,17 +134,21 @@ def _logsum(terms: np.ndarray) -> np.ndarray:
 
 def _blocks(words: list[bytes], cells: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places, bytes of marked words a row each, their lengths): words of like length together."""
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    raw = np.frombuffer(b"".join(words) + b"\0", np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
     order = np.argsort(sizes, kind="stable")
+    along = sizes[order] + 1
     lo = 0
     while lo < len(order):
-        hi = lo + 1
-        while hi < len(order) and sizes[order[hi]] <= sizes[order[lo]] + sizes[order[lo]] // 8 and (hi - lo + 1) * sizes[order[hi]] <= cells:
-            hi += 1
+        hi = int(np.searchsorted(along, along[lo] + along[lo] // 8, side="right"))
+        hi = min(hi, lo + max(1, cells // int(along[hi - 1])))
         at = order[lo:hi]
-        width = int(sizes[at[-1]])
-        block = np.frombuffer(b"".join((MARK + words[k]).ljust(width, b"\0") for k in at.tolist()), np.uint8).reshape(-1, width)
-        yield at, block, sizes[at]
+        place = np.arange(int(along[hi - 1]) - 1)
+        block = np.full((hi - lo, len(place) + 1), MARK[0], np.uint8)
+        inside = place < sizes[at][:, None]
+        block[:, 1:] = np.where(inside, raw[np.where(inside, starts[at][:, None] + place, 0)], 0)
+        yield at, block, along[lo:hi]
         lo = hi
 
 
@@ -195,39 +203,60 @@ def word_counts(docs: DataFrame, hold: int = 250_000) -> DataFrame:
     return docs.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def trained(counts: DataFrame, names: list[bytes], weights: np.ndarray, rounds: int = 2, floor: float = 0.01) -> np.ndarray:
-    """Log weights of the pieces after ``rounds`` of expectation-maximisation over the distinct training words."""
+def trained(counts: DataFrame, names: list[bytes], weights: np.ndarray, rounds: int = 8, tolerance: float = 0.01, floor: float = 0.01) -> np.ndarray:
+    """Log weights of the pieces by expectation-maximisation over the distinct training words, for at most ``rounds``."""
     spark = counts.sparkSession
     train = counts.where("c > 0 AND length(word) > 0").select("word")
+    before = -np.inf
     for _ in range(rounds):
         given = spark.sparkContext.broadcast((names, weights))
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            lattice, total = Lattice(*given.value), np.zeros(len(given.value[0]))
+            lattice, total, likelihood = Lattice(*given.value), np.zeros(len(given.value[0])), 0.0
             for piece in pieces(batches, "word", 1 << 19):
-                total += lattice.expected(piece.column("word").to_pylist(), np.ones(piece.num_rows))
+                uses, gain = lattice.expected(piece.column("word").to_pylist(), np.ones(piece.num_rows))
+                total, likelihood = total + uses, likelihood + gain
             used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["piece", "uses"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(total[used], likelihood))], names=["piece", "uses"])
 
-        got = train.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-        uses = np.full(len(names), floor)
-        for row in got:
-            uses[row["piece"]] += row["uses"]
+        got = {r["piece"]: r["uses"] for r in train.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}
+        given.unpersist()
+        likelihood = got.pop(-1, 0.0)
         if not got:
             break
+        uses = np.full(len(names), floor)
+        uses[list(got)] += list(got.values())
         weights = np.log(uses / uses.sum())
+        if likelihood - before < tolerance * abs(likelihood):
+            break
+        before = likelihood
     return weights
 
 
-def scored(df: DataFrame, path: str, doc: str = "doc_id", text: str = "text", held_mod: int = 10, head_words: int = 250_000, rounds: int = 2) -> DataFrame:
+def discount(counts_of_counts: dict[int, int]) -> float:
+    """The part of a count that words give away for which the training tokens are likeliest when each is left out.
+
+    A word seen once is then unseen, with d of its own for it; a word seen c times has c - 1 - d.
+    """
+    c = np.array([k for k in counts_of_counts if k > 1], float)
+    n = np.array([counts_of_counts[k] for k in counts_of_counts if k > 1], float)
+    grid = np.arange(1, 100) / 100
+    once = counts_of_counts.get(1, 0)
+    if not once or not len(c):
+        return 0.5
+    return float(grid[np.argmax([once * np.log(d) + (n * c * np.log(c - 1 - d)).sum() for d in grid])])
+
+
+def scored(df: DataFrame, path: str, doc: str = "doc_id", text: str = "text", held_mod: int = 10, head_words: int = 250_000, head_bytes: int = 4_000_000, rounds: int = 8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; trained where crc32(doc_id) mod ``held_mod`` is not 0."""
     spark = df.sparkSession
     held = F.crc32(F.coalesce(df[doc].cast("string"), F.lit(""))) % held_mod == 0
     docs = df.select(df[doc].alias("doc_id"), df[text].cast("string").alias("text"), (~held).alias("train"))
     counts = written(word_counts(docs), "words")
-    about = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends"), *[F.sum(((F.col("c") == k) & (F.length("word") > 0)).cast("long")).alias(f"n{k}") for k in (1, 2)]).first()
-    n, v, ends, once, twice = (int(about[k] or 0) for k in ("n", "v", "ends", "n1", "n2"))
-    less = (once + 0.5) / (once + 2 * twice + 1)
+    about = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).first()
+    n, v, ends = (int(about[k] or 0) for k in ("n", "v", "ends"))
+    often = counts.where("c BETWEEN 1 AND 200 AND length(word) > 0").groupBy("c").count().collect()
+    less = discount({r["c"]: r["count"] for r in often})
     names, weights = vocabulary(path)
     weights = trained(counts, names, weights, rounds)
     model = spark.sparkContext.broadcast((names, weights))
@@ -243,15 +272,14 @@ def scored(df: DataFrame, path: str, doc: str = "doc_id", text: str = "text", he
             yield pa.RecordBatch.from_arrays([piece.column("word"), piece.column("c"), pa.array(top + np.log10(1 + 10 ** (np.minimum(own, parts) - top)))], names=["word", "c", "log_p"])
 
     rated = written(counts.where("length(word) > 0").mapInArrow(rate, "word binary, c bigint, log_p double"), "rated-words")
-    short = rated.where("length(word) <= 64 AND c > 1")
-    steps = short.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
-    least, room = None, head_words
+    steps = rated.where("c > 1").groupBy(F.floor(F.log2("c") * 8).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("word")).alias("bytes"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
+    least, words_left, bytes_left = None, head_words, head_bytes
     for s in steps:
-        room -= s["words"]
-        if room < 0:
+        words_left, bytes_left = words_left - s["words"], bytes_left - s["bytes"]
+        if words_left < 0 or bytes_left < 0:
             break
         least = s["least"]
-    top = short.where(F.col("c") >= least).collect() if least else []
+    top = rated.where(F.col("c") >= least).collect() if least else []
     head = spark.sparkContext.broadcast(([bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.int64), np.array([r["log_p"] for r in top], np.float64)))
 
     kind = pa.schema([("row", pa.int64()), ("doc_id", _kind(docs)), ("held_out", pa.bool_()), ("word", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
@@ -306,5 +334,3 @@ def _kind(docs: DataFrame) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(docs.schema["doc_id"].dataType)
-
-

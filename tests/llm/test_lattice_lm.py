@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 
 from lodestar.llm import _store
-from lodestar.llm.lattice_lm import Lattice, scored, vocabulary
+from lodestar.llm.lattice_lm import Lattice, discount, scored, trained, vocabulary
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -36,7 +36,8 @@ def test_forward_against_brute_force(lattice):
 
 def test_expected_uses_cover_each_byte_once(lattice):
     words = [b"thonre", b"and", "été".encode()] * 3
-    uses = lattice.expected(words, np.arange(1.0, 10.0))
+    uses, likelihood = lattice.expected(words, np.arange(1.0, 10.0))
+    assert likelihood == pytest.approx(sum(c * x for c, x in zip(range(1, 10), lattice.log_probabilities(words), strict=True)))
     assert sum(u * len(n) for u, n in zip(uses, lattice.names, strict=True)) == pytest.approx(sum((len(w) + 1) * c for w, c in zip(words, range(1, 10), strict=True)))
 
 
@@ -56,6 +57,59 @@ def test_base_against_brute_force(spark):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def test_training_gains_until_the_tolerance(spark):
+    words = [b"thonre", b"andere", b"thand", "\xe9t\xe9".encode(), b"onreth"] * 40
+    counts = spark.createDataFrame([(bytearray(w + b"%d" % k), 1) for k, w in enumerate(words)], "word binary, c long")
+    names, first = vocabulary(PATH)
+    _store.ship(spark)
+    one, few, many = (trained(counts, names, first, rounds=r, tolerance=t) for r, t in ((1, 0), (9, 0.02), (9, 0.0)))
+    likely = [Lattice(names, w).expected([w + b"%d" % k for k, w in enumerate(words)], np.ones(len(words)))[1] for w in (first, one, few, many)]
+    assert likely == sorted(likely) and likely[3] - likely[2] < 0.05 * abs(likely[3])
+
+
+def test_discount():
+    assert discount({}) == discount({5: 3}) == 0.5
+    assert 0 < discount({1: 10, 2: 1000}) < 0.1 < discount({1: 500, 2: 100, 3: 30}) < 1
+
+
+def test_scores_against_brute_force(spark):
+    """The whole model again by plain loops: counts, discount, pieces trained, all segmentations, sums over tokens."""
+    _store.ship(spark)
+    rnd = random.Random(8)
+    docs = [(k, " ".join(rnd.choice(["The", "the", "of", "on\xe9", f"w{rnd.randint(0, 60)}", f"th{rnd.randint(0, 9)}on"]) for _ in range(rnd.randint(0, 40))) or None) for k in range(150)]
+    got = {r.doc_id: r.score for r in scored(spark.createDataFrame(docs, "doc_id long, text string"), PATH, head_words=4, rounds=2).collect()}
+    tokens = {k: (t or "").encode().lower().split() for k, t in docs}
+    train = [k for k, _ in docs if zlib.crc32(str(k).encode()) % 10]
+    c = Counter(w for k in train for w in tokens[k])
+    n, v = sum(c.values()) + len(train), len(c)
+    names, first = vocabulary(PATH)
+    weights = dict(zip(names, np.exp(first), strict=True))
+    longest = max(map(len, names))
+    for _ in range(2):
+        uses = dict.fromkeys(names, 0.01)
+        for w in c:
+            b = b" " + w
+            whole = brute(w, weights, longest)
+
+            def part(x):
+                total = [1.0] + [0.0] * len(x)
+                for j in range(1, len(x) + 1):
+                    total[j] = sum(total[i] * weights.get(x[i:j], 0.0) for i in range(max(0, j - longest), j))
+                return total[-1]
+
+            for i in range(len(b)):
+                for j in range(i + 1, min(len(b), i + longest) + 1):
+                    if b[i:j] in weights:
+                        uses[b[i:j]] += part(b[:i]) * weights[b[i:j]] * part(b[j:]) / whole
+        whole = sum(uses.values())
+        weights = {k: x / whole for k, x in uses.items()}
+    d = discount(Counter(c.values()))
+    share = (d * v + 1) / (n + 2)
+    for k, ws in tokens.items():
+        want = sum(math.log10(max(c[w] - d, 0) / (n + 2) + share * brute(w, weights, longest)) for w in ws) + math.log10((len(train) + 1) / (n + 2))
+        assert got[k] == pytest.approx(want, rel=1e-6)
+
+
 def test_head_size_does_not_matter(spark):
     rows = [(k, f"alpha beta w{k % 9} w{k % 5}") for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +39,26 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+#: Bytes of spans that are hashed at once.
+BLOCK = 1 << 20
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand."""
+    """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand. Spans follow one another."""
+    out = np.zeros(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK, side="right")))
+        a, b = int(starts[lo]), int(ends[hi - 1])
+        if b - a > BLOCK:  # one long span
+            out[lo] = int.from_bytes(hashlib.blake2b(raw[a:b].tobytes(), digest_size=8).digest(), "little")
+        else:
+            out[lo:hi] = _short_hashes(raw[a:b], starts[lo:hi] - a, ends[lo:hi] - a)
+        lo = hi
+    return out
+
+
+def _short_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _power(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:], dtype=np.uint64)

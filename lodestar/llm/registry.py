@@ -147,21 +147,24 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 40 // n AS INTEGER)
 
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-g AS (SELECT doc_id, unnest(range(1, CAST(len(w) - 6 AS BIGINT))) AS i, unnest(list_transform(range(1, CAST(len(w) - 6 AS BIGINT)), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM w WHERE len(w) >= 8),
-r AS (SELECT doc_id, i, g FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+g8 AS (SELECT doc_id, unnest(range(1, CAST(len(w) - 6 AS BIGINT))) AS i, unnest(list_transform(range(1, CAST(len(w) - 6 AS BIGINT)), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM w WHERE len(w) >= 8),
+g5 AS (SELECT doc_id, unnest(range(1, CAST(len(w) - 3 AS BIGINT))) AS i, unnest(list_transform(range(1, CAST(len(w) - 3 AS BIGINT)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) >= 5),
+r8 AS (SELECT doc_id, i, g FROM g8 QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r5 AS (SELECT doc_id, i, g FROM g5 QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 -- Equal windows side by side on a diagonal are one longer repeat.
-pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS d FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS d FROM r5 a JOIN r5 b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i),
 runs AS (SELECT doc_id, d, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS k FROM pairs),
-long AS (SELECT doc_id, max(n) + 7 AS longest FROM (SELECT doc_id, d, k, count(*) AS n FROM runs GROUP BY ALL) GROUP BY 1),
-cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM r) GROUP BY 1),
+long AS (SELECT doc_id, max(n) + 4 AS longest FROM (SELECT doc_id, d, k, count(*) AS n FROM runs GROUP BY ALL) GROUP BY 1),
+base AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM r8) GROUP BY 1),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r5) GROUP BY 1),
 lines AS (SELECT doc_id, sum(n - 1) AS dup FROM (SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1),
 m AS (
   SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(longest, 0) AS BIGINT) AS longest_repeat
-  FROM w LEFT JOIN lines ON w.doc_id = lines.doc_id LEFT JOIN cover ON w.doc_id = cover.doc_id LEFT JOIN long ON w.doc_id = long.doc_id
+         CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(base.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(cover.n, 0) AS BIGINT) AS covered_words, CAST(coalesce(longest, 0) AS BIGINT) AS longest_repeat
+  FROM w LEFT JOIN lines ON w.doc_id = lines.doc_id LEFT JOIN base ON w.doc_id = base.doc_id LEFT JOIN cover ON w.doc_id = cover.doc_id LEFT JOIN long ON w.doc_id = long.doc_id
 )
-SELECT *, n_repeat_words AS covered_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_repeat_words <= CAST(0.3 AS DOUBLE) * n_words AND longest_repeat <= greatest(50, CAST(0.2 AS DOUBLE) * n_words) AS kept FROM m
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND covered_words <= CAST(0.3 AS DOUBLE) * n_words AND longest_repeat <= greatest(50, CAST(0.2 AS DOUBLE) * n_words) AS kept FROM m
 """
 
 #: For the pages of the synthetic tables, which all mark their article.

@@ -65,5 +65,24 @@ def outranked(df: DataFrame, ident: str, rank: str, start: str, end: str, period
     return df.join(top, df[start] == top["at"]).where(F.col("top") > F.col(rank)).select(ident, start)
 
 
+def discipline(ledger: DataFrame, catalogue: DataFrame, rows: DataFrame) -> DataFrame:
+    """(rule, defect_id, source_system) of each breach of a ledger of defects by its catalogue.
+
+    UNDECLARED: a defect that the catalogue lacks. ELSEWHERE: in a system that does not declare it. ABSENT: declared and
+    never seen. RATE: seen more than three standard deviations from its declared rate of the system's rows.
+    ``catalogue`` has defect_id, source_system, rate; ``rows`` has source_system, n; the ledger is counted first.
+    """
+    seen = ledger.groupBy("defect_id", "source_system").agg(F.count(F.lit(1)).alias("seen"))
+    known = catalogue.select(F.col("defect_id").alias("__d")).distinct()
+    of = lambda rule, df: df.select(F.lit(rule).alias("rule"), "defect_id", "source_system")
+    undeclared = seen.join(known, F.col("defect_id") == F.col("__d"), "left_anti")
+    declared = seen.join(known, F.col("defect_id") == F.col("__d"), "left_semi")
+    elsewhere = declared.join(catalogue, ["defect_id", "source_system"], "left_anti")
+    absent = catalogue.join(seen, ["defect_id", "source_system"], "left_anti")
+    both = catalogue.join(seen, ["defect_id", "source_system"]).join(rows, "source_system")
+    off = both.where(F.abs(F.col("seen") - F.col("n") * F.col("rate")) > 3 * F.sqrt(F.col("n") * F.col("rate") * (1 - F.col("rate"))))
+    return of("UNDECLARED", undeclared).unionByName(of("ELSEWHERE", elsewhere)).unionByName(of("ABSENT", absent)).unionByName(of("RATE", off))
+
+
 def any_of(flags: list[Column]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, flags), F.lit(False))

@@ -49,3 +49,9 @@ def proposal_class(score: Column, second: Column, same_text: Column, own_scale:
         F.when(own_scale, "BUSINESS_DECISION").when(same_text, "SPELLING_VARIANT").when((score >= 0.80) & (gap >= 0.12), "KNOWN_ALIAS").when((score >= 0.55) & (gap < 0.12) & ~other_language, "BUSINESS_DECISION")
         .when(other_language, "TRANSLATION_PENDING").when(score >= 0.55, "LIKELY_CANDIDATE").otherwise("WEAK_CANDIDATE")
     )
+
+
+def awaiting_decision(scales: dict[str, list[str]], own: str) -> list[str]:
+    """Values of scales that systems other than ``own`` declare: theirs to be decided on by people, never inferred."""
+    foreign = {v for system, values in scales.items() if system != own for v in values}
+    return sorted(foreign - set(scales.get(own, ())))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PATTERNS = {
-    "iso_date": r"^\d{4}-\d{2}-\d{2}$", "slash_date": r"^\d{1,2}/\d{1,2}/\d{4}$", "comma_decimal": r"^-?\d{1,3}(\.\d{3})*,\d+$|^-?\d+,\d+$",
+    "iso_date": r"^\d{4}-\d{2}-\d{2}$", "slash_date": r"^\d{1,2}/\d{1,2}/\d{4}$", "short_year_date": r"^\d{1,2}/\d{1,2}/\d{2}$", "compact_date": r"^(19|20)\d{6}$", "timestamp": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}", "comma_decimal": r"^-?\d{1,3}(\.\d{3})*,\d+$|^-?\d+,\d+$",
     "point_decimal": r"^-?\d+\.\d+$", "mojibake": "[ÃÂ][\u0080-¿]", "edge_space": r"^\s|\s$", "upper": r"^[^a-z]*[A-Z][^a-z]*$",
 }
 
@@ -48,7 +48,7 @@ def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
 def findings(profile: DataFrame) -> DataFrame:
     """(column, finding): what a profile points at."""
     rules = [
-        ("MANY_NULLS", F.col("null_rate") > 0.2), ("MOJIBAKE", F.col("mojibake") > 0.01), ("DATES_NOT_ISO", F.col("slash_date") > 0.5), ("COMMA_DECIMALS", F.col("comma_decimal") > 0.5),
+        ("MANY_NULLS", F.col("null_rate") > 0.2), ("MOJIBAKE", F.col("mojibake") > 0.01), ("DATES_NOT_ISO", F.col("slash_date") + F.col("short_year_date") + F.col("compact_date") > 0.5), ("COMMA_DECIMALS", F.col("comma_decimal") > 0.5),
         ("EDGE_SPACES", F.col("edge_space") > 0.01), ("MIXED_CASE", (F.col("upper") > 0.05) & (F.col("upper") < 0.95)), ("SMALL_DOMAIN", F.col("distinct_values").between(2, 30)),
     ]
     hits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import dates
-from lodestar.operators import entities, lookups, reconcile, versions
+from lodestar.operators import calibration, entities, lookups, reconcile, versions
 from lodestar.plans.q_model import ISLANDS, customer_versions
 from lodestar.plans.q_rows import table
 
@@ -193,3 +193,21 @@ def hire_evidence(spark, d):
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = lines.select(F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("o_custkey"), F.when(F.col("l_linestatus") == "F", dates.iso(F.col("l_shipdate"))).alias("hired"))
     return entities.hire_evidence(rows, "o_custkey", "hired")
+
+
+_CATALOGUE = [("D0", "F", 0.2), ("D1", "F", 0.5), ("D2", "O", 0.2), ("D8", "O", 0.1), ("D3", "P", 0.2)]
+
+
+@query(f"""
+WITH l AS (SELECT 'D' || (o_orderkey % 5) AS defect_id, o_orderstatus AS source_system FROM orders), c AS (SELECT * FROM (VALUES {", ".join(map(str, _CATALOGUE))}) t(defect_id, source_system, rate)),
+s AS (SELECT defect_id, source_system, count(*) AS seen FROM l GROUP BY 1, 2), n AS (SELECT o_orderstatus AS source_system, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'UNDECLARED' AS rule, defect_id, source_system FROM s WHERE defect_id NOT IN (SELECT defect_id FROM c)
+UNION ALL SELECT 'ELSEWHERE', defect_id, source_system FROM s WHERE defect_id IN (SELECT defect_id FROM c) AND (defect_id, source_system) NOT IN (SELECT (defect_id, source_system) FROM c)
+UNION ALL SELECT 'ABSENT', defect_id, source_system FROM c ANTI JOIN s USING (defect_id, source_system)
+UNION ALL SELECT 'RATE', defect_id, source_system FROM c JOIN s USING (defect_id, source_system) JOIN n USING (source_system) WHERE abs(seen - n * CAST(rate AS DOUBLE)) > 3 * sqrt(n * CAST(rate AS DOUBLE) * (1 - CAST(rate AS DOUBLE)))
+""")
+def ledger_discipline(spark, d):
+    orders = table(spark, d, "orders")
+    ledger = orders.select(F.concat(F.lit("D"), (F.col("o_orderkey") % 5).cast("string")).alias("defect_id"), F.col("o_orderstatus").alias("source_system"))
+    rows = orders.groupBy(F.col("o_orderstatus").alias("source_system")).agg(F.count(F.lit(1)).alias("n"))
+    return calibration.discipline(ledger, spark.createDataFrame(_CATALOGUE, "defect_id string, source_system string, rate double"), rows)

@@ -184,3 +184,9 @@ def test_worst_and_orphans(spark):
     assert tuple(reconcile.worst(rows).first()) == (3, 0.233333, 0.3, "2024-02")
     people = spark.createDataFrame([(1, None), (2, 1), (3, 9), (None, 9)], "k int, p int")
     assert sorted((str(r.k), r.p) for r in reconcile.orphans(people, "k", "p").collect()) == [("3", 9), ("None", 9)]
+
+
+def test_values_awaiting_decision():
+    from lodestar.operators.mapping import awaiting_decision
+
+    assert awaiting_decision({"CORE": ["L1", "L2"], "BOUGHT": ["N1", "L2"], "OTHER": []}, "CORE") == ["N1"]

@@ -3,43 +3,60 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import _store, byte_cnn, ffd_packing, minhash, suffix_quality
 
-#: A document goes if its text has no letter or its likeliest language is less sure than this.
-LEAST_SURE = 0.3
+#: A document goes if its text has no letter or its likeliest language is less sure than this. Of 9,053 labelled documents
+#: 3 were less sure, and all 3 were told wrong; of the 9,050 others 2 were.
+LEAST_SURE = 0.6
 
 #: Texts are near-duplicates if their sets of five-word shingles have this similarity, in percent.
 NEAR = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the suffix-array rules keep."""
+    """Documents that the suffix-array rules keep. Null and empty texts and texts of fewer than 20 words go."""
     _store.ship(spark)
     judged = suffix_quality.quality_signals(docs, keep=tuple(docs.columns), prefix="quality__")
     return judged.where("quality__kept").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language; the network learns from the labels of these documents."""
+    """Documents whose language is told; the network learns from the labels of these documents, and what it tells fills
+    the label of those without one. Null texts and texts without a letter go. Without any label nothing can be told, and
+    all documents stay as they are."""
     _store.ship(spark)
     net = byte_cnn.fitted(docs, F.lit(True))
+    if net is None:
+        return docs
     rated = byte_cnn.predicted(docs, net, keep=tuple(docs.columns), prefix="language__")
-    return rated.where((F.col("language__lang_pred") != "und") & (F.col("language__score") >= LEAST_SURE)).select(*docs.columns)
+    told = rated.where((F.col("language__lang_pred") != "und") & (F.col("language__score") >= LEAST_SURE))
+    return told.withColumn("lang", F.coalesce(F.col("lang"), F.col("language__lang_pred").cast(docs.schema["lang"].dataType))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest doc_id."""
+    """One document of each group of near-duplicates, the one of the smallest doc_id. Rows that share a doc_id are told
+    apart by their texts; of rows that share both, one stays. Rows without a doc_id, and texts without a word, stay."""
     _store.ship(spark)
-    gone = minhash.near_duplicates(docs, percent=NEAR).where("NOT kept").select("doc_id")
-    gone = _store.on_disk(gone)
-    return _store.only(docs, "doc_id", gone, "doc_id", "left_anti").select(*docs.columns)
+    mark = F.xxhash64("text").alias("near__text")
+    rows = docs.select("doc_id", "text", mark)
+    judged = minhash.near_duplicates(rows, percent=NEAR, keep=("near__text",)).where("doc_id IS NOT NULL AND n_shingles > 0")
+    row = F.struct(F.col("doc_id").cast("bigint"), F.col("near__text"))
+    judged = judged.select(row.alias("near__row"), "kept")
+    gone = _store.written(judged.where("NOT kept").select("near__row"), "gone")
+    twice = _store.written(judged.where("kept").groupBy("near__row").count().where("count > 1").select("near__row"), "twice")
+    found = docs.withColumn("near__text", mark).withColumn("near__row", row)
+    stay = _store.only(found, "near__row", gone, "near__row", "left_anti")
+    if not twice.isEmpty():
+        again = _store.only(stay, "near__row", twice, "near__row").withColumn("near__first", F.row_number().over(Window.partitionBy("near__row").orderBy(F.xxhash64(*docs.columns)))).where("near__first = 1")
+        stay = _store.only(stay, "near__row", twice, "near__row", "left_anti").unionByName(again.drop("near__first"))
+    return stay.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces and their places in sequences of 4096 tokens."""
+    """Each document's pieces and their places in sequences of 4096 tokens. A null text has its end token alone."""
     _store.ship(spark)
     cut = ffd_packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     return ffd_packing.packed(_store.written(cut, "pieces"))

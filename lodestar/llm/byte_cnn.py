@@ -5,7 +5,8 @@ response of each filter goes to a softmax over the languages. A text's windows,
 their logits averaged by the bytes they hold. The score is the softmax of that average at the predicted language.
 
 The network is trained in one task on a bounded sample of labelled rows: at most ``sample_rows`` rows by a hash of
-their id, three windows of each. Every row is predicted. A null text or one without a letter is ``und`` with score 0; so
+their id and text, three windows of each. The sample is drawn label by label, so that a rare language has as many rows as
+a frequent one or all that it has; of more than ``most_labels`` labels the most frequent are learned. Every row is predicted. A null text or one without a letter is ``und`` with score 0; so
 is every text if there was nothing to learn from. Repeated rows are predicted alike.
 """
 
@@ -122,17 +123,24 @@ def windows_of(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     return out, doc, held
 
 
-def fitted(docs: DataFrame, train: Column, doc: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = 3000, width: int = 256) -> Net | None:
+def fitted(docs: DataFrame, train: Column, doc: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = 3000, most_labels: int = 200, width: int = 256) -> Net | None:
     """A network trained on at most ``sample_rows`` of the rows with ``train`` and a label; None if there are none."""
+    named = docs[label].cast("string")
     rows = docs.where(train & docs[label].isNotNull() & docs[text].isNotNull())
-    total = rows.select(docs[label]).count()
-    if not total:
+    counts = rows.groupBy(named.alias("label")).count().orderBy(F.desc("count"), "label").limit(most_labels).collect()
+    if not counts:
         return None
-    share = F.pmod(F.xxhash64(docs[doc]), F.lit(1 << 20)) < max(1, int(0.9 * sample_rows / total * (1 << 20)))
+    shares, left = [], sample_rows
+    for k, row in enumerate(reversed(counts)):  # what rare labels leave goes to the others
+        quota = min(row["count"], left // (len(counts) - k))
+        left -= quota
+        shares.append((row["label"], min(1 << 20, max(1, int(0.9 * quota / row["count"] * (1 << 20)))) if quota < row["count"] else 1 << 20))
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares for x in pair]), named)
+    drawn = rows.where(F.pmod(F.xxhash64(docs[doc], docs[text]), F.lit(1 << 20)) < share)
     body, size = docs[text], F.length(docs[text])
     places = [F.lit(1), F.greatest(F.lit(1), (size * 0.4).cast("int")), F.greatest(F.lit(1), (size * 0.8).cast("int"))]
     parts = [F.substring(body, p, F.lit(width)).alias(f"w{k}") for k, p in enumerate(places)]
-    sample = (rows if total <= sample_rows else rows.where(share)).select(docs[label].cast("string").alias("label"), *parts).limit(sample_rows)
+    sample = drawn.select(named.alias("label"), *parts).limit(sample_rows)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for batch in batches for r in batch.to_pylist()]
@@ -149,7 +157,7 @@ def fitted(docs: DataFrame, train: Column, doc: str = "doc_id", text: str = "tex
                     y.append(labels.index(r["label"]))
         if y:
             net = Net(labels, width)
-            net.train(np.array(windows), np.array(y))
+            net.train(np.array(windows), np.array(y), epochs=max(8, min(100, 32_000 // len(y))))  # small samples more often
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
     got = sample.mapInArrow(learn, "net binary").collect()

@@ -15,7 +15,7 @@ Only ids, signatures of colliding classes and the texts of pairs are shuffled (t
 ids than may be broadcast). Nothing is collected to the driver but
 two numbers in each round. Null and empty texts have an empty set and are linked with nothing, also not with each other.
 Rows without a doc_id are linked with nothing: their component_id is null and they are kept. Rows that share a doc_id
-are judged by their own texts.
+are judged by their own texts: a class goes by its smallest doc_id while no other class has the same, else by a hash.
 """
 
 from __future__ import annotations
@@ -73,8 +73,8 @@ def minima(h: np.ndarray, first: np.ndarray, hashes: int) -> np.ndarray:
     return out
 
 
-def signatures(df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprint and its signature (null for an empty set)."""
+def signatures(df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 85, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns ``keep``, n_shingles, the set's fingerprint and its signature (null for an empty set)."""
     hashes = ROWS * bands_for(percent)
 
     def make() -> Callable[[pa.Array], dict]:
@@ -92,7 +92,22 @@ def signatures(df: DataFrame, doc: str = "doc_id", text: str = "text", shingle:
 
         return run
 
-    return annotated(df.withColumnRenamed(doc, "doc_id") if doc != "doc_id" else df, text, ["doc_id"], make, "n_shingles bigint, fingerprint binary, signature binary", most=1 << 18)
+    return annotated(df.withColumnRenamed(doc, "doc_id") if doc != "doc_id" else df, text, ["doc_id", *keep], make, "n_shingles bigint, fingerprint binary, signature binary", most=1 << 18)
+
+
+def classes_of(usable: DataFrame, rows: int) -> DataFrame:
+    """A row for each fingerprint: rep, its own number; doc, its smallest doc_id; n, signature.
+
+    The number is the doc_id, but a hash of the fingerprint where several classes have one smallest doc_id.
+    """
+    classes = usable.groupBy("fingerprint").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = written(classes.withColumn("rep", F.col("doc")), "classes", rows=rows)
+    same = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc")
+    if same.isEmpty():
+        return classes
+    clash = written(same, "clashes")
+    apart = only(classes, "doc", clash, "doc").withColumn("rep", F.xxhash64("fingerprint"))
+    return written(only(classes, "doc", clash, "doc", "left_anti").unionByName(apart), "classes", rows=rows)
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
@@ -126,11 +141,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent:
     runs = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("runs"))
     dealt = pairs.join(runs, "c").select("c", F.pmod(F.xxhash64("x"), "runs").cast("int").alias("run"), F.col("x").alias("id"), F.lit(1).alias("turn"))
     centres = runs.select("c", F.explode(F.sequence(F.lit(0), F.col("runs").cast("int") - 1)).alias("run"), F.col("c").alias("id"), F.lit(0).alias("turn"))
-    named = classes.select(F.col("rep").alias("id"), "fingerprint")
+    named = classes.select(F.col("rep").alias("id"), "doc", "fingerprint")
     wanted = on_disk(dealt.unionByName(centres).join(named, "id"))
     held.append(wanted)
-    texts = only(texts, "doc_id", wanted, "id")
-    rows = texts.join(wanted.hint("shuffle_hash"), texts["doc_id"] == wanted["id"]).select("c", "run", "id", "turn", "text", "fingerprint")
+    texts = only(texts, "doc_id", wanted, "doc")
+    rows = texts.join(wanted.hint("shuffle_hash"), texts["doc_id"] == wanted["doc"]).select("c", "run", "id", "turn", "text", "fingerprint")
     rows = rows.repartition("c", "run").sortWithinPartitions("c", "run", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +171,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent:
 
 
 def components(links: DataFrame, most: int | None = None, u: str = "x", v: str = "c") -> DataFrame:
-    """(node, component) of each node of the links, of which there are at most ``most``: alternating large-star and
+    """(node, component) of each node of the links but a component's smallest, of which there are at most ``most``: alternating large-star and
     small-star until nothing changes. Neither step makes more edges than it is given."""
     edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u != v").distinct()
     edges = written(edges, "edges", rows=most)
@@ -229,7 +244,7 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, least: int
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), "k").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select("h", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
-    rows = rows.join(classes, "rep").select("h", "band", "i", "j", "own", "rep", "component", "n", "fingerprint", "signature")
+    rows = rows.join(classes, "rep").select("h", "band", "i", "j", "own", "rep", "doc", "component", "n", "fingerprint", "signature")
     rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "rep")
     fields = rows.schema
 
@@ -269,21 +284,25 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, least: int
 
     rows = on_disk(rows.mapInArrow(partnered, fields))
     held.append(rows)
-    texts = only(texts, "doc_id", rows, "rep")
-    rows = texts.join(rows.hint("shuffle_hash"), texts["doc_id"] == rows["rep"]).drop("doc_id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "rep")
+    texts = only(texts, "doc_id", rows, "doc")
+    rows = texts.join(rows.hint("shuffle_hash"), texts["doc_id"] == rows["doc"]).drop("doc_id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "rep")
     return rows.mapInArrow(linked, "x bigint, c bigint").distinct()
 
 
-def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row; a link needs 100 * intersection >= percent * union."""
+def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns ``keep``, n_shingles, component_id, kept of each row; a link needs 100 * intersection >= percent * union.
+
+    ``kept`` is whether doc_id = component_id and the row is of its component's first class, which only matters where
+    rows of different texts share a doc_id.
+    """
     n_bands = bands_for(percent)
     hashes = ROWS * n_bands
     least = int((percent / 100 - 4.7 * (percent / 100 * (1 - percent / 100) / hashes) ** 0.5) * hashes)
-    docs = df.select(df[doc].cast("bigint").alias("doc_id"), df[text].cast("string").alias("text"))
-    signed = on_disk(signatures(docs, shingle=shingle, percent=percent))
+    docs = df.select(df[doc].cast("bigint").alias("doc_id"), df[text].cast("string").alias("text"), *[df[c] for c in keep])
+    signed = on_disk(signatures(docs, shingle=shingle, percent=percent, keep=keep))
     usable = signed.where("doc_id IS NOT NULL AND signature IS NOT NULL")
-    classes = usable.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
-    classes = written(classes, "classes", rows=signed.count())
+    total = signed.count()
+    classes = classes_of(usable, total)
     bands = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(signature, {4 * ROWS * b + 1}, {4 * ROWS})")) for b in range(n_bands)])
     banded = classes.select("rep", F.posexplode(bands).alias("band", "h"))
     sizes = banded.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -293,7 +312,7 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
     members = on_disk(met.join(centres, "h").select("h", "band", "rep", "centre"))
     many = members.count()
     pairs = members.where("rep != centre").select(F.col("rep").alias("x"), F.col("centre").alias("c")).distinct()
-    texts = docs.where("doc_id IS NOT NULL")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     agreed = written(_agreeing(pairs, classes, least, percent), "agreed", rows=many)
     held = [met, members]
     links = _confirmed(agreed, texts, classes, percent, shingle, held)
@@ -302,9 +321,15 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
     more = written(_across(placed, classes, texts, least, percent, shingle, held), "across", rows=many)
     if not more.isEmpty():
         joined = components(joined.select(F.col("node").alias("x"), F.col("component").alias("c")).unionByName(more), 2 * many)
-    for part in held:
-        part.unpersist()
-    named = classes.select("fingerprint", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(named, "fingerprint", "left")
+    nodes = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct())
+    about = nodes.join(classes.select("rep", "doc"), F.col("node") == F.col("rep"))
+    lowest = F.min(F.struct("doc", "rep"))
+    whole = about.groupBy("component").agg(lowest.alias("low"))
+    about = about.join(whole, "component").select("rep", F.col("low.doc").alias("component_id"), (F.col("low.rep") == F.col("rep")).alias("head"))
+    named = classes.select("fingerprint", "rep", "doc").join(about, "rep", "left").select("fingerprint", F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("head", F.lit(True)).alias("head"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = signed.join(named, "fingerprint", "left").select("doc_id", *keep, "n_shingles", own.alias("component_id"), F.coalesce((F.col("doc_id") == own) & F.coalesce("head", F.lit(True)), F.lit(True)).alias("kept"))
+    out = written(out, "near-duplicates")
+    for part in [signed, *held]:
+        part.unpersist()
+    return out

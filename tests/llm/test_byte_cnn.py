@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import _store, registry
 from lodestar.llm._batches import bytes_of
-from lodestar.llm.byte_cnn import Net, windows_of
+from lodestar.llm.byte_cnn import Net, fitted, predicted, windows_of
 
 DATA = "/root/testdata/sf0.001"
 
@@ -36,6 +36,29 @@ def test_gradients():
         net.p[name][at] = kept
 
 
+def test_forward_against_loops():
+    """Byte vectors, filters, largest response, softmax over the average of windows, by plain loops."""
+    net, rng = Net(["x", "y", "z"], width=16, seed=5), np.random.default_rng(1)
+    windows = rng.integers(0, 256, (3, 16)).astype(np.uint8)
+    for w, got in zip(windows, net.logits(windows), strict=True):
+        features = []
+        for k in (2, 3, 4):
+            for f in range(16):
+                best = max(sum(float(net.p["byte"][w[t + j]][v]) * float(net.p[f"filter{k}"][j * 8 + v][f]) for j in range(k) for v in range(8)) for t in range(16 - k + 1))
+                features.append(max(best + float(net.p[f"bias{k}"][f]), 0.0))
+        want = [sum(x * float(net.p["out"][i][c]) for i, x in enumerate(features)) + float(net.p["base"][c]) for c in range(3)]
+        assert np.allclose(got, want, atol=1e-4)
+
+
+def test_rare_labels_are_learned(spark):
+    _store.ship(spark)
+    data = [(k, "the and of to in " * 20, "en") for k in range(600)] + [(1000 + k, "qqq www zzz xxx " * 20, "rare") for k in range(6)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    net = fitted(docs, F.lit(True), sample_rows=60)
+    assert net.labels == ["en", "rare"]
+    assert {(r.doc_id > 900, r.lang_pred) for r in predicted(docs, net).collect()} == {(False, "en"), (True, "rare")}
+
+
 def test_held_out_accuracy(spark):
     _store.ship(spark)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

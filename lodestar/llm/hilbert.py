@@ -1,14 +1,15 @@
 """Sharding in Hilbert-curve order, with DataFrame functions only.
 
-Three metadata dimensions are quantised to 32 steps each: two labels (the place of a label's first MD5 byte among those
-that occur, at most 256) and the size (two steps for each doubling). Rows are sorted by the cell's index on a
-three-dimensional Hilbert curve, then by a hash of the id, id, checksum and size, and the order is cut into runs of equal
-rows, so that each shard covers few values of every dimension and readers prune files by any of them.
+Three metadata dimensions are quantised to 32 steps each, in their own order, so that steps side by side are values side by
+side: two labels by the share of rows with a smaller label, so that a label of a 32nd of the rows or more has a step of its
+own, and the size by two steps for each doubling, spread over the sizes that occur. Rows are sorted by the cell's index on
+a three-dimensional Hilbert curve, then by a hash of the id, id, checksum and size, and the order is cut into runs of equal
+rows, so that each shard covers few neighbouring values of every dimension and readers prune files by any of them.
 
 The place of a row is found without one global sort: counts of at most 32,768 cells give each cell's first place; a cell
 with many rows is cut by the id's hash into buckets of about ``bucket_rows``, whose counts give each bucket's first
 place; within a bucket rows are numbered. A label that a third of the rows have is thus spread over many tasks, and no
-text is shuffled.
+text is shuffled. Labels are counted first; their shares come from sums over ranges of the labels, not from one sort.
 
 Null labels count as empty ones, a null text as no bytes, a null id comes first. Equal rows get places side by side.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import bounded, written
 
 BITS = 5
 #: Fixed values of the curve in three dimensions, by octant: inverse of the Gray code, entry corner, direction.
@@ -51,8 +52,16 @@ def curve_index(x: Column, y: Column, z: Column, bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda s: s["h"])
 
 
-def _label_byte(label: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(label.cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int")
+def _label_steps(rows: DataFrame, label: str, step: str) -> DataFrame:
+    """(label, step): the share of rows with a smaller label, in 32nds."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(label).withColumn("range", F.spark_partition_id())
+    counts = written(counts, "label-counts")
+    earlier = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = counts.groupBy("range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"), F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
+    smaller = W.partitionBy("range").orderBy(label).rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("before", F.coalesce(F.sum("n").over(smaller), F.lit(0))).join(F.broadcast(ranges), "range")
+    return written(placed.select(label, F.expr(f"(first + before) * {1 << BITS} div total").cast("int").alias(step)), "label-steps")
 
 
 def _size_step(size: Column) -> Column:
@@ -66,18 +75,16 @@ def sharded(df: DataFrame, shards: int = 40, doc: str = "doc_id", text: str = "t
     body = F.coalesce(df[text].cast("string"), F.lit(""))
     slim = df.select(
         df[doc].alias("doc_id"), (F.octet_length(body).cast("bigint") + 16).alias("size"), F.crc32(body).alias("text_crc32"),
-        _label_byte(df[labels[0]]).alias("a"), _label_byte(df[labels[1]]).alias("b"),
+        *[F.coalesce(df[c].cast("string"), F.lit("")).alias(k) for c, k in zip(labels, ("a", "b"), strict=True)],
         F.conv(F.substring(F.md5(F.coalesce(df[doc].cast("string"), F.lit(""))), 1, 4), 16, 10).cast("bigint").alias("h"),
     )
-    slim = written(slim, "shard-keys")
-    seen = slim.agg(F.sort_array(F.collect_set("a")).alias("a"), F.sort_array(F.collect_set("b")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-
-    def axis(byte: str) -> Column:
-        values = seen[byte] or [0]
-        place = F.array_position(F.array(*map(F.lit, values)), F.col(byte)).cast("int") - 1
-        return place if len(values) <= 32 else F.floor(place * 32 / len(values)).cast("int")
-
-    rows = slim.select("doc_id", "size", "text_crc32", "h", axis("a").alias("x"), axis("b").alias("y"), _size_step(F.col("size")).alias("z"))
+    slim = written(slim.withColumn("step", _size_step(F.col("size"))), "shard-keys")
+    seen = slim.agg(F.min("step").alias("lo"), F.max("step").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, hi = seen["lo"] or 0, seen["hi"] or 0
+    rows = slim
+    for label, axis in (("a", "x"), ("b", "y")):
+        rows = rows.join(bounded(_label_steps(slim, label, axis), F.octet_length(label) + 32), label)
+    rows = written(rows.select("doc_id", "size", "text_crc32", "h", "x", "y", F.expr(f"(step - {lo}) * {1 << BITS} div {hi - lo + 1}").cast("int").alias("z")), "shard-cells")
     cells = rows.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n")).withColumn("curve_index", curve_index(F.col("x"), F.col("y"), F.col("z")))
     along = W.orderBy("curve_index").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("x", "y", "z", "curve_index", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("cell_first"), F.ceil(F.col("n") / bucket_rows).alias("cuts"))

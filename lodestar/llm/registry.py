@@ -125,13 +125,14 @@ WITH RECURSIVE crc AS MATERIALIZED (
   SELECT doc_id, lang, source, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents
 ), keyed AS (
   SELECT doc_id, size, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32,
-         CAST('0x' || substr(md5(coalesce(lang, '')), 1, 2) AS INTEGER) AS a, CAST('0x' || substr(md5(coalesce(source, '')), 1, 2) AS INTEGER) AS b,
+         coalesce(lang, '') AS a, coalesce(source, '') AS b,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) AS INTEGER) AS h, bin(size) AS bits FROM bytes, crc
 ), placed AS (
-  SELECT *, dense_rank() OVER (ORDER BY a) - 1 AS ra, dense_rank() OVER (ORDER BY b) - 1 AS rb, (SELECT count(DISTINCT a) FROM keyed) AS na, (SELECT count(DISTINCT b) FROM keyed) AS nb FROM keyed
+  SELECT *, rank() OVER (ORDER BY a) - 1 AS ra, rank() OVER (ORDER BY b) - 1 AS rb, count(*) OVER () AS n,
+         CAST(least(greatest(length(bits) * 2 + CAST(substr(bits, 2, 1) AS INTEGER) - 10, 0), 31) AS INTEGER) AS step FROM keyed
 ), cells AS (
-  SELECT doc_id, size, text_crc32, h, CAST(CASE WHEN na <= 32 THEN ra ELSE ra * 32 // na END AS INTEGER) AS x, CAST(CASE WHEN nb <= 32 THEN rb ELSE rb * 32 // nb END AS INTEGER) AS y,
-         CAST(least(greatest(length(bits) * 2 + CAST(substr(bits, 2, 1) AS INTEGER) - 10, 0), 31) AS INTEGER) AS z FROM placed
+  SELECT doc_id, size, text_crc32, h, CAST(ra * 32 // n AS INTEGER) AS x, CAST(rb * 32 // n AS INTEGER) AS y,
+         CAST((step - min(step) OVER ()) * 32 // (max(step) OVER () - min(step) OVER () + 1) AS INTEGER) AS z FROM placed
 ), curve AS (
   SELECT DISTINCT x, y, z, 4 AS bit, 0 AS e, 0 AS d, 0 AS curve_index FROM cells
   UNION ALL

@@ -5,7 +5,8 @@ mono WAV file written and read by the wave module. Frames of 256 samples, 128 ap
 Hann window and a real Fourier transform. The loudest bin of each of four bands is a peak where it is not below the same
 band's peaks in the frames beside it. A peak is paired with each peak of the next three frames; a pair is one integer,
 time << 20 | band bin << 11 | the other bin << 3 | frames between, so the array is sorted by time.
-Equal texts give equal values; empty tables give empty results; extra columns are not looked at.
+Equal texts give equal values; empty tables give empty results; extra columns are not looked at. Frames are transformed
+in blocks of BLOCK, so a very long text needs memory for its bytes, its file and its fingerprints, not for its spectrum.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from ._batches import annotated, bytes_of
 FRAME, HOP, RATE = 256, 128, 8000
 BANDS = ((1, 9), (9, 25), (25, 57), (57, 129))
 REACH = 3
+#: Frames that are transformed at once.
+BLOCK = 4096
 _HANN = np.hanning(FRAME).astype(np.float32)
 
 
@@ -51,15 +54,18 @@ def load(media: bytes) -> bytes:
 def peaks_of(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bins, is a peak) by frame and band."""
     frames = -(-len(samples) // HOP)
-    signal = np.zeros((frames + 1) * HOP, np.float32)
-    signal[: len(samples)] = (samples.astype(np.float32) - 128) / 128
-    view = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP][:frames]
-    power = np.abs(np.fft.rfft(view * _HANN, axis=1)).astype(np.float32)
-    bins = np.empty((frames, len(BANDS)), np.int64)
+    bins = np.empty((frames, len(BANDS)), np.int16)
     height = np.empty((frames, len(BANDS)), np.float32)
-    for k, (lo, hi) in enumerate(BANDS):
-        bins[:, k] = lo + power[:, lo:hi].argmax(1)
-        height[:, k] = power[:, lo:hi].max(1)
+    for lo in range(0, frames, BLOCK):
+        hi = min(lo + BLOCK, frames)
+        signal = np.zeros((hi - lo + 1) * HOP, np.float32)
+        part = samples[lo * HOP : (hi + 1) * HOP]
+        signal[: len(part)] = (part.astype(np.float32) - 128) / 128
+        view = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
+        power = np.abs(np.fft.rfft(view * _HANN, axis=1)).astype(np.float32)
+        for k, (a, b) in enumerate(BANDS):
+            bins[lo:hi, k] = a + power[:, a:b].argmax(1)
+            height[lo:hi, k] = power[:, a:b].max(1)
     top = height > 0
     top[1:] &= height[1:] >= height[:-1]
     top[:-1] &= height[:-1] >= height[1:]
@@ -69,12 +75,16 @@ def peaks_of(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fingerprints(samples: np.ndarray) -> np.ndarray:
     """Time-coded pairs of peaks, sorted."""
     bins, top = peaks_of(samples)
-    found = []
-    for gap in range(1, REACH + 1):
-        here, there = top[:-gap], top[gap:]
-        t, a, b = np.nonzero(here[:, :, None] & there[:, None, :])
-        found.append((t << 20) | (bins[t, a] << 11) | (bins[t + gap, b] << 3) | gap)
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    blocks = []
+    for lo in range(0, len(top), BLOCK):
+        found = []
+        for gap in range(1, REACH + 1):
+            here, there = top[lo : lo + BLOCK], top[lo + gap : lo + gap + BLOCK]
+            t, a, b = np.nonzero(here[: len(there), :, None] & there[:, None, :])
+            t += lo
+            found.append((t << 20) | (bins[t, a].astype(np.int64) << 11) | (bins[t + gap, b].astype(np.int64) << 3) | gap)
+        blocks.append(np.sort(np.concatenate(found)))
+    return np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
 
 
 def media_columns(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

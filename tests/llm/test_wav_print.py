@@ -1,10 +1,15 @@
 import hashlib
+import math
+import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pytest
 
-from lodestar.llm import _store
-from lodestar.llm.wav_print import FRAME, HOP, fingerprints, load, media_columns, media_digests, payload, store
+from lodestar.llm import _store, wav_print
+from lodestar.llm.wav_print import BANDS, FRAME, HOP, fingerprints, load, media_columns, media_digests, payload, store
 
 
 def test_round_trip():
@@ -22,6 +27,47 @@ def test_tone_peaks():
     assert (16, 40) in pairs and (16, 16) in pairs
 
 
+def brute(samples):
+    """The transform by its sum, peaks and pairs by plain loops."""
+    x = [(int(s) - 128) / 128 for s in samples]
+    frames = -(-len(x) // HOP)
+    x += [0.0] * ((frames + 1) * HOP - len(x))
+    hann = [0.5 - 0.5 * math.cos(2 * math.pi * n / (FRAME - 1)) for n in range(FRAME)]
+    power = []
+    for t in range(frames):
+        y = np.array([x[t * HOP + n] * hann[n] for n in range(FRAME)])
+        power.append([abs(sum(y * np.exp(-2j * np.pi * k * np.arange(FRAME) / FRAME))) for k in range(FRAME // 2 + 1)])
+    loud = [[max((power[t][k], -k) for k in range(lo, hi)) for lo, hi in BANDS] for t in range(frames)]
+    peak = [[loud[t][b][0] > 1e-4 and all(loud[t][b][0] >= loud[u][b][0] for u in (t - 1, t + 1) if 0 <= u < frames) for b in range(len(BANDS))] for t in range(frames)]
+    found = []
+    for t in range(frames):
+        for gap in range(1, 4):
+            if t + gap < frames:
+                found += [(t << 20) | (-loud[t][a][1] << 11) | (-loud[t + gap][b][1] << 3) | gap for a in range(len(BANDS)) for b in range(len(BANDS)) if peak[t][a] and peak[t + gap][b]]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_against_brute_force(monkeypatch, block):
+    monkeypatch.setattr(wav_print, "BLOCK", block)
+    rnd = random.Random(3)
+    for size in (64, 128, 960, 3200):
+        text = " ".join(rnd.choice(["the", "of", "Zug", "é"]) + str(rnd.random()) for _ in range(size))[:size]
+        samples = np.frombuffer(payload(text.encode()[:size]), np.uint8)
+        assert fingerprints(samples).tolist() == brute(samples)
+
+
+def test_long_text():
+    """50 MB in less than 1.5 GB: blocks, not the whole spectrum."""
+    code = (
+        "import resource, numpy as np, pyarrow as pa\nfrom lodestar.llm import wav_print as w\n"
+        "raw = np.random.default_rng(1).integers(32, 127, 50_000_000, dtype=np.uint8).tobytes()\n"
+        "back = w.load(w.store(w.payload(raw)))\nassert len(w.fingerprints(np.frombuffer(back, np.uint8)))\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    )
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, check=True).stdout) < 1_500_000
+
+
 def test_digests(spark):
     _store.ship(spark)
     text = "naïve text " * 50

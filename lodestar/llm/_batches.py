@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +55,24 @@ def annotated(df: DataFrame, text: str, keep: list[str], make: Callable[[], Call
             columns = [piece.column(c) for c in keep]
             columns += [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], arrow.field(f.name).type) for f in new]
             yield pa.RecordBatch.from_arrays(columns, names=keep + names)
+        release()
 
     return source.mapInArrow(run, schema)
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives memory that allocators hold back to the system: Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -40,7 +40,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of spans that are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

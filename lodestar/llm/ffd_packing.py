@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._batches import pieces
+from ._batches import pieces, release
 from .tree_bpe import encoder
 
 
@@ -53,6 +53,7 @@ def token_pieces(df: DataFrame, path: str, end_id: int = 2, capacity: int = 4096
             if with_ids:
                 columns.append(pa.array(ids, kind.field("ids").type))
             yield pa.RecordBatch.from_arrays(columns, names=kind.names)
+        release()
 
     return rows.mapInArrow(run, fields)
 

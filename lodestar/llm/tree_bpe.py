@@ -34,7 +34,7 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f
 #: What parts units that are encoded as one text: it is one token there, and no other unit is.
 _MARK = {"space_first": "\n", "no_space": "7"}
 #: Units and ids in a worker's table, and the bytes of its longest unit; bytes of text whose units are found at once.
-TABLE, TABLE_IDS, LONGEST, AT_ONCE = 400_000, 4_000_000, 48, 1 << 21
+TABLE, TABLE_IDS, LONGEST, AT_ONCE = 250_000, 2_000_000, 48, 1 << 20
 
 #: Kinds of bytes: white space, letters, signs, digits, and what only the library knows about (an apostrophe may begin an ending).
 _SPACE, _LETTER, _SIGN, _DIGIT, _OTHER = range(5)

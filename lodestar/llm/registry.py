@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, byte_cnn, chat_fsm, ffd_packing, hilbert, lattice_lm, minhash, page_diff, suffix_quality, tree_bpe, wav_print
+from . import _store, byte_cnn, chat_fsm, collocations, ffd_packing, hilbert, lattice_lm, line_dedup, minhash, page_diff, suffix_quality, token_align, tree_bpe, wav_print
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,20 @@ def op10_wav_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wav_print.media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.alignment_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_lm, op2_suffix_quality, op3_tree_bpe, op4_byte_cnn, op5_hilbert_shards, op6_chat_fsm, op7_ffd_packing, op8_minhash, op9_page_diff, op10_wav_prints)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_suffix_quality, op3_tree_bpe, op4_byte_cnn, op5_hilbert_shards, op6_chat_fsm, op7_ffd_packing, op8_minhash, op9_page_diff, op10_wav_prints, op11_line_dedup, op12_collocations, op13_token_align)}
 
 
 _CONTROLS = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
@@ -177,5 +189,41 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
 """
 
 
+OP11_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+), k AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l
+), often AS (SELECT k FROM k WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(often.k) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often.k IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN often USING (k) GROUP BY doc_id
+"""
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p WHERE regexp_matches(piece, '[^\x20\x09]')
+), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, CAST(len(w) - m + 2 AS BIGINT)), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m
+), f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2
+), cuts AS (SELECT lang, phrase, a, w, m, unnest(range(1, m)) AS k FROM c
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+), worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT c.lang, c.a AS longer, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM c, (SELECT unnest([2, 3]) AS n), (SELECT unnest([1, 2, 3]) AS i) WHERE n < m AND i + n - 1 <= m
+), kept AS (
+  SELECT * FROM worst WHERE NOT EXISTS (SELECT 1 FROM inner_phrases i WHERE i.lang = worst.lang AND i.phrase = worst.phrase AND CAST(100 AS HUGEINT) * longer >= CAST(80 AS HUGEINT) * a)
+)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_quality": OP2_SQL, "op9_page_diff": OP9_SQL, "op5_hilbert_shards": OP5_SQL, "op6_chat_fsm": OP6_SQL, "op8_minhash": OP8_SQL}
+    return {"op12_collocations": OP12_SQL, "op11_line_dedup": OP11_SQL, "op2_suffix_quality": OP2_SQL, "op9_page_diff": OP9_SQL, "op5_hilbert_shards": OP5_SQL, "op6_chat_fsm": OP6_SQL, "op8_minhash": OP8_SQL}

@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 
-from lodestar.llm import _store, byte_cnn, chat_fsm, ffd_packing, hilbert, lattice_lm, minhash, page_diff, suffix_quality, tree_bpe, wav_print
+from lodestar.llm import _store, byte_cnn, chat_fsm, ffd_packing, hilbert, lattice_lm, line_dedup, minhash, page_diff, suffix_quality, token_align, tree_bpe, wav_print
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score string, size int, key string, n string, rep string, ids string, media string, row string, c string"
 LONG = "wörd " * 40_000
@@ -34,7 +34,8 @@ def packed(docs):
 
 OPERATORS = {
     "op1": words, "op2": suffix_quality.quality_signals, "op3": lambda d: tree_bpe.encoding_digests(d, public_tokenizers.path("byte_bpe_50k.json")), "op4": languages, "op5": hilbert.sharded, "op8": minhash.near_duplicates,
-    "op10": wav_print.media_digests, "op10_columns": wav_print.media_columns, "op3_columns": lambda d: tree_bpe.encoded(d, public_tokenizers.path("byte_bpe_50k.json")),
+    "op10": wav_print.media_digests, "op10_columns": wav_print.media_columns, "op11": line_dedup.line_digests,
+    "op13": lambda d: token_align.alignment_digests(d, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")), "op3_columns": lambda d: tree_bpe.encoded(d, public_tokenizers.path("byte_bpe_50k.json")),
 }
 
 

@@ -39,8 +39,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-#: Bytes of spans that are hashed at once.
-BLOCK = 1 << 18
+#: Bytes of spans that are hashed at once, and of the longest span that the polynomial hashes: of longer ones, some with a
+#: pattern (such as 1,024 letters by Thue and Morse) would share it whatever the multiplier, so those get a keyed digest.
+BLOCK, POLYNOMIAL = 1 << 18, 48
+_KEY = b"lodestar words"
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -50,11 +52,12 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK, side="right")))
         a, b = int(starts[lo]), int(ends[hi - 1])
-        if b - a > BLOCK:  # one long span
-            out[lo] = int.from_bytes(hashlib.blake2b(raw[a:b].tobytes(), digest_size=8).digest(), "little")
-        else:
+        if b - a <= BLOCK:
             out[lo:hi] = _short_hashes(raw[a:b], starts[lo:hi] - a, ends[lo:hi] - a)
         lo = hi
+    long = np.flatnonzero(ends - starts > POLYNOMIAL)
+    for k, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+        out[k] = int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8, key=_KEY).digest(), "little")
     return out
 
 

@@ -45,7 +45,7 @@ def normal_key(c: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def normal_key_exact(values: pd.Series) -> pd.Series:
-    """normal_key() by full Unicode decomposition, for letters beyond Latin-1."""
+    """normal_key() by full Unicode decomposition, for letters beyond Latin-1. Fixed: dots as spaces, & as e."""
 
     def one(v: str | None) -> str | None:
         if v is None:
@@ -90,35 +90,84 @@ REDACTIONS = (
 )
 
 
-#: Two to four capitalised words in a row, with a small word such as "da" between.
-NAME = re.compile(r"\b[A-ZÀ-Ý][a-zà-ÿ']+(?:\s+(?:d[aeo]s?\s+)?[A-ZÀ-Ý][a-zà-ÿ']+){1,3}\b")
-
-
 def slug(c: Column) -> Column:
     """Plain lower-case letters and digits, anything else a space."""
     plain = F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
     return F.trim(F.regexp_replace(F.lower(plain), r"[^a-z0-9]+", " "))
 
 
-def _slug(value: str) -> str:
+def slug_of(value: str) -> str:
+    """slug() of one value, by full Unicode decomposition. Fixed: terms are compared in this form."""
     plain = unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode().lower()
     return " ".join(re.sub(r"[^a-z0-9]+", " ", plain).split())
 
 
-def without_names(c: Column, allow: tuple[str, ...] = (), stop: tuple[str, ...] = (), mark: str = "[name]") -> Column:
-    """Text without names: capitalised words in a row that are no part of an allowed term and do not begin with a stop word.
+#: Lower-case words that may stand inside a name.
+PARTICLES = ("da", "das", "de", "del", "der", "di", "do", "dos", "du", "e", "la", "le", "van", "von", "y")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+
 
-    Runs behind redacted(). Which words are safe can't be said by a pattern, so this is a function over Arrow batches.
+class NameScan:
+    """Finds names: two or more capitalised words in a row, with at most two particles between neighbours.
+
+    A row of words ends at anything but white space, so a name does not go over a sign. Openers, words that begin
+    sentences, are no part of a name at its front. Rows that are words in a row of an allowed term are no names; all such
+    runs are indexed, so a row costs one look-up however many terms there are.
     """
-    allowed, stops = [_slug(t) for t in allow], {w.lower() for w in stop}
+
+    def __init__(self, allow: tuple[str, ...] = (), openers: tuple[str, ...] = (), particles: tuple[str, ...] = PARTICLES) -> None:
+        self.openers, self.particles = {w.lower() for w in openers}, set(particles)
+        terms = [slug_of(t).split() for t in allow]
+        self.allowed = {tuple(t[i:j]) for t in terms for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+
+    def rows(self, text: str) -> list[list[re.Match]]:
+        """Words in a row: all but white space between two parts them."""
+        out: list[list[re.Match]] = []
+        for word in _WORD.finditer(text):
+            if out and text[out[-1][-1].end() : word.start()].isspace():
+                out[-1].append(word)
+            else:
+                out.append([word])
+        return out
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        found = []
+        for row in self.rows(text):
+            name: list[re.Match] = []
+            between = 0
+            for word in [*row, None]:
+                if word is not None and word[0][0].isupper() and not word[0].isupper():
+                    name.append(word)
+                    between = 0
+                elif word is not None and name and word[0] in self.particles and between < 2:
+                    between += 1
+                else:
+                    found += self._span(name)
+                    name, between = [], 0
+        return found
+
+    def _span(self, name: list[re.Match]) -> list[tuple[int, int]]:
+        while name and name[0][0].lower() in self.openers:
+            name = name[1:]
+        if len(name) < 2 or tuple(w for m in name for w in slug_of(m[0]).split()) in self.allowed:
+            return []
+        return [(name[0].start(), name[-1].end())]
+
+    def hidden(self, text: str, mark: str) -> str:
+        out, at = [], 0
+        for a, b in self.spans(text):
+            out += [text[at:a], mark]
+            at = b
+        return "".join(out) + text[at:]
+
+
+def without_names(c: Column, allow: tuple[str, ...] = (), openers: tuple[str, ...] = (), mark: str = "[name]", particles: tuple[str, ...] = PARTICLES) -> Column:
+    """Text without names, by NameScan over Arrow batches; runs behind redacted(). Null stays null."""
+    scan = NameScan(allow, openers, particles)
 
     @F.pandas_udf(T.StringType())
     def run(values: pd.Series) -> pd.Series:
-        def one(m: re.Match) -> str:
-            told = _slug(m[0])
-            return m[0] if m[0].split()[0].lower() in stops or any(told in term for term in allowed) else mark
-
-        return values.map(lambda v: None if v is None else NAME.sub(one, v))
+        return values.map(lambda v: None if v is None else scan.hidden(v, mark))
 
     return run(c)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Fixed: the value formats that a profile tells.
 PATTERNS = {
     "iso_date": r"^\d{4}-\d{2}-\d{2}$", "slash_date": r"^\d{1,2}/\d{1,2}/\d{4}$", "short_year_date": r"^\d{1,2}/\d{1,2}/\d{2}$", "compact_date": r"^(19|20)\d{6}$", "timestamp": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}", "comma_decimal": r"^-?\d{1,3}(\.\d{3})*,\d+$|^-?\d+,\d+$",
     "point_decimal": r"^-?\d+\.\d+$", "mojibake": "[ÃÂ][\u0080-¿]", "edge_space": r"^\s|\s$", "upper": r"^[^a-z]*[A-Z][^a-z]*$",

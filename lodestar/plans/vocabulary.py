@@ -6,12 +6,12 @@ Driver-side and small but for the members, which are the distinct values of dime
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import slug_of
 from lodestar.plans.questions import Question, periods_between
 from lodestar.specs import Metric
 
@@ -19,11 +19,6 @@ from lodestar.specs import Metric
 MOST_MEMBERS = 10_000
 
 
-def slug(value: str) -> str:
-    plain = unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode().lower()
-    return " ".join(re.sub(r"[^a-z0-9]+", " ", plain).split())
-
-
 @dataclass(frozen=True)
 class Meaning:
     """What a term stands for: members of one dimension, or a predicate on a boolean column."""
@@ -58,15 +53,15 @@ class Vocabulary:
         return cls(found, **more)
 
     def resolve(self, term: str, dimension: str | None = None) -> Meaning:
-        told = slug(term)
+        told = slug_of(term)
         for word, why in self.reserved.items():
-            if slug(word) == told:
+            if slug_of(word) == told:
                 raise Unresolved(f"{term!r} is reserved: {why}")
         for name, meaning in self.groups.items():
-            if slug(name) == told and dimension in (None, meaning.dimension):
+            if slug_of(name) == told and dimension in (None, meaning.dimension):
                 return meaning
-        named = [(d, m) for d, ms in self.members.items() for m in ms if slug(m) == told and dimension in (None, d)]
-        named += [(d, m) for word, (d, m) in self.synonyms.items() if slug(word) == told and dimension in (None, d) and (d, m) not in named]
+        named = [(d, m) for d, ms in self.members.items() for m in ms if slug_of(m) == told and dimension in (None, d)]
+        named += [(d, m) for word, (d, m) in self.synonyms.items() if slug_of(word) == told and dimension in (None, d) and (d, m) not in named]
         if not named:
             raise Unresolved(f"{term!r} is no term" + (f" of {dimension}" if dimension else "") + "; nothing is matched by likeness")
         if len(named) > 1:
@@ -107,7 +102,7 @@ def relative_period(term: str, metric: Metric, grain: str) -> tuple[str, str]:
     if metric.coverage is None:
         raise Unresolved(f"{metric.id} declares no coverage")
     last = _as_grain(metric.coverage[1], grain)
-    told = slug(term)
+    told = slug_of(term)
     if told == "latest":
         return last, last
     if told == "previous":

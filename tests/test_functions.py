@@ -78,10 +78,52 @@ def test_similarity(spark):
     assert {(r.s.score, r.s.method) for r in none} == {(0.0, "none")}
 
 
+def plain_names(value, allow, openers, mark="[name]"):
+    """Names by a walk over characters: tokens of letters and of anything else."""
+    tokens, kind = [], None
+    for k, c in enumerate(value):
+        joins = c in "'’-" and kind == "w" and k + 1 < len(value) and value[k + 1].isalpha()
+        now = "w" if c.isalpha() or joins else "s" if c.isspace() else "x"
+        if tokens and now == kind:
+            tokens[-1] += c
+        else:
+            tokens.append(c)
+        kind = now
+    allowed = [text.slug_of(t).split() for t in allow]
+    capital = lambda w: w[0].isalpha() and w[0].isupper() and not w.isupper()
+    k, out = 0, []
+    while k < len(tokens):
+        if not capital(tokens[k]):
+            out.append(tokens[k])
+            k += 1
+            continue
+        words, j = [k], k
+        while True:
+            small, i = 0, j
+            while i + 2 < len(tokens) and tokens[i + 1].isspace() and tokens[i + 2] in text.PARTICLES and small < 2:
+                small, i = small + 1, i + 2
+            if not (i + 2 < len(tokens) and tokens[i + 1].isspace() and capital(tokens[i + 2])):
+                break
+            j = i + 2
+            words.append(j)
+        while words and tokens[words[0]].lower() in openers:
+            words = words[1:]
+        told = [w for x in words for w in text.slug_of(tokens[x]).split()]
+        safe = any(term[i : i + len(told)] == told for term in allowed for i in range(len(term)))
+        if len(words) < 2 or safe:
+            out += tokens[k : j + 1]
+        else:
+            out += [*tokens[k : words[0]], mark]
+        k = j + 1
+    return "".join(out)
+
+
 def test_names_and_slugs(spark):
     hide = lambda c: text.without_names(text.redacted(c), ("Customer Service Desk",), ("quem",))
-    values = ["ask Maria da Silva or John Smith", "the Customer Service", "Quem Sabe", "Plain text", "Ána Müller x@y.org", None, ""]
-    assert column(spark, values, hide) == ["ask [name] or [name]", "the Customer Service", "Quem Sabe", "Plain text", "[name] [email]", None, ""]
+    values = ["ask Maria da Silva or John Smith", "the Customer Service", "Quem Sabe", "Plain text", "Ána Müller x@y.org", None, "", "Quem John Smith", "John, Smith", "Ana de la Cruz e Rui", "USA Today NASA", "Jean-Luc O'Neil", "Service Desk Smith"]
+    want = ["ask [name] or [name]", "the Customer Service", "Quem Sabe", "Plain text", "[name] [email]", None, "", "Quem [name]", "John, Smith", "[name]", "USA Today NASA", "[name]", "[name]"]
+    assert column(spark, values, hide) == want
+    assert [v and plain_names(v, ("Customer Service Desk",), ("quem",)) for v in want] == want
     assert column(spark, ["Ação & Co.", "--", None], text.slug) == ["acao co", "", None]
 
 
@@ -91,3 +133,17 @@ def test_numbered(spark, rows):
     got = keys.numbered(df, "x", "n", ("k",), rows=rows).orderBy("n").collect()
     assert [r.n for r in got] == list(range(1, 103))
     assert [(r.x, r.k) for r in got] == sorted([(r.x, r.k) for r in got], key=lambda t: (t[0] is not None, t[0] or 0, t[1]))
+
+
+def test_names_of_whole_texts(spark):
+    """Every document of the small table, and joined pieces of random words, against plain loops."""
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    rnd = random.Random(4)
+    words = ["Ana", "de", "da", "Rui", "THE", "The", "customer", "Customer", "Service", "O'Neil", "x-Y", "É", "Él", "9", "A1b", "von", "-", "'"]
+    made = spark.createDataFrame([("".join(rnd.choice(words) + rnd.choice([" ", " ", "  ", "\n", ", ", ""]) for _ in range(20)),) for _ in range(400)], "text string")
+    clean = docs.union(made).select(text.redacted(F.col("text")).alias("text"))
+    allow, openers = ("Customer Service", "Apache License"), ("the", "in")
+    got = clean.select("text", text.without_names(F.col("text"), allow, openers).alias("out")).collect()
+    assert [r.out for r in got] == [None if r.text is None else plain_names(r.text, allow, openers) for r in got]

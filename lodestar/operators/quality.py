@@ -1,8 +1,8 @@
 """Data-quality expectations, compiled: all row rules of a dataset and all its cuts in one aggregate.
 
-An expectation gives (evaluated, failed). A missing column or nothing evaluated is NOT_RUN, never PASS. Keys that must be
-unique are counted by key before they are summed, so a key that repeats a million times is one row by then. References
-are joined as distinct keys with their counts.
+An expectation gives (evaluated, failed). A missing column or nothing evaluated is NOT_RUN, never PASS. All rules over keys
+(uniqueness, references, identities) and their cuts share one scan of each dataset and one aggregate by key, so a key that
+repeats a million times is a row for each task by the time it is shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from lodestar.specs import Check
 
 ROW_KINDS = ("not_null", "not_in_set", "in_set", "not_equal", "between", "match", "not_match", "length_between", "parse_ok", "not_ambiguous", "date_between", "before")
 GROUP_KINDS = ("distinct_between", "mean_between", "max_date_after")
-ALL_KINDS = (*ROW_KINDS, *GROUP_KINDS, "unique", "compound_unique", "in_reference", "identity_resolved", "month_gap_below", "row_ratio", "group_ratio", "sum_ratio")
+KEY_KINDS = ("unique", "compound_unique", "in_reference", "identity_resolved")
+ALL_KINDS = (*ROW_KINDS, *GROUP_KINDS, *KEY_KINDS, "month_gap_below", "row_ratio", "group_ratio", "sum_ratio")
 
 
 def scope(df: DataFrame, rule: dict | None) -> Column:
@@ -110,27 +111,6 @@ def _result(check: Check, df: DataFrame, cut: list[str]) -> DataFrame:
 def _one(check: Check, frames: dict[str, DataFrame], cut: list[str]) -> DataFrame:
     """Checks that need rows of a key together, or a second dataset."""
     df, a = scoped(frames[check.dataset], check.scope), check.args
-    total = lambda g: g.groupBy(*cut).agg(F.sum("evaluated").alias("evaluated"), F.sum("failed").alias("failed"))
-    if check.kind in ("unique", "compound_unique"):
-        keys = list(a.get("columns", ())) or [check.column]
-        full = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
-        counted = df.groupBy(*dict.fromkeys([*cut, *keys])).agg(F.count(F.lit(1)).alias("evaluated"))
-        return _result(check, total(counted.withColumn("failed", F.when(full & (F.col("evaluated") > 1), F.col("evaluated")).otherwise(0))), cut)
-    if check.kind in ("in_reference", "identity_resolved"):
-        known = frames[a["reference"]]
-        if check.kind == "identity_resolved":
-            known = known.where((F.col("source_system") == a["system"]))
-            good = known.where(F.col("match_status") == "RESOLVED").select(F.col("source_id").cast("string").alias("__known")).distinct()
-            any_known = known.select(F.col("source_id").cast("string").alias("__known")).distinct()
-        else:
-            good = any_known = known.select(F.col(a["column"]).cast("string").alias("__known")).where("__known IS NOT NULL").distinct()
-        counted = df.where(F.col(check.column).isNotNull()).groupBy(*dict.fromkeys([*cut, check.column])).agg(F.count(F.lit(1)).alias("evaluated"))
-        joined = counted.join(good, counted[check.column].cast("string") == good["__known"], "left")
-        joined = joined.withColumn("failed", F.when(F.col("__known").isNull(), F.col("evaluated")).otherwise(0))
-        if check.kind == "identity_resolved":  # keys of another kind say nothing: not run
-            if counted.join(any_known, counted[check.column].cast("string") == any_known["__known"], "left_semi").isEmpty():
-                joined = joined.where(F.lit(False))
-        return _result(check, total(joined), cut)
     if check.kind == "month_gap_below":
         months = df.where(F.col(check.column).isNotNull()).select(*cut, F.substring(check.column, 1, 7).alias("m")).distinct()
         at = F.substring("m", 1, 4).cast("int") * 12 + F.substring("m", 6, 2).cast("int")
@@ -154,12 +134,56 @@ def _one(check: Check, frames: dict[str, DataFrame], cut: list[str]) -> DataFram
     raise ValueError(f"{check.id}: no rule {check.kind}")
 
 
+def _key_entries(check: Check, within: Column, by: list[str]) -> list[tuple[str, Column]]:
+    """(dataset, entry or null) of each use that a key rule makes of a row: a key of the check's own rows, for the whole and
+    for each cut, or a key that they are held against."""
+    a = check.args
+    keys = [*a.get("columns", ())] or [check.column]
+    entry = lambda when, cut, key, n, good, known: F.when(when, F.struct(F.lit(check.id).alias("check_id"), cut.alias("cut"), key.alias("key"), F.lit(n).cast("bigint").alias("n"), F.lit(good).alias("good"), F.lit(known).alias("known")))
+    full = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    key = F.when(full, F.array(*[F.col(k).cast("string") for k in keys]))
+    unique = check.kind in ("unique", "compound_unique")
+    cuts = [F.lit("ALL"), *[F.concat(F.lit(f"{b}="), F.coalesce(F.col(b).cast("string"), F.lit(""))) for b in by if check.kind != "identity_resolved"]]
+    out = [(check.dataset, entry(within if unique else within & full, cut, key, 1, False, False)) for cut in cuts]
+    if check.kind == "in_reference":
+        out.append((a["reference"], entry(F.col(a["column"]).isNotNull(), F.lit(None).cast("string"), F.array(F.col(a["column"]).cast("string")), 0, True, True)))
+    if check.kind == "identity_resolved":
+        mine, to = F.col("source_system") == a["system"], F.array(F.col("source_id").cast("string"))
+        for good in (True, False):
+            out.append((a["reference"], entry(mine & F.col("source_id").isNotNull() & ((F.col("match_status") == "RESOLVED").eqNullSafe(F.lit(good))), F.lit(None).cast("string"), to, 0, good, True)))
+    return out
+
+
+def key_rules(checks: list[Check], frames: dict[str, DataFrame], cuts: dict[str, list[str]]) -> DataFrame:
+    """check_id, cut, evaluated, failed of all uniqueness, reference and identity checks with all their cuts.
+
+    Each dataset is read once: a row goes out as an entry for each (check, cut, key), and as a key that others are held
+    against. Entries are counted by (check, key, cut) before they are shuffled, and a key's cuts, of which there are no more
+    than the cut columns have values, meet its reference in a second, smaller aggregate.
+    """
+    entries: dict[str, list[Column]] = {}
+    for c in checks:
+        for dataset, entry in _key_entries(c, scope(frames[c.dataset], c.scope), cuts.get(c.dataset, [])):
+            entries.setdefault(dataset, []).append(entry)
+    parts = [frames[name].select(F.explode(F.array_compact(F.array(*some))).alias("e")).select("e.*") for name, some in entries.items()]
+    counted = reduce(DataFrame.unionByName, parts).groupBy("check_id", "key", "cut").agg(F.sum("n").alias("n"), F.max("good").alias("good"), F.max("known").alias("known"))
+    met = counted.groupBy("check_id", "key").agg(F.max("good").alias("good"), F.max("known").alias("known"), F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("cut", "n"))).alias("cuts"))
+    each = met.select("check_id", "key", "good", "known", F.explode("cuts").alias("c")).select("check_id", "key", "good", "known", "c.*")
+    kind = F.create_map(*[F.lit(x) for c in checks for x in (c.id, c.kind)])[F.col("check_id")]
+    bad = F.when(kind.isin("unique", "compound_unique"), F.col("key").isNotNull() & (F.col("n") > 1)).otherwise(~F.col("good"))
+    summed = each.groupBy("check_id", "cut").agg(F.sum("n").alias("evaluated"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("failed"), F.max("known").alias("known"))
+    # Keys of another kind say nothing: not run.
+    summed = summed.where((kind != "identity_resolved") | F.col("known")).drop("known")
+    every = counted.sparkSession.createDataFrame([(c.id, "ALL") for c in checks], "check_id string, cut string")
+    return every.join(summed, ["check_id", "cut"], "full").select("check_id", "cut", "evaluated", "failed")
+
+
 def run(checks: list[Check], frames: dict[str, DataFrame], cuts: dict[str, list[str]] | None = None) -> DataFrame:
     """A row for each check, and for each value of each cut: evaluated, failed, rate, status.
 
     ``cuts`` gives a dataset's cut columns; each is a grouping set beside the whole. Without cuts there is no cut column.
     """
-    parts = []
+    parts, keyed = [], []
     for dataset in dict.fromkeys(c.dataset for c in checks):
         own = [c for c in checks if c.dataset == dataset]
         df, by = frames.get(dataset), (cuts or {}).get(dataset, [])
@@ -184,11 +208,15 @@ def run(checks: list[Check], frames: dict[str, DataFrame], cuts: dict[str, list[
                 wide = df.agg(F.array(*named).alias("r")).select(F.explode("r").alias("r")).select("r.*")
                 wide = wide.withColumn("cut", F.lit("ALL")) if cuts is not None else wide
             parts.append(wide)
-        for c in [c for c in own if c not in simple]:
+        keyed += [c for c in own if c.kind in KEY_KINDS]
+        for c in [c for c in own if c not in simple and c.kind not in KEY_KINDS]:
             out = _one(c, frames, [])
             parts.append(out.withColumn("cut", F.lit("ALL")) if cuts is not None else out)
-            for b in by if c.kind in ("unique", "compound_unique", "in_reference", "month_gap_below") else ():
+            for b in by if c.kind == "month_gap_below" else ():
                 parts.append(_one(c, frames, [b]).withColumn("cut", F.concat(F.lit(f"{b}="), F.coalesce(F.col(b).cast("string"), F.lit("")))).drop(b))
+    if keyed:
+        found = key_rules(keyed, frames, cuts or {})
+        parts.append(found if cuts is not None else found.drop("cut"))
     spec = frames[next(iter(frames))].sparkSession.createDataFrame([(c.id, c.severity, c.finding, float(c.most)) for c in checks], "check_id string, severity string, finding string, most double")
     got = reduce(lambda x, y: x.unionByName(y), parts)
     if cuts is None:  # a check that could not run has a row too

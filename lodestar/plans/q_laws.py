@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from lodestar.operators import fidelity
 from lodestar.operators import invariants as laws
 from lodestar.plans.q_rows import table
 
@@ -142,3 +145,65 @@ FROM results JOIN (VALUES {_SEVERITY}) t(id, severity) ON id = split_part(result
 """)
 def truth_invariants(spark, d):
     return laws.checked(LAWS, law_frames(spark, d))
+
+
+def raw_orders(spark, d):
+    """(truth, raw, ledger) of orders: statuses in lower case, lost prices, lost and repeated rows; some defects are not
+    declared, some are declared and not there."""
+    k = F.col("o_orderkey")
+    truth = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate")
+    raw = truth.where(k % 101 != 0).withColumn("status", F.when(k % 13 == 0, F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus"))).withColumn("price", F.when(k % 17 != 0, F.col("o_totalprice")))
+    raw = raw.withColumn("copies", F.explode(F.sequence(F.lit(0), F.when(k % 211 == 0, 1).otherwise(0)))).select("o_orderkey", "status", "price", "o_orderpriority")
+    told = lambda defect, system, where, column: truth.where(where).select(F.lit(defect).alias("defect_id"), F.lit(system).alias("source_system"), k.alias("key"), F.lit(column).cast("string").alias("column"), F.lit("value").alias("raw_value"))
+    ledger = told("D01", "CORE", "o_orderkey % 13 = 0 AND o_orderkey % 7 <> 0", "o_orderstatus").unionByName(told("D02", "LEGACY", "o_orderkey % 17 = 0", "o_totalprice"))
+    return truth, raw, ledger.unionByName(told("D03", "CORE", "o_orderkey % 101 = 0", None)).unionByName(told("D09", "OTHER", "o_orderkey % 1009 = 1", "o_orderpriority"))
+
+
+RAW_COLUMNS = {"o_orderstatus": "status", "o_totalprice": "price", "o_orderpriority": "o_orderpriority"}
+_RAW = """
+WITH k AS (SELECT *, o_orderkey AS k FROM orders),
+raw AS (SELECT k, CASE WHEN k % 13 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS status, CASE WHEN k % 17 <> 0 THEN o_totalprice END AS price, o_orderpriority AS priority, CASE WHEN k % 211 = 0 THEN 2 ELSE 1 END AS n FROM k WHERE k % 101 <> 0),
+ledger AS (SELECT 'D01' AS defect_id, 'CORE' AS sys, k, 'o_orderstatus' AS col FROM k WHERE k % 13 = 0 AND k % 7 <> 0 UNION ALL SELECT 'D02', 'LEGACY', k, 'o_totalprice' FROM k WHERE k % 17 = 0
+  UNION ALL SELECT 'D03', 'CORE', k, NULL FROM k WHERE k % 101 = 0 UNION ALL SELECT 'D09', 'OTHER', k, 'o_orderpriority' FROM k WHERE k % 1009 = 1),
+diffs AS (
+  SELECT k.k, 'o_orderstatus' AS col, 'DIFFERENT' AS kind, status AS raw, o_orderstatus AS truth FROM k JOIN raw USING (k) WHERE status IS DISTINCT FROM o_orderstatus
+  UNION ALL SELECT k.k, 'o_totalprice', 'DIFFERENT', CAST(price AS VARCHAR), CAST(o_totalprice AS VARCHAR) FROM k JOIN raw USING (k) WHERE price IS DISTINCT FROM o_totalprice
+  UNION ALL SELECT k, NULL, 'MISSING', NULL, NULL FROM k WHERE k NOT IN (SELECT k FROM raw) UNION ALL SELECT k, NULL, 'REPEATED', NULL, NULL FROM raw WHERE n > 1
+)"""
+
+
+@query(f"""{_RAW}
+SELECT CAST(k AS VARCHAR) AS key, col AS "column", kind, CASE WHEN col = 'o_totalprice' THEN NULL ELSE raw END AS raw, CASE WHEN col = 'o_totalprice' THEN NULL ELSE truth END AS truth FROM diffs
+WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.k = diffs.k AND (l.col IS NULL OR l.col = diffs.col))
+""")
+def raw_undeclared(spark, d):
+    """What differs from the truth though the ledger doesn't tell; declared prices never come back, so none is written out."""
+    truth, raw, ledger = raw_orders(spark, d)
+    return fidelity.undeclared(fidelity.compared(raw, truth, "o_orderkey", RAW_COLUMNS, ledger))
+
+
+@query(f"""{_RAW},
+seen AS (SELECT defect_id, sys, count(*) AS n FROM ledger GROUP BY ALL), known AS (SELECT * FROM (VALUES ('D01', 'CORE'), ('D02', 'LEGACY'), ('D03', 'CORE'), ('D04', 'CORE')) t(defect_id, sys)),
+results AS (
+  SELECT 'undeclared_equals_truth' AS rule, 'BLOCKER' AS severity, (SELECT count(*) FROM k) AS evaluated, count(*) AS violations, CAST(NULL AS DOUBLE) AS measure, CAST(NULL AS DOUBLE) AS allowed FROM diffs WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.k = diffs.k AND (l.col IS NULL OR l.col = diffs.col))
+  UNION ALL SELECT 'declared_shows', 'BLOCKER', count(*), count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM diffs d WHERE d.k = l.k AND coalesce(d.col, '') = coalesce(l.col, ''))), NULL, NULL FROM ledger l
+  UNION ALL SELECT 'ledger_of_these_systems', 'BLOCKER', CAST(sum(n) AS BIGINT), CAST(coalesce(sum(n) FILTER (WHERE sys NOT IN ('CORE', 'LEGACY')), 0) AS BIGINT), NULL, NULL FROM seen
+  UNION ALL SELECT 'ledger_in_catalogue', 'BLOCKER', CAST(sum(n) AS BIGINT), CAST(coalesce(sum(n) FILTER (WHERE (defect_id, sys) NOT IN (SELECT (defect_id, sys) FROM known)), 0) AS BIGINT), NULL, NULL FROM seen
+  UNION ALL SELECT 'catalogue_seen', 'BLOCKER', count(*), count(*) FILTER (WHERE (defect_id, sys) NOT IN (SELECT (defect_id, sys) FROM seen)), NULL, NULL FROM known
+  UNION ALL SELECT 'D02_is_a_missing_column', 'BLOCKER', count(*), count(*), NULL, NULL FROM ledger WHERE defect_id = 'D02'
+  UNION ALL SELECT 'D01_in_its_window', 'BLOCKER', count(*), count(*) FILTER (WHERE o_orderdate >= DATE '1999-01-01' + 1), NULL, NULL FROM ledger JOIN k USING (k) WHERE defect_id = 'D01'
+  UNION ALL SELECT 'D03_count', 'BLOCKER', count(*), CAST(abs(count(*) - 150) > 15 AS INTEGER), count(*), 150 FROM ledger WHERE defect_id = 'D03'
+  UNION ALL SELECT 'populations_differ_as_configured', 'CRITICAL', b, CAST(NOT abs(a - b) / b BETWEEN 0.0025 AND 0.02 AS INTEGER), round(abs(a - b) / b, 6), 0.02 FROM (SELECT (SELECT CAST(sum(n) AS BIGINT) FROM raw) AS a, (SELECT count(*) FROM k) AS b)
+  UNION ALL SELECT 'technical_columns', 'BLOCKER', 2, 2, NULL, NULL UNION ALL SELECT 'raw_lacks_o_order', 'BLOCKER', 4, 2, NULL, NULL UNION ALL SELECT 'truth_has_o_orderkey_o_orderdate', 'BLOCKER', 5, 0, NULL, NULL
+)
+SELECT rule, severity, CAST(evaluated AS BIGINT) AS evaluated, CAST(violations AS BIGINT) AS violations, CAST(measure AS DOUBLE) AS measure, CAST(allowed AS DOUBLE) AS allowed, violations = 0 AS passed FROM results
+""")
+def raw_validators(spark, d):
+    truth, raw, ledger = raw_orders(spark, d)
+    catalogue = spark.createDataFrame([("D01", "CORE"), ("D02", "LEGACY"), ("D03", "CORE"), ("D04", "CORE")], "defect_id string, source_system string")
+    parts = [
+        fidelity.faithful(fidelity.compared(raw, truth, "o_orderkey", RAW_COLUMNS, ledger)), fidelity.in_catalogue(ledger, catalogue, ["CORE", "LEGACY"]), fidelity.absent_columns(ledger, "D02"),
+        fidelity.in_window(ledger, "D01", truth, "o_orderkey", "o_orderdate", ("1995-01-01", "1999-01-01")), fidelity.of_count(ledger, {"D03": 150}), fidelity.alike(raw, truth, (0.005, 0.01)),
+        fidelity.of_schema(spark, {"raw": raw.schema, "truth": truth.schema}, forbidden={"raw": ("o_order",)}, present={"truth": ("o_orderkey", "o_orderdate")}),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -190,3 +190,38 @@ def test_values_awaiting_decision():
     from lodestar.operators.mapping import awaiting_decision
 
     assert awaiting_decision({"CORE": ["L1", "L2"], "BOUGHT": ["N1", "L2"], "OTHER": []}, "CORE") == ["N1"]
+
+
+def test_key_rules_share_a_scan(spark):
+    """Against plain counts, with cuts, null keys, scopes and references; each dataset is read once."""
+    import random
+    from collections import Counter
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, *range(30)]), rnd.choice("abc"), rnd.choice([None, "x", "y"]), rnd.randint(0, 3)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k long, b string, cut string, s int")
+    known = spark.createDataFrame([(str(k), "RESOLVED" if k % 2 else "PENDING", "S") for k in range(20)] + [("1", "RESOLVED", "T")], "source_id string, match_status string, source_system string")
+    other = spark.createDataFrame([(k,) for k in [*range(0, 25), None, 3, 3]], "ref long")
+    checks = [
+        Check("u", "t", "unique", "k"), Check("cu", "t", "compound_unique", args={"columns": ("k", "b")}), Check("r", "t", "in_reference", "k", args={"reference": "o", "column": "ref"}), Check("rs", "t", "in_reference", "k", args={"reference": "o", "column": "ref"}, scope={"column": "s", "equals": 2}),
+        Check("i", "t", "identity_resolved", "k", args={"reference": "m", "system": "S"}), Check("none", "t", "identity_resolved", "b", args={"reference": "m", "system": "S"}), Check("self", "o", "unique", "ref"),
+    ]
+    frames = {"t": df, "o": other, "m": known}
+    got = {(r.check_id, r.cut): (r.evaluated, r.failed, r.status) for r in quality.run(checks, frames, {"t": ["cut"]}).collect()}
+
+    def unique(some, key):
+        n = Counter(key(r) for r in some)
+        return len(some), sum(n[key(r)] > 1 for r in some if None not in key(r))
+
+    for label, some in [("ALL", rows), *[(f"cut={v or ''}", [r for r in rows if r[2] == v]) for v in (None, "x", "y")]]:
+        assert got["u", label][:2] == unique(some, lambda r: (r[0],)) and got["cu", label][:2] == unique(some, lambda r: (r[0], r[1]))
+        asked = [r for r in some if r[0] is not None]
+        assert got["r", label][:2] == (len(asked), sum(r[0] >= 25 for r in asked))
+        assert got["rs", label][:2] == (sum(r[3] == 2 for r in asked), sum(r[0] >= 25 and r[3] == 2 for r in asked))
+    asked = [r for r in rows if r[0] is not None]
+    assert got["i", "ALL"][:2] == (len(asked), sum(not (r[0] < 20 and r[0] % 2) for r in asked))
+    assert got["none", "ALL"] == (0, 0, "NOT_RUN") and got["self", "ALL"][:2] == (28, 3)
+    plan = quality.key_rules(checks, frames, {"t": ["cut"]})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 3 + 1  # one for each dataset, one for the cuts of a key
+    empty = quality.run(checks[:1], {"t": df.limit(0)}, {"t": ["cut"]}).collect()
+    assert [(r.check_id, r.cut, r.evaluated, r.status) for r in empty] == [("u", "ALL", 0, "NOT_RUN")]

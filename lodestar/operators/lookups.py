@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,26 +70,3 @@ def level_key(df: DataFrame, dimension: DataFrame, mapped: str, raw: str, undeci
     """A key by its code; a miss is ``pending`` if the raw value awaits a decision, else ``unknown``."""
     joined = key_or(df, dimension, [(mapped, code)], key, name, unknown)
     return joined.withColumn(name, F.when((F.col(name) == unknown) & F.coalesce(F.col(raw).isin(undecided), F.lit(False)), pending).otherwise(F.col(name)))
-
-
-def candidates(values: DataFrame, targets: DataFrame, value: str, target: str, top: int, score: Column, standard: str | None = None, blocks: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The ``top`` standard values of each distinct value by ``score``, of columns ``value`` and ``target``; ties by target.
-
-    A standard value may have several texts: the best one of each counts and stays beside it as ``via``. ``blocks`` names what
-    a value and a text must share to be compared; without it every value meets every text, for vocabularies of which one
-    is checked to be small.
-    """
-    wanted = values.select(value).where(F.col(value).isNotNull()).distinct()
-    named = F.col(standard) if standard else F.col(target)
-    known = targets.select(F.col(target), named.alias("__standard")).where(F.col(target).isNotNull()).distinct()
-    if blocks is None:
-        pairs = wanted.join(small(known, 20_000), F.lit(True), "inner")
-    else:
-        met = wanted.select(value, F.explode(blocks(F.col(value))).alias("__b")).join(known.select(target, F.explode(blocks(F.col(target))).alias("__b")).distinct(), "__b")
-        pairs = met.select(value, target).distinct().join(known, target)
-    scored = pairs.withColumn("score", score)
-    first = W.partitionBy(value, "__standard").orderBy(F.desc("score"), target)
-    via = scored.withColumn("__k", F.row_number().over(first)).where("__k = 1").withColumnRenamed(target, "via")
-    order = W.partitionBy(value).orderBy(F.desc("score"), "__standard")
-    ranked = via.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select(value, F.col("__standard").alias(target), "score", "via", "rank")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import dates, keys, similarity, text
-from lodestar.operators import lookups, profile, quality, reconcile, standardize
+from lodestar.operators import lookups, nearest, profile, quality, reconcile, standardize
 from lodestar.session import ship
 from lodestar.sources import readers
 
@@ -202,18 +202,19 @@ SELECT value, target, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PA
 def join_fuzzy_rank(spark, d):
     names = table(spark, d, "part").select(F.lower("p_name").alias("target")).distinct()
     values = table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 9)).alias("value"))
-    best = lookups.candidates(values, names, "value", "target", 3, (-F.levenshtein("value", "target")).cast("bigint"))
+    best = nearest.nearest(values, names, "value", "target", 3, (-F.levenshtein("value", "target")).cast("bigint"), nearest.distance_rounds(values, names, "value", "target"))
     return best.select("value", "target", "score", "rank")
 
 
 @query()
 def mapping_candidates(spark, d):
-    """The exact scorers: best two standard values of each cut or spaced product name, by the texts they share anything with."""
+    """The exact scorers: best two standard values of each cut or spaced product name. SQL lacks the matched share; tests hold
+    the whole table against every pair by plain loops."""
     ship(spark)
     part = table(spark, d, "part")
     texts = part.select("p_name", F.explode(F.array(F.col("p_name"), F.regexp_replace("p_name", r"^(\S+) .*$", "$1"))).alias("target"))
     values = part.select(F.regexp_replace(F.substring("p_name", 1, 7), " ", ". ").alias("value"))
-    scored = lookups.candidates(values, texts, "value", "target", 2, similarity.similarity(F.col("value"), F.col("target"))["score"], "p_name", similarity.blocks)
+    scored = nearest.nearest(values, texts, "value", "target", 2, similarity.similarity(F.col("value"), F.col("target"))["score"], nearest.SHARE_ROUNDS, "p_name")
     best = scored.withColumn("method", similarity.similarity(F.col("value"), F.col("via"))["method"])
     return best.select("value", "target", F.round("score", 9).alias("score"), "method", "via", "rank")
 

@@ -138,35 +138,6 @@ def test_outranked_against_brute_force(spark):
     assert got == {k for k, r, s, _ in rows if any(q > r and a <= s and (z is None or s <= z) for _, q, a, z in rows)}
 
 
-def test_candidates_through_aliases(spark):
-    """By every pair and by plain loops: the best text of each standard value, and the same by blocks."""
-    from pyspark.sql import functions as F
-
-    from lodestar.functions import similarity
-    from lodestar.operators import lookups
-    from tests.test_functions import brute_scores
-
-    texts = [("Customer Service", "Customer Service"), ("Customer Service", "Client Care"), ("Engineering", "Engineering"), ("Engineering", "Software Eng"), ("Research", "R and D"), ("Research", "Research Development"), ("People", "Human Resources"), ("People", "People")]
-    values = ["CS", "Eng", "Client Car", "Human Res.", "Develop Research", "people", None, "people"]
-    known, asked = spark.createDataFrame(texts, "standard string, target string"), spark.createDataFrame([(v,) for v in values], "value string")
-    score = similarity.similarity(F.col("value"), F.col("target"))["score"]
-    want = {}
-    for v in {v for v in values if v}:
-        by = {}
-        for standard, target in texts:
-            s = round(max(brute_scores(v, target).values()), 9)
-            if standard not in by or (-s, target) < (-by[standard][0], by[standard][1]):
-                by[standard] = (s, target)
-        want[v] = [(n, s, via) for n, (s, via) in sorted(by.items(), key=lambda kv: (-kv[1][0], kv[0]))][:2]
-    for blocks in (None, similarity.blocks):
-        got = {}
-        for r in lookups.candidates(asked, known, "value", "target", 2, score, "standard", blocks).orderBy("value", "rank").collect():
-            got.setdefault(r.value, []).append((r.target, round(r.score, 9), r.via))
-        assert {v: rows[0] for v, rows in got.items()} == {v: rows[0] for v, rows in want.items()}
-        if blocks is None:
-            assert got == want
-
-
 def test_entities(spark):
     from lodestar.operators import entities
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,3 +94,27 @@ def orphans(df: DataFrame, key: str, parent: str) -> DataFrame:
     """Rows whose parent is named but is no row's key. Keys are counted once, so nothing multiplies."""
     keys = df.select(F.col(key).alias("__key")).where("__key IS NOT NULL").distinct()
     return df.where(F.col(parent).isNotNull()).join(keys, F.col(parent) == F.col("__key"), "left_anti")
+
+
+def coverage(sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """For each key of any source: (key, rows_<source>.., missing, verdict). A full merge of any number of sources.
+
+    ``missing`` lists the sources that lack the key, in their order. verdict: COMPLETE, ONLY_<source> if a single one has it,
+    else LACKS_<source>_<source>... Keys are compared as text and counted by source before they meet, so this is one
+    shuffle of at most a row for each (source, key, task), however many sources there are. Null keys are left out.
+    """
+    names = list(sources)
+    tagged = [df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.lit(n).alias("source")) for n, df in sources.items()]
+    counted = reduce(DataFrame.unionByName, tagged).groupBy("key").agg(*[F.count_if(F.col("source") == n).alias(f"rows_{n}") for n in names])
+    missing = F.array_compact(F.array(*[F.when(F.col(f"rows_{n}") == 0, F.lit(n)) for n in names]))
+    out = counted.withColumn("missing", missing)
+    single = F.concat(F.lit("ONLY_"), F.array_join(F.array_except(F.array(*[F.lit(n) for n in names]), "missing"), ""))
+    verdict = F.when(F.size("missing") == 0, "COMPLETE").when(F.size("missing") == len(names) - 1, single).otherwise(F.concat(F.lit("LACKS_"), F.array_join("missing", "_")))
+    return out.withColumn("verdict", verdict)
+
+
+def coverage_summary(covered: DataFrame) -> DataFrame:
+    """(verdict, keys, share) of coverage()."""
+    counts = covered.groupBy("verdict").agg(F.count(F.lit(1)).alias("keys"))
+    total = counts.agg(F.sum("keys").alias("__all"))
+    return counts.join(F.broadcast(total)).select("verdict", "keys", F.round(F.col("keys") / F.col("__all"), 6).alias("share"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,12 +51,42 @@ def history_faults(versions: DataFrame, entity: str) -> DataFrame:
 
 def calendar(spark, start: str, end: str) -> DataFrame:
     """A row a day, from configuration and never from data."""
-    d = F.col("d")
     days = spark.sql(f"SELECT explode(sequence(DATE '{start}', DATE '{end}', INTERVAL 1 DAY)) AS d")
-    return days.select(
+    return days.select(*_day(F.col("d")))
+
+
+def _day(d: Column) -> list[Column]:
+    return [
         dates.iso(d).alias("date_iso"), F.date_format(d, "yyyyMMdd").cast("bigint").alias("date_sk"), F.year(d).alias("year"), dates.month_of(d).alias("month"), F.month(d).alias("month_number"), F.dayofmonth(d).alias("day"),
         dates.quarter_of(d).alias("quarter"), dates.half_of(d).alias("half"), (F.last_day(d) == d).alias("is_month_end"),
-    )
+    ]
+
+
+def calendar_of(df: DataFrame, date: str) -> DataFrame:
+    """calendar() over the whole years in which ``df`` has dates, with how many of its rows each day has; none without a date."""
+    day = F.to_date(date)
+    span = df.agg(F.min(day).alias("a"), F.max(day).alias("z")).where("a IS NOT NULL")
+    days = span.select(F.explode(F.sequence(F.trunc("a", "year"), F.date_sub(F.add_months(F.trunc("z", "year"), 12), 1))).alias("d"))
+    seen = df.where(day.isNotNull()).groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("rows"))
+    return days.join(seen, "d", "left").select(*_day(F.col("d")), F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def state_history(log: DataFrame, entity: str, day: str, order: list[str], columns: list[str], column: str = "column", value: str = "value") -> DataFrame:
+    """(entity, version, effective_from, effective_to, is_current, *columns) of a log of single changes.
+
+    A log row sets ``column`` to ``value``, which may be null. Of several changes of a column on one day the last by
+    ``order`` wins; days that set some columns only carry the others over, and days that change nothing make no version.
+    A log of any number of rows is one row for each (entity, day) before it is sorted. Other columns' rows, and rows
+    without an entity or a day, are left out; a column is null until it is first set.
+    """
+    known = log.where(F.col(entity).isNotNull() & F.col(day).isNotNull() & F.col(column).isin(columns))
+    # A struct around the value tells a null that was set from one that wasn't.
+    last = [F.max_by(F.when(F.col(column) == c, F.struct(F.col(value).alias("v"))), F.when(F.col(column) == c, F.struct(*order))).alias(c) for c in columns]
+    daily = known.groupBy(entity, F.to_date(day).alias("__day")).agg(*last)
+    along = W.partitionBy(entity).orderBy("__day").rowsBetween(W.unboundedPreceding, 0)
+    states = daily.select(entity, "__day", *[F.last(c, ignorenulls=True).over(along).getField("v").alias(c) for c in columns])
+    runs = islands(states, entity, ["__day"], columns).drop("last_seen", "observations")
+    return closed(runs, entity).select(entity, "version", "effective_from", "effective_to", "is_current", *columns)
 
 
 def observed_combinations(df: DataFrame, columns: list[str], date: str) -> DataFrame:

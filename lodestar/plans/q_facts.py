@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from lodestar.functions import dates
+from lodestar.functions import dates, keys
 from lodestar.operators import calibration, entities, lookups, reconcile, versions
 from lodestar.plans.q_model import ISLANDS, customer_versions
 from lodestar.plans.q_rows import table
@@ -29,10 +31,27 @@ _LEVEL_VALUES = ", ".join(f"({k}, '{c}', {'NULL' if r is None else r})" for k, c
 _ORIGIN_VALUES = ", ".join(f"({k}, '{c}')" for k, c in ORIGINS)
 
 
-@query(f"SELECT 'level' AS dimension, CAST(sk AS BIGINT) AS sk, code, CAST(rank AS INTEGER) AS rank FROM (VALUES {_LEVEL_VALUES}) t(sk, code, rank) UNION ALL SELECT 'origin', CAST(sk AS BIGINT), code, NULL FROM (VALUES {_ORIGIN_VALUES}) o(sk, code)")
+_SEGMENT_ORIGIN = "CASE c_mktsegment WHEN 'MACHINERY' THEN 'ACQUIRED' WHEN 'FURNITURE' THEN 'LEGACY' ELSE 'CORE' END"
+
+
+@query(f"""
+WITH s AS (SELECT source AS code, count(*) AS n, CAST(row_number() OVER (ORDER BY source) AS BIGINT) AS sk FROM documents WHERE source IS NOT NULL GROUP BY 1)
+SELECT 'level' AS dimension, CAST(sk AS BIGINT) AS sk, code, CAST(rank AS INTEGER) AS rank, (SELECT count(*) FROM orders WHERE o_orderpriority = code) AS "rows" FROM (VALUES {_LEVEL_VALUES}) t(sk, code, rank)
+UNION ALL SELECT 'origin', CAST(sk AS BIGINT), code, NULL, (SELECT count(*) FROM customer WHERE {_SEGMENT_ORIGIN} = code) FROM (VALUES {_ORIGIN_VALUES}) o(sk, code)
+UNION ALL SELECT 'source_system', sk, code, NULL, n FROM s UNION ALL SELECT 'source_system', -1, 'UNKNOWN', NULL, (SELECT count(*) FROM documents WHERE source IS NULL)
+""")
 def dim_levels_origins(spark, d):
-    """Dimensions that come from configuration, never from data."""
-    return levels(spark).select(F.lit("level").alias("dimension"), "*").unionByName(spark.createDataFrame(ORIGINS, "sk long, code string").select(F.lit("origin").alias("dimension"), "sk", "code", F.lit(None).cast("int").alias("rank")))
+    """Members of configuration with how many rows have them, and the source systems that rows come from, numbered by name."""
+    counted = lambda df, c: df.groupBy(c.alias("code")).agg(F.count(F.lit(1)).alias("rows"))
+    with_rows = lambda members, rows: members.join(rows, "code", "left").select("dimension", "sk", "code", "rank", F.coalesce("rows", F.lit(0)).alias("rows"))
+    none = F.lit(None).cast("int").alias("rank")
+    level = levels(spark).select(F.lit("level").alias("dimension"), "*")
+    origin = spark.createDataFrame(ORIGINS, "sk long, code string").select(F.lit("origin").alias("dimension"), "sk", "code", none)
+    found = counted(table(spark, d, "documents"), F.col("source"))
+    systems = keys.numbered(found.where("code IS NOT NULL"), "code", "sk").select(F.lit("source_system").alias("dimension"), F.col("sk").cast("bigint").alias("sk"), "code", none, "rows")
+    unknown = table(spark, d, "documents").agg(F.count_if(F.col("source").isNull()).alias("rows")).select(F.lit("source_system").alias("dimension"), F.lit(-1).cast("bigint").alias("sk"), F.lit("UNKNOWN").alias("code"), none, "rows")
+    parts = with_rows(level, counted(table(spark, d, "orders"), F.col("o_orderpriority"))), with_rows(origin, counted(table(spark, d, "customer"), F.expr(_SEGMENT_ORIGIN))), systems, unknown
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def levels(spark):

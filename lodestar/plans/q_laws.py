@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import fidelity
+from lodestar.functions import dates
+from lodestar.operators import fidelity, reconcile, versions
 from lodestar.operators import invariants as laws
 from lodestar.plans.q_rows import table
 
@@ -207,3 +208,49 @@ def raw_validators(spark, d):
         fidelity.of_schema(spark, {"raw": raw.schema, "truth": truth.schema}, forbidden={"raw": ("o_order",)}, present={"truth": ("o_orderkey", "o_orderdate")}),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+_LOG = """
+WITH log AS (
+  SELECT o_custkey AS c, CAST(o_orderdate AS DATE) AS d, o_orderkey AS k, 'status' AS col, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0
+  UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), o_orderkey, 'priority', CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), -o_orderkey, 'status', 'X' FROM orders WHERE o_orderkey % 7 = 0
+)"""
+
+
+@query(f"""{_LOG},
+daily AS (SELECT c, d, arg_max({{'v': v}}, k) FILTER (WHERE col = 'status') AS s, arg_max({{'v': v}}, k) FILTER (WHERE col = 'priority') AS p FROM log GROUP BY 1, 2),
+states AS (SELECT c, d, last_value(s IGNORE NULLS) OVER w AS s, last_value(p IGNORE NULLS) OVER w AS p FROM daily WINDOW w AS (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)),
+plain AS (SELECT c, d, s.v AS status, p.v AS priority FROM states),
+marked AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR status IS DISTINCT FROM lag(status) OVER w OR priority IS DISTINCT FROM lag(priority) OVER w THEN 1 ELSE 0 END AS new FROM plain WINDOW w AS (PARTITION BY c ORDER BY d)),
+runs AS (SELECT c, min(d) AS a, version, any_value(status) AS status, any_value(priority) AS priority FROM (SELECT *, sum(new) OVER (PARTITION BY c ORDER BY d) AS version FROM marked) GROUP BY c, version)
+SELECT c AS entity, CAST(version AS BIGINT) AS version, strftime(a, '%Y-%m-%d') AS effective_from, coalesce(strftime(lead(a) OVER w - 1, '%Y-%m-%d'), '9999-12-31') AS effective_to, lead(a) OVER w IS NULL AS is_current, status, priority FROM runs WINDOW w AS (PARTITION BY c ORDER BY version)
+""")
+def state_log_history(spark, d):
+    """Histories of customers from a log of single changes, two of them on some days."""
+    k, o = F.col("o_orderkey"), table(spark, d, "orders")
+    change = lambda df, order, column, value: df.select(F.col("o_custkey").alias("entity"), F.col("o_orderdate").alias("day"), order.alias("order"), F.lit(column).alias("column"), value.alias("value"))
+    log = change(o.where(k % 3 != 0), k, "status", F.col("o_orderstatus")).unionByName(change(o.where(k % 2 == 0), k, "priority", F.when(k % 5 != 0, F.col("o_orderpriority")))).unionByName(change(o.where(k % 7 == 0), -k, "status", F.lit("X")))
+    return versions.state_history(log, "entity", "day", ["order"], ["status", "priority"]).withColumn("effective_from", dates.iso(F.col("effective_from")))
+
+
+_COVER = """
+WITH a AS (SELECT CAST(c_custkey AS VARCHAR) AS key, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT CAST(o_custkey AS VARCHAR) AS key, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events GROUP BY 1),
+m AS (SELECT key, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y, coalesce(c.n, 0) AS z FROM a FULL JOIN b USING (key) FULL JOIN c USING (key) WHERE key IS NOT NULL),
+v AS (SELECT *, CASE WHEN x > 0 AND y > 0 AND z > 0 THEN 'COMPLETE' WHEN x > 0 AND y = 0 AND z = 0 THEN 'ONLY_master' WHEN x = 0 AND y > 0 AND z = 0 THEN 'ONLY_orders' WHEN x = 0 AND y = 0 THEN 'ONLY_events'
+  WHEN x = 0 THEN 'LACKS_master' WHEN y = 0 THEN 'LACKS_orders' ELSE 'LACKS_events' END AS verdict FROM m)"""
+
+
+def three_sources(spark, d):
+    key = lambda name, c: table(spark, d, name).select(F.col(c).alias("key"))
+    return reconcile.coverage({"master": key("customer", "c_custkey"), "orders": key("orders", "o_custkey"), "events": key("events", "user_id")}, "key")
+
+
+@query(f"{_COVER} SELECT key, x AS rows_master, y AS rows_orders, z AS rows_events, concat_ws('_', CASE WHEN x = 0 THEN 'master' END, CASE WHEN y = 0 THEN 'orders' END, CASE WHEN z = 0 THEN 'events' END) AS missing, verdict FROM v")
+def source_coverage(spark, d):
+    return three_sources(spark, d).withColumn("missing", F.array_join("missing", "_"))
+
+
+@query(f"{_COVER} SELECT verdict, count(*) AS keys, round(count(*) / (SELECT count(*) FROM v), 6) AS share FROM v GROUP BY 1")
+def source_coverage_summary(spark, d):
+    return reconcile.coverage_summary(three_sources(spark, d))

@@ -89,18 +89,21 @@ def win_month_gap(spark, d):
 
 CALENDAR_SQL = """
 SELECT strftime(x, '%Y-%m-%d') AS date_iso, CAST(strftime(x, '%Y%m%d') AS BIGINT) AS date_sk, CAST(year(x) AS INTEGER) AS "year", strftime(x, '%Y-%m') AS "month", CAST(month(x) AS INTEGER) AS month_number, CAST(day(x) AS INTEGER) AS "day",
-  year(x) || '-Q' || quarter(x) AS "quarter", year(x) || '-H' || CASE WHEN month(x) <= 6 THEN 1 ELSE 2 END AS "half", last_day(x) = x AS is_month_end FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS x)
+  year(x) || '-Q' || quarter(x) AS "quarter", year(x) || '-H' || CASE WHEN month(x) <= 6 THEN 1 ELSE 2 END AS "half", last_day(x) = x AS is_month_end, (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) = x) AS "rows"
+FROM (SELECT CAST(unnest(generate_series((SELECT CAST(date_trunc('year', min(o_orderdate)) AS DATE) FROM orders), (SELECT CAST(date_trunc('year', max(o_orderdate)) AS DATE) + INTERVAL 1 YEAR - INTERVAL 1 DAY FROM orders), INTERVAL 1 DAY)) AS DATE) AS x)
 """
 
 
-@query(CALENDAR_SQL)
+@query(f"""WITH c AS ({CALENDAR_SQL}) SELECT "month", max(date_iso) FILTER (WHERE is_month_end) AS month_end, max(date_iso) FILTER (WHERE "rows" > 0) AS last_order_day, CAST(sum("rows") AS BIGINT) AS "rows" FROM c GROUP BY 1""")
 def win_month_end(spark, d):
-    return versions.calendar(spark, "1995-01-01", "2002-12-31")
+    """Of each month of the orders' years its end, the last day with an order, and the orders."""
+    days = versions.calendar_of(table(spark, d, "orders"), "o_orderdate")
+    return days.groupBy("month").agg(F.max(F.when(F.col("is_month_end"), F.col("date_iso"))).alias("month_end"), F.max(F.when(F.col("rows") > 0, F.col("date_iso"))).alias("last_order_day"), F.sum("rows").alias("rows"))
 
 
-@query(f"{CALENDAR_SQL} UNION ALL SELECT NULL, -5, NULL, 'NO_DATE', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT NULL, -7, NULL, 'BEFORE_SERIES', NULL, NULL, NULL, NULL, NULL")
+@query(f"{CALENDAR_SQL} UNION ALL SELECT NULL, -5, NULL, 'NO_DATE', NULL, NULL, NULL, NULL, NULL, NULL UNION ALL SELECT NULL, -7, NULL, 'BEFORE_SERIES', NULL, NULL, NULL, NULL, NULL, NULL")
 def dim_calendar(spark, d):
-    days = versions.calendar(spark, "1995-01-01", "2002-12-31")
+    days = versions.calendar_of(table(spark, d, "orders"), "o_orderdate")
     return days.unionByName(keys.reserved_rows(days, [{"date_sk": dates.NO_DATE, "month": "NO_DATE"}, {"date_sk": dates.BEFORE_SERIES, "month": "BEFORE_SERIES"}]))
 
 

@@ -36,6 +36,66 @@ def test_xlsx(spark, tmp_path):
     assert [tuple(r) for r in got] == [("1", "Ann & Bob"), ("2", None)]
 
 
+def test_xlsx_in_parts(spark, tmp_path, monkeypatch):
+    """Every way to cut sheets into pieces and parts gives the same rows; parts of several files of different sizes."""
+    rows = [["A", "B"], *[[str(k), None if k % 7 == 0 else f"t<{k}> é"] for k in range(300)], [], ["x"]]
+    data = xlsx.write_sheet(rows)
+    whole = list(xlsx.sheet_rows(data))
+    assert whole[0] == ["A", "B"] and whole[5] == ["4", "t<4> é"] and whole[-2:] == [[], ["x"]] and len(whole) == 303
+    for block in (700, 2000, 1 << 20):
+        monkeypatch.setattr(xlsx, "BLOCK", block)
+        for parts in (1, 2, 7, 50):
+            assert [r for p in range(parts) for r in xlsx.sheet_rows(data, p, parts)] == whole
+    assert list(xlsx.sheet_rows(xlsx.write_sheet([]))) == []
+
+
+def shared_workbook(rows):
+    """Numbers as values, texts as shared strings, cells by reference, a namespace beside the sheet's own."""
+    import io
+    import zipfile
+
+    texts = sorted({v for r in rows for v in r if isinstance(v, str)})
+    cell = lambda k, j, v: f'<c r="{chr(65 + j)}{k + 1}"><v>{v}</v></c>' if not isinstance(v, str) else f'<c r="{chr(65 + j)}{k + 1}" t="s"><v>{texts.index(v)}</v></c>'
+    lines = "".join(f'<row r="{k + 1}" x:d="0.2"' + (">" + "".join(cell(k, j, v) for j, v in enumerate(r) if v is not None) + "</row>" if r else "/>") for k, r in enumerate(rows))
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<?xml version="1.0"?><worksheet xmlns="{ns}" xmlns:x="urn:x"><dimension ref="A1"/><sheetData>{lines}</sheetData><pageMargins left="0"/></worksheet>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}">' + "".join(f"<si><r><t>{t[:1]}</t></r><r><t>{t[1:]}</t></r></si>" for t in texts) + "</sst>")
+    return out.getvalue()
+
+
+def test_xlsx_of_shared_strings(spark, tmp_path):
+    ship(spark)
+    rows = [["K", "N"], *[[f"key{k % 5}", k] for k in range(50)], [], [None, 7]]
+    (tmp_path / "a.xlsx").write_bytes(shared_workbook(rows))
+    (tmp_path / "b.xlsx").write_bytes(shared_workbook([["K", "N"], ["only", 1]]))
+    got = sorted((r.K or "", r.N or "") for r in xlsx.read_xlsx(spark, str(tmp_path)).collect())
+    assert got == sorted([(f"key{k % 5}", str(k)) for k in range(50)] + [("", ""), ("", "7"), ("only", "1")])
+
+
+def test_a_large_workbook_in_bounded_memory():
+    """300,000 rows (24 MB of XML, several parts' worth of pieces), in a process of its own; memory does not follow the rows."""
+    import subprocess
+    import sys
+
+    code = """
+import io, resource, zipfile
+from lodestar.sources import xlsx
+out = io.BytesIO()
+with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z, z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as f:
+    f.write(b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+    for k in range(300):
+        f.write(b"".join(b"<row><c><v>%d</v></c><c><v>1.5</v></c></row>" % (k * 1000 + j) for j in range(1000)))
+    f.write(b"</sheetData></worksheet>")
+data = out.getvalue()
+assert sum(1 for _ in xlsx.sheet_rows(data)) == 300_000
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/", 2)[0], timeout=300)
+    assert int(got.stdout) < 300
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "2023-05-01"), (2, "2024-05-01")], "a int, d string").withColumn("d", F.col("d").cast("date"))
     writers.write_by_year(df, f"{tmp_path}/y", "d")

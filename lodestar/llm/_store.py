@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.session import ship
+from lodestar import session
 
 __all__ = ["BROADCAST_BYTES", "BROADCAST_KEYS", "FILE_ROWS", "bounded", "on_disk", "only", "shared_dir", "ship", "written"]
 
@@ -21,6 +21,16 @@ BROADCAST_BYTES = 16 << 20
 #: Rows of narrow tables to a file.
 FILE_ROWS = 50_000
 
+#: Bytes of an Arrow batch between Spark and its Python workers, where the session has Spark's own default.
+ARROW_BYTES, ARROW_SETTING, ARROW_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def ship(spark: SparkSession) -> None:
+    """The package on the workers, and batches that are small beside an executor's memory: texts are long."""
+    session.ship(spark)
+    if spark.conf.get(ARROW_SETTING, ARROW_DEFAULT) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_SETTING, str(ARROW_BYTES))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one under /tmp/checkpoints where it is unset and all runs on one machine (tests)."""

@@ -13,15 +13,20 @@ itself and a share of d * V of N by its pieces. The discount d is the likeliest
 out of the counts that score it, which counts of counts tell.
 
 Word counts grow with the corpus and stay a table. The most frequent words, at most ``head_words`` of ``head_bytes`` in
-all, are broadcast, however long one is; every other word of a document is joined with the table, so scores are exact for
-all words and no word of many documents is a key of the join.
-
-Null and empty texts have the end alone. Repeated rows are scored each on its own. A document without an id counts as
-held out. With no training text all pieces keep their first weights and every base probability is that of an unknown token.
+all, are broadcast, but for words of over a 64th of ``head_bytes`` each; every other word of a document is joined with
+the table, so scores are exact for all words.
+
+Null and empty texts have the end alone. An empty table gives no rows. Rows of one id or one text are scored each on its
+own; equal texts have equal scores. A document without an id counts as held out. Other columns, whatever their names, are
+not read. With no training text all pieces keep their first weights and every base probability is that of an unknown token.
+Words of at most WIDE bytes are scored many at a time. A longer one, such as a text without white space, is scored on its
+own in spans of SPAN bytes, each of which takes over the sums of the last places before it: memory is bounded by a span
+(and the word's bytes), time grows with the word, some two microseconds a byte for each recursion.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,6 +45,9 @@ _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 MARK = b" "
 
+#: Bytes of a word up to which words are scored many at a time, and of a span of a longer one.
+WIDE, SPAN = 2_048, 1 << 16
+
 
 class Lattice:
     """Pieces as bytes and their log weights; words are scored many at a time."""
@@ -99,10 +107,60 @@ class Lattice:
             alpha[:, j] = _logsum(terms)
         return alpha, alpha[np.arange(n), sizes]
 
-    def expected(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, float]:
+    def _span(self, word: bytes, lo: int, hi: int, by: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece, first arc of each place and one past the last) of a marked word's arcs that end in (lo, hi], ordered by end, or start in [lo, hi), ordered by start."""
+        ends = by == "end"
+        first, last = (max(0, lo - self.longest + 1), hi) if ends else (lo, min(len(word), hi + self.longest - 1))
+        block = np.frombuffer(word, np.uint8, last - first, first)[None]
+        arcs = self._arcs(block, np.array([last - first]))
+        start = np.concatenate([a[1] for a in arcs]) + first
+        size = np.concatenate([np.full(len(a[1]), a[3]) for a in arcs])
+        piece = np.concatenate([a[2] for a in arcs])
+        key = start + size - 1 if ends else start
+        order = np.argsort(key, kind="stable")
+        order = order[(key[order] >= lo) & (key[order] < hi)]
+        bounds = np.searchsorted(key[order], np.arange(lo, hi + 1))
+        return start[order], (start + size)[order], piece[order], bounds
+
+    def _onward(self, word: bytes, lo: int, hi: int, before: list[float], arcs: tuple) -> list[float]:
+        """Log sums of the places from lo - len(before) + 1 to hi; ``before`` are those up to lo."""
+        start, _, piece, bounds = arcs
+        sums, shift = list(before), lo - len(before) + 1
+        _sweep(sums, (start - shift).tolist(), self.weights[piece].tolist(), bounds.tolist())
+        return sums
+
+    def _long_forward(self, word: bytes, span: int) -> tuple[list[list[float]], float]:
+        """(log sums of the last places up to each span's start, log sum of the whole marked word)."""
+        kept, before = [], [0.0]
+        for lo in range(0, len(word), span):
+            hi = min(lo + span, len(word))
+            kept.append(before)
+            before = self._onward(word, lo, hi, before, self._span(word, lo, hi, "end"))[-self.longest :]
+        return kept, before[-1]
+
+    def _long_expected(self, word: bytes, count: float, total: np.ndarray, span: int) -> float:
+        """Adds the expected uses of each piece in one marked word to ``total``; its log likelihood."""
+        kept, whole = self._long_forward(word, span)
+        after = [0.0]  # log sums from a place to the word's end, the nearest place last
+        for k in range(len(kept) - 1, -1, -1):
+            lo, hi = k * span, min((k + 1) * span, len(word))
+            alpha = np.array(self._onward(word, lo, hi, kept[k], self._span(word, lo, hi, "end")))[len(kept[k]) - 1 :]
+            start, end, piece, bounds = self._span(word, lo, hi, "start")
+            beta, far = list(after), hi + len(after) - 1
+            _sweep(beta, (far - end)[::-1].tolist(), self.weights[piece][::-1].tolist(), (bounds[-1] - bounds[::-1]).tolist())
+            share = np.exp(alpha[start - lo] + self.weights[piece] + np.array(beta)[far - end] - whole)
+            total += np.bincount(piece, share * count, len(total))
+            after = beta[-self.longest :]
+        return whole * count
+
+    def expected(self, words: list[bytes], counts: np.ndarray, wide: int = WIDE, span: int = SPAN) -> tuple[np.ndarray, float]:
         """(expected uses of each piece over all segmentations of the words, log likelihood of the words)."""
         total, likelihood = np.zeros(len(self.names)), 0.0
-        for at, block, sizes in _blocks(words):
+        short, long = _by_width(words, wide)
+        for k in long:
+            likelihood += self._long_expected(MARK + words[k], float(counts[k]), total, span)
+        counts = counts[short]
+        for at, block, sizes in _blocks([words[k] for k in short]):
             n, width = block.shape
             arcs = self._arcs(block, sizes)
             alpha, whole = self.forward(block, sizes, arcs)
@@ -118,13 +176,34 @@ class Lattice:
             likelihood += float((whole * counts[at]).sum())
         return total, likelihood
 
-    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+    def log_probabilities(self, words: list[bytes], wide: int = WIDE, span: int = SPAN) -> np.ndarray:
         out = np.empty(len(words))
-        for at, block, sizes in _blocks(words):
-            out[at] = self.forward(block, sizes)[1]
+        short, long = _by_width(words, wide)
+        for k in long:
+            out[k] = self._long_forward(MARK + words[k], span)[1]
+        for at, block, sizes in _blocks([words[k] for k in short]):
+            out[short[at]] = self.forward(block, sizes)[1]
         return out
 
 
+def _by_width(words: list[bytes], wide: int) -> tuple[np.ndarray, list[int]]:
+    """Places of the words of at most ``wide`` bytes, and of the others."""
+    long = np.fromiter(map(len, words), np.int64, len(words)) > wide
+    return np.flatnonzero(~long), np.flatnonzero(long).tolist()
+
+
+def _sweep(sums: list[float], at: list[int], weights: list[float], bounds: list[int]) -> None:
+    """Appends one log sum for each place: over its arcs, that of the place an arc comes from and the arc's weight. Every byte is a piece, so a place has an arc."""
+    exp, log = math.exp, math.log
+    for a, b in zip(bounds, bounds[1:]):  # noqa: B905
+        if b - a == 1:
+            sums.append(sums[at[a]] + weights[a])
+            continue
+        terms = [sums[i] + w for i, w in zip(at[a:b], weights[a:b], strict=True)]
+        top = max(terms)
+        sums.append(top + log(sum([exp(t - top) for t in terms])))
+
+
 def _logsum(terms: np.ndarray) -> np.ndarray:
     top = terms.max(0)
     safe = np.where(np.isfinite(top), top, 0)
@@ -177,11 +256,14 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def word_counts(docs: DataFrame, hold: int = 250_000) -> DataFrame:
-    """(word, c): every word of columns train, text, and how often training texts have it; the empty word is the end."""
+def word_counts(docs: DataFrame, hold: int = 64 << 20, cost: int = 150) -> DataFrame:
+    """(word, c): every word of columns train, text, and how often training texts have it; the empty word is the end.
+
+    A task holds at most about ``hold`` bytes of words, each at its length and ``cost``, beyond those of one text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, other = Counter(), set()
+        seen, other, held, known = Counter(), set(), 0, 0
 
         def out() -> pa.RecordBatch:
             rest = list(other - seen.keys())
@@ -194,10 +276,16 @@ def word_counts(docs: DataFrame, hold: int = 250_000) -> DataFrame:
                     seen[b""] += 1
                 else:
                     other.update(_words(text))
-            if len(seen) + len(other) > hold:
+            # what the piece can have added: its new words, none of more bytes than the whole piece
+            held += piece.column("text").nbytes if len(seen) + len(other) > known else 0
+            known = len(seen) + len(other)
+            if known * cost + held > hold:
+                held = sum(map(len, seen)) + sum(map(len, other))
+            if known * cost + held > hold:
                 yield out()
                 seen.clear()
                 other.clear()
+                held = known = 0
         yield out()
 
     return docs.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
@@ -233,18 +321,18 @@ def trained(counts: DataFrame, names: list[bytes], weights: np.ndarray, rounds:
     return weights
 
 
-def discount(counts_of_counts: dict[int, int]) -> float:
-    """The part of a count that words give away for which the training tokens are likeliest when each is left out.
+def discount(counts: DataFrame) -> float:
+    """The part of a count c that words give away for which the training tokens are likeliest when each is left out.
 
     A word seen once is then unseen, with d of its own for it; a word seen c times has c - 1 - d.
     """
-    c = np.array([k for k in counts_of_counts if k > 1], float)
-    n = np.array([counts_of_counts[k] for k in counts_of_counts if k > 1], float)
-    grid = np.arange(1, 100) / 100
-    once = counts_of_counts.get(1, 0)
-    if not once or not len(c):
+    grid = [k / 100 for k in range(1, 100)]
+    each = counts.groupBy(F.col("c").cast("double").alias("c")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    again = [F.sum(F.when(F.col("c") > 1, F.col("n") * F.col("c") * F.log(F.greatest("c", F.lit(2.0)) - 1 - d))) for d in grid]
+    once, *gains = each.agg(F.sum(F.when(F.col("c") == 1, F.col("n"))), *again).first()
+    if not once or gains[0] is None:
         return 0.5
-    return float(grid[np.argmax([once * np.log(d) + (n * c * np.log(c - 1 - d)).sum() for d in grid])])
+    return grid[int(np.argmax([once * np.log(d) + g for d, g in zip(grid, gains, strict=True)]))]
 
 
 def scored(df: DataFrame, path: str, doc: str = "doc_id", text: str = "text", held_mod: int = 10, head_words: int = 250_000, head_bytes: int = 4_000_000, rounds: int = 8) -> DataFrame:
@@ -255,8 +343,7 @@ def scored(df: DataFrame, path: str, doc: str = "doc_id", text: str = "text", he
     counts = written(word_counts(docs), "words")
     about = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).first()
     n, v, ends = (int(about[k] or 0) for k in ("n", "v", "ends"))
-    often = counts.where("c BETWEEN 1 AND 200 AND length(word) > 0").groupBy("c").count().collect()
-    less = discount({r["c"]: r["count"] for r in often})
+    less = discount(counts.where("c > 0 AND length(word) > 0"))
     names, weights = vocabulary(path)
     weights = trained(counts, names, weights, rounds)
     model = spark.sparkContext.broadcast((names, weights))
@@ -272,14 +359,15 @@ def scored(df: DataFrame, path: str, doc: str = "doc_id", text: str = "text", he
             yield pa.RecordBatch.from_arrays([piece.column("word"), piece.column("c"), pa.array(top + np.log10(1 + 10 ** (np.minimum(own, parts) - top)))], names=["word", "c", "log_p"])
 
     rated = written(counts.where("length(word) > 0").mapInArrow(rate, "word binary, c bigint, log_p double"), "rated-words")
-    steps = rated.where("c > 1").groupBy(F.floor(F.log2("c") * 8).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("word")).alias("bytes"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
+    may = rated.where((F.col("c") > 1) & (F.length("word") <= head_bytes // 64))
+    steps = may.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("word")).alias("bytes"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
     least, words_left, bytes_left = None, head_words, head_bytes
     for s in steps:
         words_left, bytes_left = words_left - s["words"], bytes_left - s["bytes"]
         if words_left < 0 or bytes_left < 0:
             break
         least = s["least"]
-    top = rated.where(F.col("c") >= least).collect() if least else []
+    top = may.where(F.col("c") >= least).collect() if least else []
     head = spark.sparkContext.broadcast(([bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.int64), np.array([r["log_p"] for r in top], np.float64)))
 
     kind = pa.schema([("row", pa.int64()), ("doc_id", _kind(docs)), ("held_out", pa.bool_()), ("word", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])

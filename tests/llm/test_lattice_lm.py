@@ -1,5 +1,7 @@
 import math
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -8,7 +10,7 @@ import public_tokenizers
 import pytest
 
 from lodestar.llm import _store
-from lodestar.llm.lattice_lm import Lattice, discount, scored, trained, vocabulary
+from lodestar.llm.lattice_lm import Lattice, discount, scored, trained, vocabulary, word_counts
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -67,9 +69,64 @@ def test_training_gains_until_the_tolerance(spark):
     assert likely == sorted(likely) and likely[3] - likely[2] < 0.05 * abs(likely[3])
 
 
-def test_discount():
-    assert discount({}) == discount({5: 3}) == 0.5
-    assert 0 < discount({1: 10, 2: 1000}) < 0.1 < discount({1: 500, 2: 100, 3: 30}) < 1
+def likeliest(counts_of_counts):
+    """The discount by plain sums over all counts; a half where no word is seen once or none more often."""
+    if 1 not in counts_of_counts or max(counts_of_counts) == 1:
+        return 0.5
+    grid = [k / 100 for k in range(1, 100)]
+    return max(grid, key=lambda d: sum(n * (math.log(d) if c == 1 else c * math.log(c - 1 - d)) for c, n in counts_of_counts.items()))
+
+
+def test_discount(spark):
+    def of(counts_of_counts):
+        return discount(spark.createDataFrame([(c,) for c, n in counts_of_counts.items() for _ in range(n)], "c long"))
+
+    assert of({}) == of({5: 3}) == of({1: 4}) == 0.5
+    few, many = of({1: 10, 2: 1000}), of({1: 500, 2: 100, 3: 30})
+    assert 0 < few < 0.1 < many < 1
+    for given in ({1: 10, 2: 1000}, {1: 500, 2: 100, 3: 30}, {1: 60, 2: 9, 250: 3, 5000: 2}):
+        assert of(given) == likeliest(given)
+
+
+def test_long_words_in_spans(lattice):
+    rnd = random.Random(5)
+    words = [bytes(rnd.choice(b"thonerad,.\xc3\xa9") for _ in range(rnd.choice([1, 3, 30, 90, 200]))) for _ in range(40)] + [b"", b"x" * 300]
+    whole, likelihood = lattice.expected(words, np.arange(1.0, 43.0), wide=1000)
+    for wide, span in ((0, 7), (0, 25), (0, 64), (40, 33), (0, 1000)):
+        assert np.allclose(lattice.log_probabilities(words, wide, span), lattice.log_probabilities(words, 1000), rtol=1e-10)
+        uses, same = lattice.expected(words, np.arange(1.0, 43.0), wide, span)
+        assert same == pytest.approx(likelihood, rel=1e-10) and np.allclose(uses, whole, rtol=1e-8, atol=1e-12)
+
+
+def test_text_of_5_mb_without_white_space():
+    code = """
+import resource, random, numpy as np, public_tokenizers
+from lodestar.llm.lattice_lm import Lattice, vocabulary
+lattice = Lattice(*vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+word = bytes(random.Random(3).choices(b"thonerad,.", k=5_000_000))
+got = lattice.log_probabilities([word])[0]
+uses, same = lattice.expected([word[:500_000]], np.ones(1))
+assert got < 0 and abs(sum(u * len(n) for u, n in zip(uses, lattice.names)) - 500_001) < 1
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1_500_000
+"""
+    assert subprocess.run([sys.executable, "-c", code], timeout=300).returncode == 0
+
+
+def test_counters_are_bounded_by_bytes(spark):
+    _store.ship(spark)
+    docs = [(k % 4 > 0, " ".join([f"W{k % 7}", "long" * (k % 5 * 200), "end"])) for k in range(60)] + [(True, None), (False, ""), (True, " ")]
+    df = spark.createDataFrame(docs, "train boolean, text string")
+    want = Counter(w for t, x in docs if t for w in [*(x or "").encode().lower().split(), b""]) + Counter()
+    want |= {w: 0 for t, x in docs if not t for w in (x or "").encode().lower().split() if w not in want}
+    for hold in (0, 2_000, 64 << 20):
+        assert {bytes(r.word): r.c for r in word_counts(df, hold).collect()} == want
+
+
+def test_a_long_frequent_word_does_not_empty_the_head(spark):
+    rows = [(k, f"alpha {'q' * 500} beta w{k % 9}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = ({r.doc_id: r.score for r in scored(df, PATH, head_bytes=h, rounds=1).collect()} for h in (0, 20_000))
+    assert all(a[k] == pytest.approx(b[k]) for k in a)
 
 
 def test_scores_against_brute_force(spark):
@@ -103,7 +160,7 @@ def test_scores_against_brute_force(spark):
                         uses[b[i:j]] += part(b[:i]) * weights[b[i:j]] * part(b[j:]) / whole
         whole = sum(uses.values())
         weights = {k: x / whole for k, x in uses.items()}
-    d = discount(Counter(c.values()))
+    d = likeliest(Counter(c.values()))
     share = (d * v + 1) / (n + 2)
     for k, ws in tokens.items():
         want = sum(math.log10(max(c[w] - d, 0) / (n + 2) + share * brute(w, weights, longest)) for w in ws) + math.log10((len(train) + 1) / (n + 2))

@@ -16,6 +16,14 @@ def member_or_code(key: Column, attribute: Column, codes: dict[int, str]) -> Col
     return F.when(key < 0, code).when(key.isNull() | attribute.isNull(), MISSING).otherwise(attribute)
 
 
+def member_of(c: Column, members: dict[str, str], otherwise: str | None = None) -> Column:
+    """What ``members`` says of a value; ``otherwise`` for a null and for a value that it lacks."""
+    if not members:
+        return F.lit(otherwise).cast("string")
+    pairs = F.create_map(*[F.lit(x) for pair in members.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, c), F.lit(otherwise).cast("string"))
+
+
 def entity_key(core_id: Column, cross_id: Column, system: Column, source_id: Column) -> Column:
     """struct(basis, entity_key, provisional): an own id, one by cross-reference, or the source's own as provisional."""
     known = F.coalesce(core_id, cross_id).cast("string")

@@ -74,6 +74,12 @@ def parsed_decimal(c: Column) -> Column:
     return F.struct(value.alias("num"), F.when(c.isNull() | (s == ""), "empty").when(value.isNull(), "not_numeric").otherwise("ok").alias("parse"))
 
 
+def lenient_int(c: Column) -> Column:
+    """The whole number that a text is but for white space around it, a sign included; null for anything else or beyond 64 bits."""
+    s = F.regexp_replace(c.cast("string"), r"^[\s]+|[\s]+$", "")
+    return F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint"))
+
+
 def extracted_number(c: Column, prefix: str) -> Column:
     """The digits of values that are ``prefix`` and digits as a whole, else null."""
     return F.nullif(F.regexp_extract(c, f"^{prefix}(\\d+)$", 1), F.lit("")).try_cast("bigint")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.operators.lookups import small
@@ -46,23 +45,31 @@ def last_value(df: DataFrame, key: str, order: list[str], take: list[str]) -> Da
     return df.groupBy(key).agg(*[F.max_by(c, F.struct(*order)).alias(c) for c in take])
 
 
-def outranked(df: DataFrame, ident: str, rank: str, start: str, end: str, period: str = "month") -> DataFrame:
+#: Days of the years 1 to 9999 are counted from 0 and are below 2^DAY_BITS.
+FIRST_DAY, DAY_BITS = -719_162, 22
+
+
+def outranked(df: DataFrame, ident: str, rank: str, start: str, end: str) -> DataFrame:
     """(ident, start) of each version at whose start some other version of higher rank is active; a null end is open.
 
-    The theta join is a sweep: versions open and close at points in time, and the highest rank that is open is read at
-    each start. Ranks are few, so a running count of the open versions of each rank is kept, by rank and period: sums of
-    a period's openings and closings carry over, and points are swept within their period.
+    The theta join is one on equal keys: a span of days is the union of at most two blocks of 2^k days for each k, and a
+    day lies in one block for each k. The highest rank of each block is kept, so what is joined is bounded by the days of
+    the calendar, however many versions there are. Null ranks and starts neither outrank nor are outranked; a version that
+    ends before it starts is never active.
     """
-    opens = df.select(F.col(start).alias("at"), F.col(rank).alias("r"), F.lit(1).alias("change"))
-    closes = df.where(F.col(end).isNotNull()).select(F.date_add(end, 1).alias("at"), F.col(rank).alias("r"), F.lit(-1).alias("change"))
-    points = opens.unionByName(closes).groupBy("at", "r").agg(F.sum("change").alias("change"))
-    asked = df.select(F.col(start).alias("at")).distinct().join(small(df.select(F.col(rank).alias("r")).distinct(), 10_000), F.lit(True))
-    all_points = points.unionByName(asked.withColumn("change", F.lit(0).cast("bigint"))).groupBy("at", "r").agg(F.sum("change").alias("change")).withColumn("p", F.date_trunc(period, "at"))
-    carried = all_points.groupBy("r", "p").agg(F.sum("change").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(W.partitionBy("r").orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    within = F.sum("change").over(W.partitionBy("r", "p").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
-    active = all_points.join(carried.select("r", "p", "before"), ["r", "p"]).withColumn("open", within + F.col("before")).where("open > 0")
-    top = active.groupBy("at").agg(F.max("r").alias("top"))
-    return df.join(top, df[start] == top["at"]).where(F.col("top") > F.col(rank)).select(ident, start)
+    day = lambda c: F.unix_date(F.col(c).cast("date")) - FIRST_DAY
+    after = F.when(F.col(end).isNull(), F.lit(1 << DAY_BITS)).otherwise(day(end) + 1)
+    spans = df.where(F.col(start).isNotNull() & F.col(rank).isNotNull()).groupBy(day(start).alias("a"), after.alias("b")).agg(F.max(rank).alias("r"))
+    blocks = []
+    for k in range(DAY_BITS):
+        lo, hi = F.shiftright(F.col("a") + ((1 << k) - 1), k), F.shiftright(F.col("b"), k)
+        blocks += [F.when((lo < hi) & (lo % 2 == 1), F.struct(F.lit(k).alias("k"), lo.alias("block"))), F.when((lo < hi) & (hi % 2 == 1), F.struct(F.lit(k).alias("k"), (hi - 1).alias("block")))]
+    blocks.append(F.when((F.col("a") == 0) & (F.col("b") == 1 << DAY_BITS), F.struct(F.lit(DAY_BITS).alias("k"), F.lit(0).alias("block"))))
+    tops = spans.select("r", F.inline(F.array_compact(F.array(*blocks)))).groupBy("k", "block").agg(F.max("r").alias("r"))
+    asked = df.where(F.col(start).isNotNull()).select(day(start).alias("__day")).distinct()
+    within = asked.select("__day", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(F.col("__day"), k).alias("block")) for k in range(DAY_BITS + 1)])))
+    top = small(within.join(tops, ["k", "block"]).groupBy("__day").agg(F.max("r").alias("__top")))
+    return df.join(top, day(start) == F.col("__day")).where(F.col("__top") > F.col(rank)).select(ident, start)
 
 
 def discipline(ledger: DataFrame, catalogue: DataFrame, rows: DataFrame) -> DataFrame:

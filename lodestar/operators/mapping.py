@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.keys import numbered
 from lodestar.functions.text import normal_key
 from lodestar.operators.lookups import interval_lookup
 
@@ -39,6 +40,11 @@ def merged_queue(queue: DataFrame, found: DataFrame) -> DataFrame:
     return kept.select("source_value", F.coalesce("status", F.lit("OPEN")).alias("status"), F.coalesce("occurrences", F.lit(0)).alias("occurrences"), F.least("first_before", "first_seen").alias("first_seen"), "last_seen")
 
 
+def in_order(queue: DataFrame, first: str, *ties: str) -> DataFrame:
+    """The queue with ``place``: those with most of ``first`` (occurrences, confidence) come first, then by ``ties``."""
+    return numbered(queue.withColumn("__less", -F.col(first)), "__less", "place", ties).drop("__less")
+
+
 # Fixed values of the ladder: scores 0.80 and 0.55, gap 0.12.
 
 

@@ -178,6 +178,16 @@ def key_rules(checks: list[Check], frames: dict[str, DataFrame], cuts: dict[str,
     return every.join(summed, ["check_id", "cut"], "full").select("check_id", "cut", "evaluated", "failed")
 
 
+def with_identity(frames: dict[str, DataFrame], xref: DataFrame) -> dict[str, DataFrame]:
+    """The frames, with the identity layer as two more datasets that checks can name.
+
+    ``identity`` holds each entity once, for references; ``identity_xref`` the links with their status, for coverage.
+    """
+    known = xref.where(F.col("entity_id").isNotNull()).select(F.col("entity_id").cast("string").alias("entity_id")).distinct()
+    links = xref.select("source_system", F.col("source_id").cast("string").alias("source_id"), F.col("entity_id").cast("string").alias("entity_id"), "match_status")
+    return frames | {"identity": known, "identity_xref": links}
+
+
 def run(checks: list[Check], frames: dict[str, DataFrame], cuts: dict[str, list[str]] | None = None) -> DataFrame:
     """A row for each check, and for each value of each cut: evaluated, failed, rate, status.
 

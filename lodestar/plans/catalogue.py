@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestar.plans import q_events, q_facts, q_laws, q_metrics, q_model, q_more, q_rows
+from lodestar.plans import q_events, q_facts, q_inputs, q_kpis, q_laws, q_metrics, q_model, q_more, q_rows
 
-MODULES = (q_rows, q_metrics, q_model, q_facts, q_more, q_laws, q_events)
+MODULES = (q_rows, q_metrics, q_model, q_facts, q_more, q_laws, q_events, q_inputs, q_kpis)
 
 
 def queries() -> dict:

@@ -85,6 +85,35 @@ def periods_between(grain: str, start: str, end: str) -> int:
     return (months(_end_month(end)) - months(_start_month(start))) // {"month": 1, "quarter": 3, "half": 6, "year": 12}[grain] + 1
 
 
+def ceiling(m: Metric) -> str | None:
+    """The highest level that a metric can be told at; None for one that is blocked or a draft.
+
+    A certified one needs a registered study for CAUSALITY and a registered rule for INTERPRETATION; others end at CONTEXT.
+    """
+    if m.status in ("BLOCKED", "DRAFT"):
+        return None
+    if m.status != "CERTIFIED":
+        return "CONTEXT"
+    return "CAUSALITY" if m.studies else "INTERPRETATION" if m.rules else "CONTEXT"
+
+
+def effective_level(asked: str, m: Metric, trust: str | None) -> tuple[str | None, str | None]:
+    """(level, why it is lower than asked): the least of what is asked, the metric's ceiling and what the data's trust allows.
+
+    No level is told of data that is BLOCKED or UNDETERMINED; LIMITED data ends at CONTEXT. Without a ledger of trust
+    (None) the ceiling alone counts.
+    """
+    top = ceiling(m)
+    if top is None:
+        return None, f"{m.id} is {m.status}"
+    if trust in ("BLOCKED", "UNDETERMINED"):
+        return None, f"the data's trust is {trust}"
+    why = f"the ceiling of {m.id} is {top}"
+    if trust == "LIMITED" and LEVELS.index(top) > LEVELS.index("CONTEXT"):
+        top, why = "CONTEXT", "trust LIMITED allows no interpretation"
+    return (asked, None) if LEVELS.index(asked) <= LEVELS.index(top) else (top, why)
+
+
 def validate(q: Question, catalog: dict[str, Metric], terms: dict[str, set], pending: dict[str, str] | None = None) -> Refusal | None:
     """The first of the checks that fails, in a fixed order; None if the question can be answered."""
     m = catalog.get(q.metric)
@@ -120,9 +149,9 @@ def validate(q: Question, catalog: dict[str, Metric], terms: dict[str, set], pen
     for name in m.mappings:
         if name in (pending or {}):
             return Refusal("MAPPING_PENDING", f"{m.id} depends on {name}: {pending[name]}", "decide the open exceptions")
-    ceiling = m.level if m.status == "CERTIFIED" else "FACT"
-    if LEVELS.index(q.level) > LEVELS.index(ceiling):
-        return Refusal("LEVEL_WITHOUT_EVIDENCE", f"{q.level} is not supported for {m.id}: the ceiling is {ceiling}", "register the evidence that the level needs")
+    top = ceiling(m)
+    if LEVELS.index(q.level) > LEVELS.index(top):
+        return Refusal("LEVEL_WITHOUT_EVIDENCE", f"{q.level} is not supported for {m.id}: the ceiling is {top}", "register the evidence that the level needs")
     if (q.compare == "declared_period") != (q.compare_period is not None) or (q.compare and q.compare not in COMPARISONS):
         return Refusal("COMPARISON_NOT_POSSIBLE", f"basis {q.compare!r} with period {q.compare_period!r}", f"use one of {', '.join(COMPARISONS)}; only a declared period has a period")
     return None
@@ -146,9 +175,15 @@ def ask(q: Question, catalog: dict[str, Metric], base: DataFrame, terms: dict[st
     shown = [r for r in rows if r["suppression"] == "no"]
     if not shown:
         return {"outcome": "SUPPRESSED", "rows": [], "minimum_n": m.minimum_n}
-    answer = {"outcome": "ANSWER", "rows": rows, "value": shown[0]["value"] if len(rows) == 1 else None, "trust": certified(m, q, trust or {}, len({r["period"] for r in rows}) / periods_between(q.grain, q.start, q.end)), "level": q.level}
+    told = certified(m, q, trust or {}, len({r["period"] for r in rows}) / periods_between(q.grain, q.start, q.end))
+    level, why = effective_level(q.level, m, None if trust is None else told)
+    if level is None:
+        return {"outcome": "REFUSAL", "refusal": Refusal("LEVEL_WITHOUT_EVIDENCE", f"{m.id} is told at no level in this cut: {why}", "resolve what lowers the trust")}
+    answer = {"outcome": "ANSWER", "rows": rows, "value": shown[0]["value"] if len(rows) == 1 else None, "trust": told, "level": level, "lowered": why}
     if q.compare:
         answer["comparison"] = _comparison(q, catalog, base, terms, answer)
+        if level == "CONTEXT" and not answer["comparison"]["possible"]:
+            answer |= {"level": "FACT", "lowered": "the basis of the comparison has no answer"}
     return answer
 
 

@@ -14,6 +14,18 @@ class SourceSpec:
     columns: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class InputSpec:
+    """How a dataset's rows become normalised ones: (name, its column, or None where it has none) for each name."""
+
+    system: str
+    dataset: str
+    id: str
+    columns: tuple[tuple[str, str | None], ...]
+    own_id: str | None = None  # the column of an entity id that the source itself carries
+    row_id: str = "_row_id"
+
+
 @dataclass(frozen=True)
 class StandardSpec:
     """Roles of a dataset's columns: dates with their declared format, decimals, and free text to repair."""
@@ -38,6 +50,10 @@ class Check:
     scope: dict | None = None
     metrics: tuple[str, ...] = ()
 
+    def __post_init__(self) -> None:
+        if self.finding not in FINDINGS:
+            raise ValueError(f"check {self.id}: no class of findings {self.finding!r}")
+
 
 # Classes of findings with the component that each counts for, severities that count, and bands of trust.
 #: Classes of findings; the component that each counts for.
@@ -47,6 +63,16 @@ COMPONENTS = {
     "identity": ("IDENTITY_UNRESOLVED",),
     "timeliness": ("STALE",),
 }
+#: What each class of findings says, and whether it waits for a decision or for data instead of being an error.
+FINDINGS = {
+    "INVALID": ("the value breaks a rule and is wrong", False),
+    "UNMAPPED": ("a value that is legitimate at its source has no approved mapping", True),
+    "DECISION_PENDING": ("a decision of the business is open; there is no technical answer", True),
+    "IDENTITY_UNRESOLVED": ("the person exists, the link between systems was not made", True),
+    "LEGITIMATELY_ABSENT": ("the field did not exist then, or leaving it out is the person's choice", True),
+    "DIVERGENT": ("two sources disagree; neither need be wrong", False),
+    "STALE": ("the data exists at its source and came late or not yet", True),
+}
 #: Reported, never counted against a metric.
 LEGITIMATE = ("LEGITIMATELY_ABSENT",)
 #: Severities that count.
@@ -72,4 +98,5 @@ class Metric:
     minimum_n: int = 5
     blockers: tuple[str, ...] = ()
     mappings: tuple[str, ...] = ()
-    level: str = "CONTEXT"
+    rules: tuple[str, ...] = ()  # registered rules of interpretation, by their owners' names for them
+    studies: tuple[str, ...] = ()  # registered causal studies

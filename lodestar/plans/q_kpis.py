@@ -49,7 +49,7 @@ def _as_of(rows, versions):
 
 
 def bases(spark, d) -> dict:
-    """The facts that plans read. The dimension of persons is computed once, for all of them."""
+    """The facts that plans read. The dimension of persons and the stock, which most plans read, are computed once."""
     versions = entity_dimension(spark, d).where("effective_from IS NOT NULL").select(F.col("o_custkey").alias("entity"), F.col("effective_from").cast("timestamp").alias("since"), "entity_sk", F.col("c_mktsegment").alias("segment"), "origin")
     versions = cut(versions)
     at = lambda c: F.to_date(c).cast("timestamp").alias("at")
@@ -59,10 +59,10 @@ def bases(spark, d) -> dict:
     first = orders.groupBy(F.col("o_custkey").alias("__e")).agg(F.min("o_orderdate").alias("first"))
     k = F.col("entity")
     declared, flag = F.col("o_orderstatus") != "P", F.when(k % 4 != 0, k % 4 == 1)
-    stock = seen.join(first, k == F.col("__e"), "left").select(
+    stock = cut(seen.join(first, k == F.col("__e"), "left").select(
         "entity", "level", "segment", "origin", *dates.PERIODS, F.col("o_totalprice").alias("fte"), dates.month_boundaries(F.col("first"), F.col("o_orderdate")).alias("tenure"), F.when(k >= 10, F.expr("entity div 10")).alias("manager"),
         declared.alias("declared"), F.when(F.col("segment") == "BUILDING", k).alias("in_group"), flag.alias("flag"), F.when(flag, k).alias("flagged"),
-    )
+    ))
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
     joined = lines.join(orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
     left = joined.where("l_returnflag = 'R'").groupBy(F.col("o_custkey").alias("entity")).agg(F.max("l_shipdate").alias("last"), F.max_by("o_orderpriority", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("level"))
@@ -76,7 +76,7 @@ def bases(spark, d) -> dict:
         F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("application_id"), F.col("o_orderpriority").alias("level"), F.lit(1).alias("offers"), accepted.cast("int").alias("accepts"),
         F.when(accepted, F.datediff("l_shipdate", "o_orderdate")).alias("days"), *_periods(F.col("l_shipdate")),
     )
-    return {"stock": stock, "exits": exits, "entries": entries, "requisitions": requisitions, "applications": applications, "reviews": seen.withColumn("reviews", F.lit(1))}
+    return {"stock": stock, "exits": exits, "entries": entries, "requisitions": requisitions, "applications": applications, "reviews": stock.withColumn("reviews", F.lit(1))}
 
 
 def _period_sql(c: str) -> str:

@@ -6,8 +6,12 @@ their logits averaged by the bytes they hold. The score is the softmax of that a
 
 The network is trained in one task on a bounded sample of labelled rows: at most ``sample_rows`` rows by a hash of
 their id and text, three windows of each. The sample is drawn label by label, so that a rare language has as many rows as
-a frequent one or all that it has; of more than ``most_labels`` labels the most frequent are learned. Every row is predicted. A null text or one without a letter is ``und`` with score 0; so
-is every text if there was nothing to learn from. Repeated rows are predicted alike.
+a frequent one or all that it has; no label is left out while there are fewer labels than rows of the sample, beyond which
+the most frequent are learned. Every row is predicted, a very long text window by window in bounded memory. A null text or
+one without a letter is ``und`` with score 0; so is every text if there was nothing to learn from; an empty table has no
+rows. Of languages with equal scores the first by name counts. Repeated rows have one language and scores that are
+equal but for rounding in single precision, as the batch that a window is in sets the order of sums. Other columns are not
+looked at, whatever they are called.
 """
 
 from __future__ import annotations
@@ -123,11 +127,11 @@ def windows_of(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     return out, doc, held
 
 
-def fitted(docs: DataFrame, train: Column, doc: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = 3000, most_labels: int = 200, width: int = 256) -> Net | None:
+def fitted(docs: DataFrame, train: Column, doc: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = 3000, width: int = 256) -> Net | None:
     """A network trained on at most ``sample_rows`` of the rows with ``train`` and a label; None if there are none."""
     named = docs[label].cast("string")
     rows = docs.where(train & docs[label].isNotNull() & docs[text].isNotNull())
-    counts = rows.groupBy(named.alias("label")).count().orderBy(F.desc("count"), "label").limit(most_labels).collect()
+    counts = rows.groupBy(named.alias("label")).count().orderBy(F.desc("count"), "label").limit(sample_rows).collect()
     if not counts:
         return None
     shares, left = [], sample_rows

@@ -50,6 +50,30 @@ def test_forward_against_loops():
         assert np.allclose(got, want, atol=1e-4)
 
 
+def test_average_of_windows_against_loops(spark):
+    """Each text's windows weigh by the bytes they hold, the last one too; a text without a letter is not told."""
+    _store.ship(spark)
+    net, rng = Net(["x", "y", "z"], width=16, seed=5), np.random.default_rng(2)
+    texts = ["".join(chr(c) for c in rng.integers(97, 123, n)) for n in (1, 15, 16, 17, 32, 33, 200, 5000)] + ["é" * 21, "12 34", "", None]
+    rows = [(k, t, "clash") for k, t in enumerate(texts)] + [(99, texts[3], "clash")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predicted(spark.createDataFrame(rows, "doc_id long, text string, score string"), net).collect()}
+    for k, t in enumerate(texts):
+        if not any(c.isalpha() for c in t or ""):
+            assert got[k] == ("und", 0.0)
+            continue
+        raw = np.frombuffer(t.encode(), np.uint8)
+        mean = sum(net.logits(np.pad(w, (0, 16 - len(w)))[None])[0] * len(w) for w in (raw[i : i + 16] for i in range(0, len(raw), 16))) / len(raw)
+        share = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        assert got[k][0] == net.labels[share.argmax()] and abs(got[k][1] - share.max()) < 1e-5
+    assert got[99][0] == got[3][0] and abs(got[99][1] - got[3][1]) < 1e-6
+
+
+def test_no_label_is_left_out(spark):
+    _store.ship(spark)
+    docs = spark.createDataFrame([(k, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 5} " * 12, f"l{k:03}") for k in range(230)], "doc_id long, text string, lang string")
+    assert fitted(docs, F.lit(True)).labels == [f"l{k:03}" for k in range(230)]
+
+
 def test_rare_labels_are_learned(spark):
     _store.ship(spark)
     data = [(k, "the and of to in " * 20, "en") for k in range(600)] + [(1000 + k, "qqq www zzz xxx " * 20, "rare") for k in range(6)]

@@ -27,12 +27,37 @@ def recovery(told: DataFrame, truth: DataFrame, key: str, told_value: str, true_
     return sums.withColumn("recovered_rate", F.round(F.try_divide("recovered", "rows"), 6))
 
 
+def six_decimals(c: Column) -> Column:
+    """A double with six decimals as C's printf tells it: its exact value is rounded, and a tie goes to the even digit.
+
+    Java rounds the shortest text of a double, and ties away from zero. Where that would be wrong, the value goes one step
+    towards zero first. Twice a million times the value is told exactly as a product and its error (Dekker), an odd number
+    is a tie. From 2^31 on the whole part is told apart; from 2^63 on digits are Java's.
+    """
+    v = c.cast("double")
+
+    def rounded(x: Column) -> Column:
+        a = F.abs(x)
+        high = a * 134217729.0 - (a * 134217729.0 - a)
+        product = a * 2e6
+        tie = F.rint(product)
+        off = (product - tie) + ((high * 2e6 - product) + (a - high) * 2e6)
+        down = (tie % 2 == 1) & ((off < 0) | ((off == 0) & (tie % 4 == 1)))
+        return F.format_string("%.6f", x * F.when(down, 1 - 2.0**-52).otherwise(1.0))
+
+    whole = F.floor(F.abs(v))
+    part = rounded(F.abs(v) - whole)
+    far = F.concat(F.when(v < 0, "-").otherwise(""), (whole + F.substring(part, 1, 1).cast("bigint")).cast("string"), F.substring(part, 2, 7))
+    odd = F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
+    return F.when(F.abs(v) < 2.0**31, rounded(v)).when(F.abs(v) < 2.0**63, far).otherwise(F.coalesce(odd, F.format_string("%.6f", v)))
+
+
 def as_text(c: Column, kind: T.DataType) -> Column:
     """A value as text, the same in any engine: six decimals of a fraction, seconds of a time, values of an array by commas."""
     if isinstance(kind, T.ArrayType):
         text = F.array_join(F.transform(c, lambda x: as_text(x, kind.elementType)), ",", "?")
     elif isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-        text = F.format_string("%.6f", c.cast("double"))
+        text = six_decimals(c)
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     else:

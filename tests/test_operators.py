@@ -83,6 +83,18 @@ def test_content_hash_ignores_order(spark):
     assert reconcile.content_hash(a).first() != reconcile.content_hash(a.fillna("")).first()
 
 
+def test_six_decimals_as_printf(spark):
+    import random
+
+    rnd = random.Random(3)
+    values = [-0.0703125, 0.0078125, 0.0234375, 1.0000005, 1.0000035, 0.0, -0.0, 0.9999995, 0.99999951, 2147483648.9999998, 12345678901234.567, -(2.0**40) - 2**-7, 2.0**62, float("nan"), float("inf")]
+    values += [s * rnd.randrange(10**k) * 1e-7 for k in range(1, 15) for s in (1, -1) for _ in range(200)] + [rnd.randrange(-(2**12), 2**12) / 128 for _ in range(500)] + [rnd.uniform(-1e9, 1e9) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.t for r in df.select(reconcile.six_decimals(F.col("v")).alias("t")).collect()] == ["%.6f" % v for v in values]
+    floats = spark.createDataFrame([([-0.0703125, 0.0078125, None],)], "a array<float>")
+    assert floats.select(reconcile.as_text(F.col("a"), floats.schema["a"].dataType)).first()[0] == "-0.070312,0.007812,?"
+
+
 def test_provenance():
     same = {"seed": 1, "profile": "x", "scale": 2}
     assert reconcile.provenance({"a": same, "b": dict(same)})["status"] == "OK"

@@ -41,8 +41,11 @@ def with_reasons(versions: DataFrame, movements: DataFrame, entity: str) -> Data
 
 
 def history_faults(versions: DataFrame, entity: str) -> DataFrame:
-    """(entity, fault) where versions overlap, leave a gap, or several or none are current."""
-    following = F.lead("effective_from").over(W.partitionBy(entity).orderBy("effective_from"))
+    """(entity, fault) where versions overlap, leave a gap, or several or none are current.
+
+    Of versions that begin together those that end first come first, so one that was replaced on its first day is no fault.
+    """
+    following = F.lead("effective_from").over(W.partitionBy(entity).orderBy("effective_from", "effective_to"))
     fault = F.when(following <= F.col("effective_to"), "OVERLAP").when(F.datediff(following, F.col("effective_to")) > 1, "GAP")
     found = versions.select(entity, fault.alias("fault")).where("fault IS NOT NULL")
     current = versions.groupBy(entity).agg(F.count_if("is_current").alias("n")).where("n <> 1").select(entity, F.lit("NOT_ONE_CURRENT").alias("fault"))

@@ -95,6 +95,13 @@ def test_six_decimals_as_printf(spark):
     assert floats.select(reconcile.as_text(F.col("a"), floats.schema["a"].dataType)).first()[0] == "-0.070312,0.007812,?"
 
 
+def test_a_version_replaced_on_its_first_day_is_no_fault(spark):
+    rows = [("a", "2020-01-01", "2020-01-31"), ("a", "2020-02-01", "9999-12-31"), ("a", "2020-02-01", "2020-01-31"), ("a", "2020-02-01", "2020-01-31")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(*r, r[2] == versions.OPEN_END) for r in order], "e string, effective_from string, effective_to string, is_current boolean").coalesce(1)
+        assert versions.history_faults(df, "e").collect() == []
+
+
 def test_provenance():
     same = {"seed": 1, "profile": "x", "scale": 2}
     assert reconcile.provenance({"a": same, "b": dict(same)})["status"] == "OK"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes up to which a dictionary or dimension is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
@@ -40,11 +41,15 @@ def as_of(df: DataFrame, versions: DataFrame, key: str, time: str, since: str, t
 
     Versions and rows meet in buckets of key and ``period``, so a key that a third of the rows have is dealt over time.
     What a bucket starts with is the last version of the key's earlier buckets, from a table of one row a bucket.
-    Of versions that begin together the largest ``take`` counts. Null keys and times match nothing.
+    Of versions that begin together the largest ``take`` counts. Null keys and times match nothing; such rows are dealt by
+    their other columns, so that they don't land in one task.
     """
     ready = versions.where(F.col(key).isNotNull() & F.col(since).isNotNull())
     version = F.struct(F.col(since).alias("since"), *take)
     rows = df.withColumn("__bucket", F.date_trunc(period, time))
+    plain = [df[f.name] for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    place = F.when(F.col(key).isNotNull() & F.col("__bucket").isNotNull(), F.xxhash64(F.col(key), "__bucket")).otherwise(F.xxhash64(*plain))
+    rows = rows.withColumn("__place", place)
     starts = ready.select(F.col(key).alias("__key"), F.date_trunc(period, since).alias("__bucket"), version.alias("__version"))
     last = starts.groupBy("__key", "__bucket").agg(F.max("__version").alias("__last"))
     asked = rows.where(F.col(key).isNotNull() & F.col("__bucket").isNotNull()).select(F.col(key).alias("__key"), "__bucket").distinct()
@@ -52,7 +57,8 @@ def as_of(df: DataFrame, versions: DataFrame, key: str, time: str, since: str, t
     carried = asked.join(last, ["__key", "__bucket"], "full").withColumn("__before", F.last("__last", ignorenulls=True).over(along)).select("__key", "__bucket", "__before")
     within = starts.groupBy("__key", "__bucket").agg(F.array_sort(F.collect_list("__version")).alias("__versions"))
     state = carried.join(within, ["__key", "__bucket"], "left").where(F.col("__before").isNotNull() | F.col("__versions").isNotNull())
-    joined = rows.join(state, (rows[key] == state["__key"]) & (rows["__bucket"] == state["__bucket"]), "left").drop(state["__bucket"])
+    state = state.withColumn("__of", F.xxhash64("__key", "__bucket"))
+    joined = rows.join(state, (rows["__place"] == state["__of"]) & (rows[key] == state["__key"]) & (rows["__bucket"] == state["__bucket"]), "left").drop(state["__bucket"])
     hit = F.coalesce(F.try_element_at(F.filter("__versions", lambda v: v["since"] <= F.col(time)), F.lit(-1)), F.col("__before"))
     joined = joined.withColumn("__hit", hit)
     return joined.select(*df.columns, *[F.col(f"__hit.{c}").alias(c) for c in take])

@@ -102,6 +102,20 @@ def test_a_version_replaced_on_its_first_day_is_no_fault(spark):
         assert versions.history_faults(df, "e").collect() == []
 
 
+def test_as_of_deals_rows_without_a_key(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 0, F.col("id")).alias("k"), F.timestamp_seconds("id").alias("at"), "id")
+    known = spark.createDataFrame([(1, 1)], "k long, v int").withColumn("since", F.timestamp_seconds("v"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sizes = [r["count"] for r in lookups.as_of(rows, known, "k", "at", "since", ["v"]).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
 def test_provenance():
     same = {"seed": 1, "profile": "x", "scale": 2}
     assert reconcile.provenance({"a": same, "b": dict(same)})["status"] == "OK"

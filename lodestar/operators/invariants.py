@@ -5,9 +5,9 @@ Rules are data. Those over the same rows share a scan, those over keys of the wh
 - ``Rule``: a condition on a row; all rules of a frame are one aggregate.
 - ``Unique``, ``Known``, ``Disjoint``: keys that stand once, that another frame has, that no other frame has. Every frame is
   read once, its keys go out tagged with their rules, and one aggregate by (rule, key) decides all; keys are combined before
-  they are shuffled, so a key of a third of the rows is a row for each task.
-- ``Within``: events inside a tenure of their entity. Events of all frames are counted by (rule, entity, day) first, so an
-  entity has at most a row a day, however many events it has, when it meets its tenures.
+  they are shuffled, so a key of a third of the rows is a row for each task. A rule is a number and a key one text there.
+- ``Within``: events inside a tenure of their entity. Events of all frames are counted by (entity, day) first, so an entity
+  has at most a row a day, however many events it has, when it meets its tenures, which are one row.
 - ``History``: versions of an entity, from one sort.
 - ``Planned``, ``Falling``, ``Steady``, ``Rates``, ``Trend``, ``Reaching``: counts and shares against a plan or along ranks, with
   tolerances that follow the size of the sample.
@@ -214,43 +214,53 @@ def _rows(rules: list, df: DataFrame) -> DataFrame:
     return got.select("r.*", none.alias("measure"), none.alias("allowed"))
 
 
-def _keys(rules: list, frames: dict[str, DataFrame]) -> DataFrame:
-    """Keys of all rules, each frame read once, decided by one aggregate."""
+def _tagged(rules: list, frames: dict[str, DataFrame]) -> DataFrame:
+    """(rule, key, left, right) of the keys of all rules, each frame read once: the rule's place and the key as one text.
+
+    Parts of a key of several columns follow their lengths, so unlike keys have unlike texts.
+    """
     tagged = defaultdict(list)
-    for r in rules:
-        tagged[r.frame].append((r.id, "left", r.columns, getattr(r, "where", "true")))
+    for k, r in enumerate(rules):
+        tagged[r.frame].append((k, "left", r.columns, getattr(r, "where", "true")))
         if isinstance(r, Known):
-            tagged[r.other].append((r.id, "right", r.others, "true"))
+            tagged[r.other].append((k, "right", r.others, "true"))
     parts = []
     for frame, uses in tagged.items():
         each = []
         for rule, side, columns, where in uses:
             full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]) & _yes(where)
-            key = F.array(*[F.col(c).cast("string") for c in columns])
+            texts = [F.col(c).cast("string") for c in columns]
+            key = texts[0] if len(texts) == 1 else F.concat(*[x for t in texts for x in (F.length(t).cast("string"), F.lit(":"), t)])
             each.append(F.when(full, F.struct(F.lit(rule).alias("rule"), key.alias("key"), F.lit(side == "left").cast("bigint").alias("left"), F.lit(side == "right").cast("bigint").alias("right"))))
         parts.append(frames[frame].select(F.explode(F.array_compact(F.array(*each))).alias("k")).select("k.*"))
-    counted = reduce(DataFrame.unionByName, parts).groupBy("rule", "key").agg(F.sum("left").alias("left"), F.sum("right").alias("right"))
-    kind = F.create_map(*[F.lit(x) for r in rules for x in (r.id, type(r).__name__)])[F.col("rule")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _keys(rules: list, frames: dict[str, DataFrame]) -> DataFrame:
+    """Keys of all rules, each frame read once, decided by one aggregate."""
+    counted = _tagged(rules, frames).groupBy("rule", "key").agg(F.sum("left").alias("left"), F.sum("right").alias("right"))
+    kind = F.element_at(F.array(*[F.lit(type(r).__name__) for r in rules]), F.col("rule") + 1)
     bad = F.when(kind == "Unique", F.col("left") > 1).when(kind == "Known", (F.col("left") > 0) & (F.col("right") == 0)).otherwise((F.col("left") > 0) & (F.col("right") > 0))
-    found = counted.groupBy("rule").agg(F.sum("left").alias("evaluated"), F.count_if(bad).alias("violations"))
-    every = frames[rules[0].frame].sparkSession.createDataFrame([(r.id,) for r in rules], "rule string")  # an empty frame has no keys
+    found = counted.groupBy(F.col("rule").alias("k")).agg(F.sum("left").alias("evaluated"), F.count_if(bad).alias("violations"))
+    every = frames[rules[0].frame].sparkSession.createDataFrame([(k, r.id) for k, r in enumerate(rules)], "k int, rule string")  # an empty frame has no keys
     none = F.lit(None).cast("double")
-    return every.join(F.broadcast(found), "rule", "left").select("rule", F.coalesce("evaluated", F.lit(0)).alias("evaluated"), F.coalesce("violations", F.lit(0)).alias("violations"), none.alias("measure"), none.alias("allowed"))
+    return every.join(F.broadcast(found), "k", "left").select("rule", F.coalesce("evaluated", F.lit(0)).alias("evaluated"), F.coalesce("violations", F.lit(0)).alias("violations"), none.alias("measure"), none.alias("allowed"))
 
 
 def _within(rules: list[Within], frames: dict[str, DataFrame]) -> DataFrame:
-    """Events of all rules that look at the same tenures, in one join."""
+    """Events of all rules that look at the same tenures: an entity's days with their events meet its tenures, a row of them."""
     first = rules[0]
     entity, since, to = first.of
-    events = [frames[r.frame].select(F.lit(r.id).alias("rule"), F.col(r.entity).cast("string").alias("entity"), F.to_date(r.date).alias("day")) for r in rules]
-    counted = reduce(DataFrame.unionByName, events).where("entity IS NOT NULL AND day IS NOT NULL").groupBy("rule", "entity", "day").agg(F.count(F.lit(1)).alias("n"))
-    tenures = frames[first.tenures].select(F.col(entity).cast("string").alias("entity"), F.to_date(since).alias("since"), F.to_date(to).alias("to")).distinct()
-    inside = (F.col("day") >= F.col("since")) & (F.col("to").isNull() | (F.col("day") <= F.col("to")))
-    met = counted.join(tenures, "entity").groupBy("rule", "entity", "day").agg(F.first("n").alias("n"), F.max(F.coalesce(inside, F.lit(False))).alias("inside"))
-    found = met.groupBy("rule").agg(F.sum("n").alias("evaluated"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("violations"))
-    every = counted.sparkSession.createDataFrame([(r.id,) for r in rules], "rule string")
+    sides = [f"n{k}" for k in range(len(rules))]
+    events = [frames[r.frame].select(F.col(r.entity).cast("string").alias("entity"), F.to_date(r.date).alias("day"), *[F.lit(int(j == k)).cast("bigint").alias(n) for j, n in enumerate(sides)]) for k, r in enumerate(rules)]
+    counted = reduce(DataFrame.unionByName, events).where("entity IS NOT NULL AND day IS NOT NULL").groupBy("entity", "day").agg(*[F.sum(n).alias(n) for n in sides])
+    tenures = frames[first.tenures].select(F.col(entity).cast("string").alias("entity"), F.struct(F.to_date(since).alias("since"), F.to_date(to).alias("to")).alias("t"))
+    tenures = tenures.where("entity IS NOT NULL").groupBy("entity").agg(F.collect_set("t").alias("tenures"))
+    inside = F.exists("tenures", lambda t: F.coalesce((F.col("day") >= t["since"]) & (t["to"].isNull() | (F.col("day") <= t["to"])), F.lit(False)))
+    each = [F.struct(F.lit(r.id).alias("rule"), F.coalesce(F.sum(n), F.lit(0)).alias("evaluated"), F.coalesce(F.sum(F.when(~F.col("inside"), F.col(n))), F.lit(0)).alias("violations")) for n, r in zip(sides, rules, strict=True)]
     none = F.lit(None).cast("double")
-    return every.join(F.broadcast(found), "rule", "left").select("rule", F.coalesce("evaluated", F.lit(0)).alias("evaluated"), F.coalesce("violations", F.lit(0)).alias("violations"), none.alias("measure"), none.alias("allowed"))
+    met = counted.join(tenures, "entity").select(inside.alias("inside"), *sides)
+    return met.agg(F.array(*each).alias("r")).select(F.explode("r").alias("r")).select("r.*", none.alias("measure"), none.alias("allowed"))
 
 
 def _history(r: History, df: DataFrame) -> DataFrame:
@@ -261,7 +271,9 @@ def _history(r: History, df: DataFrame) -> DataFrame:
     each = v.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.count_if("c").alias("current"), yes(F.col("t") >= F.col("next")).alias("overlap"), yes(F.datediff("next", "t") != 1).alias("gap"), yes((F.col("k") == 1) & (F.col("s") != F.col("b"))).alias("begin"))
     total = each.agg(F.count(F.lit(1)).alias("entities"), F.sum("n").alias("rows"), F.count_if(F.col("current") != 1).alias("current"), *[F.sum(c).alias(c) for c in ("overlap", "gap", "begin")])
     of = {"current": "entities", "overlap": "rows", "gap": "rows", "begin": "entities"}
-    return reduce(DataFrame.unionByName, [_row(total, f"{r.id}.{c}", F.col(n), F.col(c)) for c, n in of.items()])
+    rows = [F.struct(F.lit(f"{r.id}.{c}").alias("rule"), F.coalesce(n, F.lit(0)).alias("evaluated"), F.coalesce(c, F.lit(0)).alias("violations")) for c, n in of.items()]
+    none = F.lit(None).cast("double")
+    return total.select(F.explode(F.array(*rows)).alias("r")).select("r.*", none.alias("measure"), none.alias("allowed"))
 
 
 def _planned(r: Planned, frames: dict[str, DataFrame]) -> DataFrame:

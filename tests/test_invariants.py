@@ -149,3 +149,29 @@ def test_keys_of_the_star_share_one_scan_each(spark):
     names = {r.frame for r in keys} | {r.other for r in keys if isinstance(r, own.Known)}
     plan = own.checked(keys, frames(spark, star()))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == len(names) and own.blocking(own.checked(keys, frames(spark, star()))).count() == 0
+
+
+def test_keys_are_one_text_and_meet_whatever_their_types(spark):
+    frames = {
+        "a": spark.createDataFrame([(1, 7), (1, 8), (2, 9), (None, 7), (3, None)], "k int, p int"),
+        "b": spark.createDataFrame([("1", 7), ("2", 7), ("2", None)], "k string, p long"), "c": spark.createDataFrame([], "k long"),
+        "d": spark.createDataFrame([("1:2", "3"), ("1", "2:3"), ("12", "3"), ("1", "23")], "x string, y string"),
+    }
+    rules = [
+        own.Unique("a_once", "a", ("k",)), own.Known("p_known", "a", ("p",), "b", ("p",)), own.Known("k_known", "a", ("k",), "b", ("k",), "p > 7"), own.Unique("both_once", "a", ("k", "p")),
+        own.Disjoint("apart", "b", ("k",), "c", ("k",)), own.Unique("b_once", "b", ("k",)), own.Unique("none", "c", ("k",)), own.Unique("parts", "d", ("x", "y")),
+    ]
+    assert own._tagged(rules, frames).dtypes[:2] == [("rule", "int"), ("key", "string")]
+    got = {r.rule: (r.evaluated, r.violations) for r in own.checked(rules, frames).collect()}
+    assert got == {"a_once": (4, 1), "p_known": (4, 2), "k_known": (2, 0), "both_once": (3, 0), "apart": (3, 0), "b_once": (3, 1), "none": (0, 0), "parts": (4, 0)}
+
+
+def test_days_meet_all_tenures_of_their_entity_at_once(spark):
+    """One aggregate of the days, one of the tenures, one of the result; an entity without a tenure is not evaluated."""
+    frames = {
+        "t": spark.createDataFrame([("1", "2020-01-01", "2020-01-31"), ("1", "2020-03-01", None), ("1", "2020-03-01", None), ("2", None, None), (None, "2020-01-01", None)], "e string, a string, z string"),
+        "x": spark.createDataFrame([(1, "2020-01-15"), (1, "2020-01-15"), (1, "2020-02-01"), (1, "2021-01-01"), (2, "2020-01-01"), (3, "2020-01-01"), (1, None)], "e int, d string"), "y": spark.createDataFrame([(1, "2019-01-01")], "e int, d string"),
+    }
+    got = own.checked([own.Within("x", "x", "e", "d", "t", ("e", "a", "z")), own.Within("y", "y", "e", "d", "t", ("e", "a", "z"))], frames)
+    assert {r.rule: (r.evaluated, r.violations) for r in got.collect()} == {"x": (5, 2), "y": (1, 1)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3

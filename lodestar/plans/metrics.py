@@ -30,9 +30,18 @@ def measured(metric: Metric) -> list[Column]:
 
 
 def last_period_rows(base: DataFrame, fine: str, coarse: str) -> DataFrame:
-    """Rows of the last fine period within each coarse one, whatever is filtered later."""
-    last = base.groupBy(F.col(coarse).alias("__c")).agg(F.max(fine).alias("__last"))
-    return base.join(last, (base[coarse] == F.col("__c")) & (base[fine] == F.col("__last")), "left_semi")
+    """Rows of the last fine period within each coarse one, whatever is filtered later. The calendar bounds what is broadcast."""
+    periods = base.select(F.col(coarse).alias("__c"), F.col(fine).alias("__f")).distinct()  # hashed, where a maximum of texts would sort all rows
+    last = periods.groupBy("__c").agg(F.max("__f").alias("__last"))
+    return base.join(F.broadcast(last), (base[coarse] == F.col("__c")) & (base[fine] == F.col("__last")), "left_semi")
+
+
+def _medians(metric: Metric, base: DataFrame, groups: list[Column], names: list[str]) -> DataFrame:
+    """Medians from counts of equal values: beside a distinct count they would carry a buffer for each member of the population."""
+    counts = base.groupBy(*groups, F.col(metric.value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    members = base.groupBy(*groups).agg(F.count_distinct(metric.population).alias("population"))
+    both = counts.unionByName(members, allowMissingColumns=True)
+    return both.groupBy(*names).agg(F.percentile("__v", 0.5, F.col("__n")).alias("value"), F.max("population").alias("population"))
 
 
 def evaluated(metric: Metric, base: DataFrame, grain: str, periods: tuple[str, str] | None = None, dimensions: tuple[str, ...] = (), filters: dict[str, list] | None = None) -> DataFrame:
@@ -47,7 +56,10 @@ def evaluated(metric: Metric, base: DataFrame, grain: str, periods: tuple[str, s
         base = base.where(F.col(grain).between(*periods))
     for c, members in (filters or {}).items():
         base = base.where(F.col(c).isin(list(members)))
-    return base.groupBy(F.col(grain).alias("period"), *dimensions).agg(*measured(metric), F.count_distinct(metric.population).alias("population"))
+    groups = [F.col(grain).alias("period"), *[F.col(c) for c in dimensions]]
+    if metric.measure == "median":
+        return _medians(metric, base, groups, ["period", *dimensions])
+    return base.groupBy(*groups).agg(*measured(metric), F.count_distinct(metric.population).alias("population"))
 
 
 def turnover(exits: DataFrame, stock: DataFrame, period: str, month: str, exit_id: str, entity: str, dimensions: tuple[str, ...] = ()) -> DataFrame:

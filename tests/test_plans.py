@@ -5,6 +5,7 @@ from lodestar.plans import metrics
 from lodestar.plans.governance import Decisions
 from lodestar.plans.q_metrics import CATALOG, order_base
 from lodestar.plans.questions import Actor, PrivacyGuard, Question, QuestionShapeError, ask, changed_version, validate
+from lodestar.specs import Metric
 
 DATA = "/root/testdata/sf0.001"
 TERMS = {"region": {"ASIA", "EUROPE"}}
@@ -129,3 +130,22 @@ def test_mapping_file(tmp_path):
 
     assert write_mapping(f"{tmp_path}/m.csv", "level", [("b", "B"), ("a", "A")], [("", "2020-12-31"), ("2021-01-01", "")]) == 4
     assert (tmp_path / "m.csv").read_text().splitlines()[1].startswith("LEVEL_0001,*,level,a,A,APPROVED")
+
+
+def test_last_periods_are_sent_to_the_rows(spark):
+    """The few periods that stay are broadcast; rows are not shuffled for them."""
+    base = spark.createDataFrame([(f"2020-{m:02d}", "2020", e) for m in (1, 2, 12) for e in range(m)] + [("2021-03", "2021", 7), (None, "2022", 8)], "month string, year string, entity int")
+    rows = metrics.last_period_rows(base, "month", "year")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted(rows.groupBy("month").count().collect()) == [("2020-12", 12), ("2021-03", 1)]
+
+
+def test_medians_carry_no_buffer_for_each_member(spark):
+    """Medians come from counts of values; rows without a value or a dimension count for the population alone."""
+    rows = [("2020", "a", 1, 4), ("2020", "a", 1, 4), ("2020", "a", 2, 9), ("2020", "a", 3, None), ("2020", None, 4, 7), ("2021", "a", 5, None), (None, "a", 6, 1)]
+    base = spark.createDataFrame(rows, "year string, part string, id int, days int")
+    got = metrics.evaluated(Metric("m", "median", "days", population="id", dimensions=("part",), grain="year"), base, "year", dimensions=("part",))
+    assert {tuple(r) for r in got.collect()} == {("2020", "a", 4.0, 3), ("2020", None, 7.0, 1), ("2021", "a", None, 1), (None, "a", 1.0, 1)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "median(" not in plan and not any("percentile(" in x and "count(" in x for x in plan.splitlines())

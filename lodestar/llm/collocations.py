@@ -11,8 +11,10 @@ tabs into words. All is counted by language (null: ``und``).
 2. Automata. Texts are read in shards of bounded bytes, language by language. The runs of a shard that may be frequent
    compile into an automaton of phrases with a space before and behind each, a guard that no part of a word passes; it scans
    the shard and counts matches, overlapping ones too. As an automaton has what its own shard holds, it is bounded by it,
-   however many candidates the corpus has.
-3. Sums of the shards' counts by language and phrase are exact; thresholds, cuts and rules about longer phrases are joins.
+   however many candidates the corpus has. A shard hands on a phrase with the matches at which none of its longer candidates
+   begins: each word begins one such match at most, so rows are at most one for each word.
+3. Sums of the shards' rows by language and phrase, and of those over the phrases that begin with a phrase, are its exact
+   counts; thresholds, cuts and rules about longer phrases are joins.
 
 A text of any length is read in chunks; a piece longer than a chunk is cut between words with three words in both parts, and
 what these three have in both is counted off once. Null and empty texts, and texts of delimiters alone, have no words. Ids
@@ -109,12 +111,24 @@ def _salt(lang: str) -> int:
 def shards(batches: Iterator[pa.RecordBatch], most: int = SHARD) -> Iterator[tuple[str, bytes, bytes]]:
     """(language, chunk of guarded texts, the words that the next chunk has too) of bounded bytes."""
     held: dict[str, list[bytes]] = {}
+    rest: dict[str, bytes] = {}
     size: Counter[str] = Counter()
 
-    def out(lang: str) -> Iterator[tuple[str, bytes, bytes]]:
+    def out(lang: str, last: bool) -> Iterator[tuple[str, bytes, bytes]]:
         size.pop(lang)
-        for chunk, twice in chunks(guarded(held.pop(lang)), most):
-            yield lang, chunk, twice
+        data, texts = rest.pop(lang, b""), held.pop(lang, [])
+        if texts:
+            data = data[:-3] + guarded(texts)
+        full = None
+        for chunk, twice in chunks(data, most):
+            if full:
+                yield lang, *full
+            full = chunk, twice
+        if last or len(full[0]) == len(data) or len(full[0]) >= most:
+            yield lang, *full
+        else:  # what is over begins the language's next shard
+            rest[lang] = full[0]
+            size[lang] = len(full[0])
 
     for piece in pieces(batches, "text"):
         langs, texts = pc.fill_null(piece.column("lang"), "und").to_pylist(), pc.fill_null(piece.column("text"), "").cast(pa.binary())
@@ -122,11 +136,11 @@ def shards(batches: Iterator[pa.RecordBatch], most: int = SHARD) -> Iterator[tup
             held.setdefault(lang, []).append(text.as_py())
             size[lang] += len(held[lang][-1]) + 3
             if size[lang] >= most:
-                yield from out(lang)
+                yield from out(lang, False)
             elif size.total() >= 3 * most:
-                yield from out(size.most_common(1)[0][0])
-    for lang in list(held):
-        yield from out(lang)
+                yield from out(size.most_common(1)[0][0], True)
+    for lang in list(size):
+        yield from out(lang, True)
 
 
 def _cells(source: DataFrame, bits: int, least: int, sizes: tuple[int, ...], known: tuple | None, most: int) -> np.ndarray:
@@ -214,6 +228,21 @@ def shard_counts(chunk: bytes, twice: bytes, runs: Runs) -> tuple[list[str], lis
     return [own.phrases[k][1:-1] for k in counts], list(counts.values()), _words(chunk) - _words(twice)
 
 
+def beyond(phrases: list[str], counts: list[int]) -> tuple[list[str], list[int]]:
+    """Phrases with their counts less those of phrases longer by a word that begin with them, where any is left.
+
+    Each run that is counted has its first words counted too, so a phrase's count is the sum of what the phrases that begin
+    with it, and it itself, have left.
+    """
+    left = dict(zip(phrases, counts, strict=True))
+    for phrase, count in zip(phrases, counts, strict=True):
+        first = phrase.rpartition(" ")[0]
+        if first in left:
+            left[first] -= count
+    left = {phrase: count for phrase, count in left.items() if count}
+    return list(left), list(left.values())
+
+
 def _words(chunk: bytes) -> int:
     """Words of a guarded text: what stands between spaces, but for line breaks."""
     return max(0, chunk.count(b" ") - 1) - chunk.count(b"\n")
@@ -238,10 +267,13 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, text: str = "text", lang
             runs.narrowed(short.value, shift, (1, 2))
             runs.narrowed(long.value, shift, (3, 4))
             phrases, counts, words = shard_counts(chunk, twice, runs)
+            phrases, counts = beyond(phrases, counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(counts) + 1), pa.string()), pa.array([*phrases, ""], pa.string()), pa.array([*counts, words], pa.int64())], names=kind.names)
         release()
 
-    counted = source.mapInArrow(scanned, kind).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    left = source.mapInArrow(scanned, kind).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    firsts = left.select("lang", F.expr("explode(transform(sequence(1, size(split(phrase, ' ', -1))), n -> substring_index(phrase, ' ', n)))").alias("phrase"), "f")
+    counted = firsts.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return counted.where((F.col("f") >= min_count) | (F.col("phrase") == ""))
 
 

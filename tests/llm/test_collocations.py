@@ -5,10 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestar.llm import _store
-from lodestar.llm.collocations import Automaton, Runs, chunks, collocations, guarded, phrase_counts, shard_counts
+from lodestar.llm.collocations import Automaton, Runs, beyond, chunks, collocations, guarded, phrase_counts, shard_counts, shards
 
 _UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -104,3 +105,57 @@ def test_long_text(spark):
 def test_empty_table(spark):
     _store.ship(spark)
     assert collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
+
+
+def test_a_shard_hands_on_a_row_a_word_at_most():
+    """Every run of 500 different words may be frequent: 4 * 500 - 6 runs, of which each word begins one that no longer one has."""
+    data = guarded([" ".join(f"w{k}" for k in range(500)).encode(), b"a b a b", b"a b"])
+    phrases, counts, words = shard_counts(data, b"", Runs(data, 1))
+    left = dict(zip(*beyond(phrases, counts), strict=True))
+    assert len(phrases) > 3 * words and len(left) <= words and sum(left.values()) == words
+    assert {p: n for p, n in left.items() if p[0] != "w"} == {"a b a b": 1, "b a b": 1, "a b": 2, "b": 2}
+    sums = Counter()
+    for phrase, n in left.items():
+        w = phrase.split(" ")
+        sums.update({" ".join(w[:k]): n for k in range(1, len(w) + 1)})
+    assert sums == dict(zip(phrases, counts, strict=True))
+
+
+def received(df):
+    """Rows that Spark took from the Python nodes of a query that has run."""
+
+    def under(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            return under(node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan())
+        below = node.children()
+        own = node.metrics().apply("pythonNumRowsReceived").value() if name == "MapInArrowExec" else 0
+        return own + sum(under(below.apply(k)) for k in range(below.size()))
+
+    return under(df._jdf.queryExecution().executedPlan())
+
+
+def test_rows_of_the_scan_are_no_more_than_words(spark):
+    """Forty partitions of the same 300 different words, each run at 40: the scan told 1,195 rows of each, now 301."""
+    _store.ship(spark)
+    text = " ".join(f"w{k}" for k in range(300))
+    df = phrase_counts(spark.createDataFrame([(text, "en")] * 40, "text string, lang string").repartition(40))
+    rows = df.collect()
+    assert len(rows) == 4 * 300 - 6 + 1 and {r.f for r in rows} == {40, 12_000}
+    assert received(df) <= 40 * 301
+
+
+def test_shards_are_filled():
+    """What is over when a language is cut begins its next shard: all shards but a language's last are full, nothing is lost."""
+    texts = [f"x{k} y, " * 7 for k in range(600)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de", None] * 200, "text": texts})
+    found = list(shards(iter([batch]), 1000))
+    f, n = runs_of(zip(texts, ["en", "de", None] * 200, strict=True))
+    for lang in ("en", "de", "und"):
+        own = [(chunk, twice) for name, chunk, twice in found if name == lang]
+        words = Counter()
+        for chunk, twice in own:
+            words.update(chunk.split(b" "))
+            words.subtract(twice.split(b" "))
+        assert {w: c for w, c in words.items() if c and w not in (b"", b"\n")} == {w[0].encode(): c for w, c in f[lang].items() if len(w) == 1}
+        assert max(len(c) for c, _ in own) <= 1000 and sum(len(c) < 500 for c, _ in own) <= 1

@@ -12,8 +12,10 @@ tabs into words. All is counted by language (null: ``und``).
    compile into an automaton of phrases with a space before and behind each, a guard that no part of a word passes; it scans
    the shard and counts matches, overlapping ones too. As an automaton has what its own shard holds, it is bounded by it,
    however many candidates the corpus has. A shard hands on a phrase with the matches at which none of its longer candidates
-   begins: each word begins one such match at most, so rows are at most one for each word.
-3. Sums of the shards' rows by language and phrase, and of those over the phrases that begin with a phrase, are its exact
+   begins: each word begins one such match at most, so rows are at most one for each word. Texts are dealt by ranges of
+   language first, and a task sums the rows of its shards before it hands them on, as many as a bound of bytes holds: a row
+   is a phrase of a task, and tasks with one language each have few phrases that are not the other tasks' too.
+3. Sums of the tasks' rows by language and phrase, and of those over the phrases that begin with a phrase, are its exact
    counts; thresholds, cuts and rules about longer phrases are joins.
 
 A text of any length is read in chunks; a piece longer than a chunk is cut between words with three words in both parts, and
@@ -42,8 +44,8 @@ from ._words import mixed, span_hashes
 
 #: Words of the longest phrase; cells of a block; least and most bits of a cell's number; bytes of texts that make a shard.
 LONGEST, BLOCK, LEAST_BITS, MOST_BITS, SHARD = 4, 1 << 16, 18, 29, 8 << 20
-#: Cells that a task gathers before it hands them on.
-HOLD = 1 << 23
+#: Cells, and bytes of phrases with their counts, that a task gathers before it hands them on; bytes of texts of a task.
+HOLD, HOLD_BYTES, TASK = 1 << 23, 32 << 20, 64 << 20
 _PRIME = np.uint64(0x8CB92BA72F3D8DD7)
 _TO = bytes(0x20 if b == 0x09 else 0x0A if b in b".,;:!?\n\x0b\x0c\r" else b + 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SPACES = re.compile(rb" {2,}")
@@ -243,6 +245,34 @@ def beyond(phrases: list[str], counts: list[int]) -> tuple[list[str], list[int]]
     return list(left), list(left.values())
 
 
+def summed(batches: Iterator[pa.RecordBatch], most: int = HOLD_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows of lang, phrase and f, those of a phrase summed as far as ``most`` bytes hold them."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def total() -> pa.Table:
+        found = pa.Table.from_batches(held).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
+        return found.select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            held = total().to_batches(max_chunksize=1 << 16)
+            size = sum(b.nbytes for b in held)
+            if size > most // 2:
+                yield from held
+                held, size = [], 0
+    if held:
+        yield from total().to_batches(max_chunksize=1 << 16)
+
+
+def _by_language(source: DataFrame, size: int) -> DataFrame:
+    """The texts dealt so that a task has few languages, at random within them: tasks of a language share most frequent phrases."""
+    tasks = max(2 * source.sparkSession.sparkContext.defaultParallelism, size // TASK)
+    return source.withColumn("at", F.rand(20240229)).repartitionByRange(tasks, F.coalesce("lang", F.lit("und")), "at").select("lang", "text")
+
+
 def _words(chunk: bytes) -> int:
     """Words of a guarded text: what stands between spaces, but for line breaks."""
     return max(0, chunk.count(b" ") - 1) - chunk.count(b"\n")
@@ -253,15 +283,15 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, text: str = "text", lang
     ``min_count`` at least; the empty phrase counts all words."""
     spark = docs.sparkSession
     source = docs.select(docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("text"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if bits is None:
-        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(max((size // 16).bit_length(), LEAST_BITS), MOST_BITS)
     shift = 64 - bits
     short = spark.sparkContext.broadcast(_cells(source, bits, min_count, (1, 2), None, most))
     long = spark.sparkContext.broadcast(_cells(source, bits, min_count, (3, 4), (short, (1, 2)), most))
     kind = T.StructType.fromDDL("lang string, phrase string, f bigint")
 
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, chunk, twice in shards(batches, most):
             runs = Runs(chunk, _salt(name))
             runs.narrowed(short.value, shift, (1, 2))
@@ -269,9 +299,12 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, text: str = "text", lang
             phrases, counts, words = shard_counts(chunk, twice, runs)
             phrases, counts = beyond(phrases, counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(counts) + 1), pa.string()), pa.array([*phrases, ""], pa.string()), pa.array([*counts, words], pa.int64())], names=kind.names)
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from summed(told(batches))
         release()
 
-    left = source.mapInArrow(scanned, kind).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    left = _by_language(source, size).mapInArrow(scanned, kind).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     firsts = left.select("lang", F.expr("explode(transform(sequence(1, size(split(phrase, ' ', -1))), n -> substring_index(phrase, ' ', n)))").alias("phrase"), "f")
     counted = firsts.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return counted.where((F.col("f") >= min_count) | (F.col("phrase") == ""))

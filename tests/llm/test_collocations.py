@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from lodestar.llm import _store
-from lodestar.llm.collocations import Automaton, Runs, beyond, chunks, collocations, guarded, phrase_counts, shard_counts, shards
+from lodestar.llm.collocations import Automaton, Runs, beyond, chunks, collocations, guarded, phrase_counts, shard_counts, shards, summed
 
 _UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -159,3 +159,37 @@ def test_shards_are_filled():
             words.subtract(twice.split(b" "))
         assert {w: c for w, c in words.items() if c and w not in (b"", b"\n")} == {w[0].encode(): c for w, c in f[lang].items() if len(w) == 1}
         assert max(len(c) for c, _ in own) <= 1000 and sum(len(c) < 500 for c, _ in own) <= 1
+
+
+def test_a_language_is_told_by_few_tasks(spark):
+    """Four languages mixed in forty partitions: the scan told each language's 300 words in all forty, now in its range of tasks."""
+    _store.ship(spark)
+    texts = [(" ".join(f"{lang}{k}" for k in range(300)), lang) for lang in ("de", "en", "fr", None)]
+    before = 0
+    for times in (40, 200):
+        df = phrase_counts(spark.createDataFrame(texts * times, "text string, lang string").repartition(times))
+        rows = df.collect()
+        assert len(rows) == 4 * (4 * 300 - 6 + 1) and {r.f for r in rows} == {times, 300 * times}
+        told = received(df)
+        assert told <= (2 * spark.sparkContext.defaultParallelism + 3) * 301 and told <= 5 * (before or told)
+        before = told
+
+
+@pytest.mark.parametrize("most", [1, 500, 3000, 1 << 20])
+def test_rows_are_summed_in_bounded_bytes(most):
+    """Sums over what is handed on are those of the rows, whatever the bound; with room for all, a phrase has one row."""
+    rnd = random.Random(most)
+    rows = [[(rnd.choice(["en", "", "de"]), f"w{rnd.randint(0, 60)}", rnd.randint(-2, 9)) for _ in range(rnd.randint(0, 40))] for _ in range(50)]
+    names = ["lang", "phrase", "f"]
+    kinds = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in batch], kinds) for batch in rows]
+    want, got, n = Counter(), Counter(), 0
+    for lang, phrase, f in (r for batch in rows for r in batch):
+        want[lang, phrase] += f
+    for batch in summed(iter(batches), most):
+        assert batch.schema == kinds
+        n += batch.num_rows
+        for r in batch.to_pylist():
+            got[r["lang"], r["phrase"]] += r["f"]
+    assert got == want and n <= sum(map(len, rows)) and (most < 1 << 20 or n == len(want))
+    assert list(summed(iter([]), most)) == []

@@ -45,7 +45,7 @@ from ._words import mixed, span_hashes
 #: Words of the longest phrase; cells of a block; least and most bits of a cell's number; bytes of texts that make a shard.
 LONGEST, BLOCK, LEAST_BITS, MOST_BITS, SHARD = 4, 1 << 16, 18, 29, 8 << 20
 #: Cells, and bytes of phrases with their counts, that a task gathers before it hands them on; bytes of texts of a task.
-HOLD, HOLD_BYTES, TASK = 1 << 23, 32 << 20, 64 << 20
+HOLD, HOLD_BYTES, TASK = 1 << 23, 32 << 20, 256 << 20
 _PRIME = np.uint64(0x8CB92BA72F3D8DD7)
 _TO = bytes(0x20 if b == 0x09 else 0x0A if b in b".,;:!?\n\x0b\x0c\r" else b + 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SPACES = re.compile(rb" {2,}")
@@ -223,6 +223,7 @@ def shard_counts(chunk: bytes, twice: bytes, runs: Runs) -> tuple[list[str], lis
         if len(at):
             seen.append(at[np.unique(runs.hash[n - 1][at], return_index=True)[1]])
             found += [chunk[a - 1 : b + 1].decode() for a, b in zip(runs.start[seen[-1]].tolist(), runs.end[seen[-1] + n - 1].tolist(), strict=True)]
+    del runs  # some ten times the chunk, if the caller keeps none: the automaton takes its place
     own = Automaton(found)
     counts = own.counts(chunk.decode())
     if twice:
@@ -291,12 +292,15 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, text: str = "text", lang
     long = spark.sparkContext.broadcast(_cells(source, bits, min_count, (3, 4), (short, (1, 2)), most))
     kind = T.StructType.fromDDL("lang string, phrase string, f bigint")
 
+    def frequent(name: str, chunk: bytes) -> Runs:
+        runs = Runs(chunk, _salt(name))
+        runs.narrowed(short.value, shift, (1, 2))
+        runs.narrowed(long.value, shift, (3, 4))
+        return runs
+
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, chunk, twice in shards(batches, most):
-            runs = Runs(chunk, _salt(name))
-            runs.narrowed(short.value, shift, (1, 2))
-            runs.narrowed(long.value, shift, (3, 4))
-            phrases, counts, words = shard_counts(chunk, twice, runs)
+            phrases, counts, words = shard_counts(chunk, twice, frequent(name, chunk))
             phrases, counts = beyond(phrases, counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(counts) + 1), pa.string()), pa.array([*phrases, ""], pa.string()), pa.array([*counts, words], pa.int64())], names=kind.names)
 
